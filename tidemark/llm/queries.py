@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import tokens
+from tidemark.llm.common import new_folder
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.sharding import shard_by_size
+from tidemark.llm.token_io import read_documents, write_sequences
 from tidemark.llm.url_filter import filter_urls
 
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -14,6 +19,27 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
+    placed = shard_by_size(docs, 24, size=size, group=F.xxhash64("text"), tie=F.col("doc_id"))
+    return placed.select(
+        "doc_id", size.cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(_read(spark, sf_dir, "documents"), tokens.default_path(), end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "op9-token-ids")
+    manifest = write_sequences(_read(spark, sf_dir, "documents"), tokens.default_path(), folder, end_id=2)
+    return read_documents(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, RULES, default="allow").select("page_id", "host", "path", "rule", "verdict")
@@ -42,5 +68,10 @@ SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM split s LEFT JOIN (SELECT * FROM fits WHERE k = 1) f ON f.page_id = s.page_id
 """
 
-QUERIES = {"op8_url_filters": op8_url_filters}
+QUERIES = {
+    "op3_sharding": op3_sharding,
+    "op5_packing": op5_packing,
+    "op8_url_filters": op8_url_filters,
+    "op9_token_ids": op9_token_ids,
+}
 ORACLE_SQL = {"op8_url_filters": OP8_SQL}
