@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
 from tidemark.llm.common import new_folder
+from tidemark.llm.mixing import mix_sources
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.sharding import shard_by_size
 from tidemark.llm.token_io import read_documents, write_sequences
+from tidemark.llm.toxicity import fit_lexicon, score_toxicity
 from tidemark.llm.url_filter import filter_urls
 
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -19,6 +21,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    labels = _read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    scored = score_toxicity(docs, fit_lexicon(docs, labels))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
@@ -40,6 +50,13 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, pieces = mix_sources(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    taken = pieces.groupBy("row_id").agg(F.sum("n_words").alias("taken"))
+    out = documents.select("row_id", "doc_id", "size", "source_size", "target").join(taken, "row_id", "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, RULES, default="allow").select("page_id", "host", "path", "rule", "verdict")
@@ -69,8 +86,10 @@ FROM split s LEFT JOIN (SELECT * FROM fits WHERE k = 1) f ON f.page_id = s.page_
 """
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_sharding": op3_sharding,
     "op5_packing": op5_packing,
+    "op6_mixing": op6_mixing,
     "op8_url_filters": op8_url_filters,
     "op9_token_ids": op9_token_ids,
 }
