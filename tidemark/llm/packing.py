@@ -99,8 +99,8 @@ def pack_documents(
                 yield _batch(rows)
 
         for batch in batches:
-            ids, texts, group = (batch.column(i).to_pylist() for i in range(3))
-            for doc_id, encoded, g in zip(ids, enc.encode_many(texts), group, strict=True):
+            ids, group = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for doc_id, encoded, g in zip(ids, enc.encode_many(batch.column(1)), group, strict=True):
                 if g != now:
                     if held:
                         yield from flush()

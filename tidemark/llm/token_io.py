@@ -126,7 +126,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int
         for batch in batches:
             if out is None and batch.num_rows:
                 out = SequenceWriter(path, max(enc.vocab_size, end_id + 1), length)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1)), strict=True):
                 out.add(doc_id, ids + end)
         if out is not None:
             out.close()

@@ -3,22 +3,39 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words whose ids a worker remembers; the store is emptied when full, so memory is bounded and results are unaffected.
-CACHED_WORDS = 400_000
+#: Word parts whose ids a worker remembers; the store is emptied when full, so memory is bounded and results are unaffected.
+CACHED_PARTS = 500_000
+#: Unknown words encoded in one call.
+JOINED = 4_000
+#: A word as a stem that ends in a letter or digit known to every version of Unicode, and closing ASCII signs, which the
+#: tokenizer splits off.  The apostrophe is not among them.
+STEM_AND_SIGNS = r"^(?P<stem>.*[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{17F}])(?P<signs>[!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+)$"
 
 _encoders: dict[str, WordEncoder] = {}
 
 
+def _ragged(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretches of the pool in a row, where each ends)."""
+    ends = np.cumsum(sizes)
+    source = np.repeat(starts - (ends - sizes), sizes)
+    source += np.arange(len(source))
+    return pool[source], ends
+
+
 class WordEncoder:
     """Encodes text by its white-space-separated words.
 
-    For a tokenizer that drops white space (its pieces never hold any and its normalizer acts on each side of a space
-    alone), the ids of a text are the ids of its words in a row, so each distinct word is encoded once.  Only the six
-    ASCII white-space bytes separate words here; other white space stays inside and is left to the tokenizer.
+    For a tokenizer that lower-cases and drops white space (its pieces never hold any and its normalizer acts on each side
+    of a space alone), the ids of a text are the ids of its words in a row, so each distinct word is encoded once.  Only
+    the six ASCII white-space bytes separate words here; other white space stays inside and is left to the tokenizer.
+    Signs at a word's end are pieces of their own, so a word with them is put together from two parts; a word that could
+    hold a special token (``<|``) is left whole.
     """
 
     def __init__(self, path: str):
@@ -28,26 +45,69 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.known: dict[bytes, bytes] = {}
+        self.closes = np.zeros(self.vocab_size, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.closes[i] = token.endswith("</w>")
 
-    def encode_many(self, texts: Iterable[str | None]) -> list[bytes]:
+    def encode_many(self, texts: pa.Array | Sequence[str | None], at_once: int = 8 << 20) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text counts as empty."""
-        out = []
-        for text in texts:
-            words = (text or "").encode("utf-8", "surrogatepass").split()
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                out.append(self._with_new(words))
-        return out
-
-    def _with_new(self, words: list[bytes]) -> bytes:
-        new = list(set(words).difference(self.known))
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
-            new = list(set(words))
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
-        return b"".join(map(self.known.__getitem__, words))
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        step = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // at_once
+        cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(texts)] if len(texts) else [0]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            yield from self._encode(texts.slice(low, high - low))
+
+    def _encode(self, texts: pa.Array) -> Iterator[bytes]:
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+        both = pc.extract_regex(words, STEM_AND_SIGNS)
+        split = pc.and_(pc.is_valid(both), pc.invert(pc.match_substring(words, "<|")))
+        stems = pc.if_else(split, pc.struct_field(both, "stem"), words)
+        signs = pc.if_else(split, pc.struct_field(both, "signs"), "")
+        parts = pa.concat_arrays([stems, signs]).dictionary_encode()
+        each = self._ids(parts.dictionary.cast(pa.binary()).to_pylist())
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        of_word = parts.indices.to_numpy().reshape(2, -1).T.ravel()  # stem, signs, stem, signs ...
+        pool, ends = _ragged(np.frombuffer(b"".join(each), "<u4"), (np.cumsum(sizes) - sizes)[of_word], sizes[of_word])
+        ends = ends[1::2]
+        sizes = np.diff(ends, prepend=0)
+        which = coded.indices.to_numpy()
+        ids, ends = _ragged(pool, (ends - sizes)[which], sizes[which])
+        ids, ends = ids.tobytes(), np.concatenate([[0], 4 * ends])
+        bounds = ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])].tolist()
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            yield ids[low:high]
+
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        known = self.known
+        new = [p for p in parts if p not in known]
+        if new:
+            if len(known) + len(new) > CACHED_PARTS:
+                self.known = known = {}
+                new = parts
+            self._learn(new)
+        return list(map(known.__getitem__, parts))
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain, odd = [], []
+        for part in new:
+            text = part.decode("utf-8", "replace")
+            (plain if text.isalpha() else odd).append((part, text))
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(text for _, text in some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1  # a word of letters is one piece, and its last id closes it
+            if len(ends) != len(some):  # letters to one version of Unicode, not to the other
+                odd += some
+                continue
+            ids, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.known.update((part, ids[a:b]) for (part, _), a, b in zip(some, bounds, bounds[1:], strict=False))
+        for at in range(0, len(odd), JOINED):
+            some = odd[at : at + JOINED]
+            found = self.tokenizer.encode_batch_fast([text for _, text in some], add_special_tokens=False)
+            self.known.update((part, np.array(e.ids, "<u4").tobytes()) for (part, _), e in zip(some, found, strict=True))
 
 
 def encoder(path: str) -> WordEncoder:
