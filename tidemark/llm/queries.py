@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
+from tidemark.llm.ann import nearest_neighbours
 from tidemark.llm.common import new_folder
+from tidemark.llm.fingerprints import as_text, edited_fingerprints, likeness
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.sharding import shard_by_size
@@ -29,6 +31,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edited_fingerprints(_read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
+    )
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
@@ -62,6 +72,10 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, RULES, default="allow").select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 OP8_SQL = r"""
 WITH parts AS (
   SELECT page_id,
@@ -87,10 +101,12 @@ FROM split s LEFT JOIN (SELECT * FROM fits WHERE k = 1) f ON f.page_id = s.page_
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_fingerprints": op2_fingerprints,
     "op3_sharding": op3_sharding,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op8_url_filters": op8_url_filters,
     "op9_token_ids": op9_token_ids,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 ORACLE_SQL = {"op8_url_filters": OP8_SQL}
