@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +35,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that lost executors cost no recomputation of what lies before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write a table into the shared folder and read it back, so that lost executors cost no recomputation of what lies before."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete what ``saved`` wrote, once nothing reads it any more."""
+    path = getattr(df, "_saved_at", None)
+    if path:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def uniform(*cols: Column | str, seed: int = 0) -> Column:
@@ -48,35 +59,43 @@ def uniform(*cols: Column | str, seed: int = 0) -> Column:
     return (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
+#: Rows of a side that is broadcast; beyond it the join shuffles.
+MOST_BROADCAST = 2_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The same table, marked for broadcast if its rows (a few numbers each) are counted and few enough."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every node of an undirected graph.
 
-    ``edges`` has long columns ``a`` and ``b``.  Returns (``node``, ``component``) for every node of an edge.
-    Alternates the large-star and small-star steps until a round changes nothing.  All state is distributed; each
-    round is checkpointed.  Null ends are ignored; self loops keep their node; no edges give an empty result.
+    ``edges`` has long columns ``a`` and ``b``.  Returns (``node``, ``component``) for every node of an edge.  Alternates
+    the large-star and small-star steps until a round changes nothing.  All state is distributed and each round is written
+    to the shared folder.  Null ends are ignored; self loops keep their node; no edges give an empty result.
     """
-    edges = edges.where("a is not null and b is not null")
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = edges.where("a is not null and b is not null").select("a", "b")
+    loops = edges.where("a = b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     for _ in range(max_rounds):
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == before or mark[0] == 0:
             break
         before = mark
-        # Large star: every larger neighbour of a node links to the smallest node that it or its neighbours know.
+        # Large star: every larger neighbour of a node links to the smallest node among it and its neighbours.
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: a node and its smaller neighbours link to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        step = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, now = now, saved(step.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(last)
     else:
         raise RuntimeError("connected components did not settle")
-    roots = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-
-
-def pick(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    return df.select(*[F.col(n) for n in names])
+    # Every link now leads straight to the smallest node, which has none itself.
+    roots = now.select(F.col("v").alias("u"), "v").distinct()
+    everything = now.union(roots).union(loops)
+    return everything.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

@@ -10,6 +10,7 @@ from tidemark.llm.ann import nearest_neighbours
 from tidemark.llm.common import new_folder
 from tidemark.llm.fingerprints import as_text, edited_fingerprints, likeness
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.ngram_join import near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.sharding import shard_by_size
 from tidemark.llm.token_io import read_documents, write_sequences
@@ -67,6 +68,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_read(spark, sf_dir, "documents"), words=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, RULES, default="allow").select("page_id", "host", "path", "rule", "verdict")
@@ -105,6 +111,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
+    "op7_ngram_join": op7_ngram_join,
     "op8_url_filters": op8_url_filters,
     "op9_token_ids": op9_token_ids,
     "op10_nearest_neighbours": op10_nearest_neighbours,
