@@ -59,13 +59,17 @@ def uniform(*cols: Column | str, seed: int = 0) -> Column:
     return (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
-#: Rows of a side that is broadcast; beyond it the join shuffles.
-MOST_BROADCAST = 2_000_000
+#: Rows, or entries of their arrays, of a side that is broadcast; beyond it the join shuffles.
+MOST_BROADCAST = 1_000_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """The same table, marked for broadcast if its rows (a few numbers each) are counted and few enough."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+def small(df: DataFrame, entries: str | None = None) -> DataFrame:
+    """The same table, marked for broadcast if its rows (a few numbers each) are counted and few enough.
+
+    ``entries`` names an array column whose entries count instead.
+    """
+    size = df.agg(F.coalesce(F.sum(F.size(entries)), F.lit(0))).first()[0] if entries else df.count()
+    return F.broadcast(df) if size <= MOST_BROADCAST else df
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

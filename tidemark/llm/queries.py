@@ -13,6 +13,7 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ngram_join import near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.sharding import shard_by_size
+from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_io import read_documents, write_sequences
 from tidemark.llm.toxicity import fit_lexicon, score_toxicity
 from tidemark.llm.url_filter import filter_urls
@@ -50,6 +51,15 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), least=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return kept.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(_read(spark, sf_dir, "documents"), tokens.default_path(), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -109,6 +119,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_fingerprints": op2_fingerprints,
     "op3_sharding": op3_sharding,
+    "op4_suffix_array": op4_suffix_array,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_ngram_join": op7_ngram_join,
