@@ -149,9 +149,19 @@ def _slots(src: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     return drawn.select(F.floor(F.col("slot") / shard_slots).alias("shard"), "slot", "rank", block.alias("block"))
 
 
-def mixed_texts(docs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """The pieces with the words themselves, joined by single spaces, as column ``text``; ``docs`` has row_id and text."""
-    words = F.split(F.col("text"), r"[\x20\x09-\x0D]+")
-    words = F.filter(words, lambda w: w != "")
-    piece = F.array_join(F.slice(words, (F.col("first_word") + 1).cast("int"), F.col("n_words").cast("int")), " ")
-    return pieces.join(docs, "row_id").withColumn("text", piece)
+def mixed_texts(documents: DataFrame, pieces: DataFrame, *, text: str = "text") -> DataFrame:
+    """The pieces with their documents' columns and, as ``text``, a stretch of their words with the white
+    space between them and behind them.
+
+    ``documents`` has row_id and the whole texts as column ``text``.  Each text is split once and all its pieces are cut from
+    it, so it moves once however many pieces it has.
+    """
+    spots = pieces.groupBy("row_id").agg(F.collect_list(F.struct("shard", "slot", "first_word", "n_words")).alias("_spots"))
+    joined = documents.join(spots, "row_id")
+    words = F.regexp_extract_all(F.col(text), F.lit(r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), 0)
+    joined = joined.withColumn("_words", words).drop(text)
+    cut = F.transform(
+        "_spots",
+        lambda s: s.withField("text", F.array_join(F.slice("_words", (s["first_word"] + 1).cast("int"), s["n_words"].cast("int")), "")),
+    )
+    return joined.withColumn("_piece", F.explode(cut)).select("*", "_piece.*").drop("_spots", "_words", "_piece")
