@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +11,15 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
+
+
+def give_back() -> None:
+    """Return freed memory to the system; called when a task is done with its rows, as the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -21,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_sets(texts: pa.Array, words: int, lower: bool = True, at_once: int = 8 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, words: int, lower: bool = True, at_once: int = 2 << 20) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles of ``words`` words.
 
     Words are runs of bytes other than ASCII white space, A to Z in lower case if asked.  A text of fewer words has the one

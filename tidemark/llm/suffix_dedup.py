@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, saved, small
-from tidemark.llm.shingles import mix
+from tidemark.llm.shingles import give_back, mix
 
 GRAM = 32
 #: Contexts of one anchor that one task sorts; windows of more numerous ones are counted by hash instead, all over the cluster.
@@ -217,6 +217,7 @@ def repeat_spans(docs: DataFrame, *, least: int = 400) -> DataFrame:
                 content = mix(content + (place - begin).astype(np.uint64) * np.uint64(1 << 20) + (end - place).astype(np.uint64))
                 columns = [grams.view(np.int64), content.view(np.int64), ids[number + text], *[x - bounds[text] for x in (place, first, last)]]
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["h", "content", "t", "place", "first", "last"])
+        give_back()
 
     found = saved(texts.mapInArrow(find, "h long, content long, t long, place long, first long, last long"), "anchors")
     classes = found.groupBy("h", "content").agg(F.count("*").alias("k"), F.min(F.struct("t", "place", "first", "last")).alias("one"))
@@ -247,7 +248,7 @@ def repeat_spans(docs: DataFrame, *, least: int = 400) -> DataFrame:
                         rows.append((s["h"], s["kinds"], t, begin, s["first"], s["last"], raw[begin : s["place"] + least]))
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    cut = texts.join(small(saved(per_text, "wanted"), "wanted"), "t").select("t", "text", "wanted")
+    cut = texts.join(per_text, "t").select("t", "text", "wanted")
     cut = cut.mapInArrow(fetch, "h long, kinds long, t long, place long, first long, last long, bytes binary")
     cut = saved(cut.dropDuplicates(["h", "t", "first", "last"]), "pieces")
 
@@ -269,6 +270,7 @@ def repeat_spans(docs: DataFrame, *, least: int = 400) -> DataFrame:
                 held.append(tuple(context))
                 size += len(context[4])
         yield from spans(held)
+        give_back()
 
     columns = ["h", "t", "place", "first", "last", "bytes"]
     some = cut.where(F.col("kinds") <= MOST_CONTEXTS).select(*columns).repartition("h").sortWithinPartitions("h", "t", "first")
