@@ -1,11 +1,13 @@
 """Near-duplicate documents by the Jaccard similarity of their word shingles: a parity-sketch join.
 
-A sketch has one bit for each slot of hash values; every shingle flips its slot's bit.  Two sketches differ in no more
-bits than the two sets differ in shingles.  For similarity t and set sizes a and b that is (1 - t) / (1 + t) * (a + b) at
-most, so of more 64-bit words than that, some are equal in both.  Sketches of one band of sizes have the same number of
-words; a document is filed under as many of its words as its allowance plus one, fullest words first.  As every document
-takes words in the same order, two similar documents share a filed word (a prefix filter on the pigeonhole).  Documents
-that share one are verified on the sets themselves.
+A sketch has one bit for each hash value; every shingle flips its bit.  Two sketches differ in no more bits than the two sets
+differ in shingles.  For similarity t and set sizes a and b that is (1 - t) / (1 + t) * (a + b) at most, so if a sketch is cut
+into more words than that, some are equal in both.  A word is kept as the exclusive or of its set bits' numbers, as so wide a
+sketch is nearly empty.  Sketches of one band of sizes have the same number of words; a document is filed under as many of
+its words as its allowance plus one.  As every document takes words in the same order, two similar documents share a filed
+word (a prefix filter on the pigeonhole).  The order takes words of many shingles first that are not common in a sample of
+documents, so few unlike documents meet; it has no influence on the result.  Of documents that share one, those whose
+narrower sketches differ in more bits than allowed are told apart at once; the others are verified on the sets themselves.
 """
 
 from __future__ import annotations
@@ -13,16 +15,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, discard, saved, small
-from tidemark.llm.shingles import mix, shingle_sets
+from tidemark.llm.common import connected_components, discard, saved, small, uniform
+from tidemark.llm.shingles import give_back, mix, shingle_sets
 
-#: Sets that meet in one task when a filed word's documents are compared with each other.
-BLOCK = 256
+#: Sets of one block when all documents under a filed word are compared with each other.
+BLOCK = 512
+#: Documents, about, in which common shingles are looked for; documents there that make a shingle common; bits of the table
+#: of common shingles (one in which others share a bit is taken for common too, by every document alike).
+COMMON_SAMPLE, COMMON_FROM, COMMON_BITS = 8_000, 3, 24
 #: Sets of which a task remembers that it has filed them already.
 REMEMBERED = 500_000
 
@@ -38,29 +42,65 @@ def bands(n: int, percent: int) -> list[int]:
     return [own, own + 1] if 100 * n // percent >= 1 << (own + 1) else [own]
 
 
-def sketch(h: np.ndarray, words: int) -> np.ndarray:
-    """64-bit words of the parity sketch of sorted hashes."""
-    slots = ((h >> np.uint64(32)) * np.uint64(64 * words)) >> np.uint64(32)
-    flips = np.bitwise_xor.accumulate(np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << (slots & np.uint64(63))]))
-    ends = np.searchsorted(slots >> np.uint64(6), np.arange(words + 1, dtype=np.uint64))
+def _word_ends(h: np.ndarray, words: int) -> np.ndarray:
+    """Where the hashes of each word begin in sorted hashes, and the end."""
+    word = ((h >> np.uint64(32)) * np.uint64(words)) >> np.uint64(32)
+    return np.searchsorted(word, np.arange(words + 1, dtype=np.uint64))
+
+
+def sketch(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The words of the wide parity sketch of sorted hashes, each as the exclusive or of its set bits' numbers, scrambled."""
+    flips = np.bitwise_xor.accumulate(np.concatenate([np.zeros(1, np.uint64), mix(h + np.uint64(0xA24BAED4963EE407))]))
     return flips[ends[1:]] ^ flips[ends[:-1]]
 
 
-def filed_words(h: np.ndarray, percent: int) -> np.ndarray:
-    """Keys under which a set is filed; none if only an equal set can be similar."""
+def filed_words(h: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+    """Keys under which a set is filed; none if only an equal set can be similar.  ``common`` has a byte for eight hash prefixes."""
     allowed = allowance(len(h), percent)
     if allowed == 0:
         return np.empty(0, np.uint64)
+    prefix = h >> np.uint64(64 - COMMON_BITS)
+    rare = (common[prefix >> np.uint64(3)] >> (prefix & np.uint64(7)).astype(np.uint8)) & 1 == 0
+    so_far = np.concatenate([[0], np.cumsum(rare)])
     out = []
     for band in bands(len(h), percent):
         words = allowance(1 << (band + 1), percent) * 11 // 10 + 2
-        found = sketch(h, words)
+        ends = _word_ends(h, words)
+        found = sketch(h, ends)
         keys = mix(mix(found) + np.arange(words, dtype=np.uint64) * np.uint64(128) + np.uint64(band))
-        order = ((np.uint64(64) - np.bitwise_count(found).astype(np.uint64)) << np.uint64(57)) | (keys >> np.uint64(7))
+        # What a word's shingles are decides its place: how many are rare, how many there are, and its key.
+        merit = (np.minimum(np.diff(so_far[ends]), 63) * 128 + np.minimum(np.diff(ends), 127)).astype(np.uint64)
+        order = ((np.uint64(8191) - merit) << np.uint64(50)) | (keys >> np.uint64(14))
         out.append(keys[np.argpartition(order, allowed)[: allowed + 1]] if allowed + 1 < words else keys)
     return np.concatenate(out)
 
 
+def long_sketch(h: np.ndarray) -> bytes:
+    """A parity sketch of four to eight bits a shingle, a power of two; half of it over the other half is the next shorter."""
+    bits = max(64, 4 << (len(h) - 1).bit_length())
+    slots = h & np.uint64(bits - 1)
+    slots.sort()
+    odd = np.unique(slots, return_counts=True)
+    flat = np.zeros(bits, np.uint8)
+    flat[odd[0][odd[1] % 2 == 1].astype(np.int64)] = 1
+    return np.packbits(flat).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches, brought to the length of the shortest, as rows of 64-bit words."""
+    size = min(map(len, sketches))
+    out = np.empty((len(sketches), size // 8), np.uint64)
+    for i, sketch in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), axis=0)
+    return out
+
+
+def may_be_similar(x: np.ndarray, others: np.ndarray, n: int, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the others, by their sketches and sizes, can be similar to x; bits by which each stays within its allowance)."""
+    slack = (100 - percent) * (n + sizes) // (100 + percent) - np.bitwise_count(others ^ x).sum(axis=1, dtype=np.int64)
+    return (slack >= 0) & (100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes)), slack
+
+
 def set_id(h: np.ndarray) -> int:
     """A positive 63-bit id of a set of hashes."""
     total = (int(h.sum(dtype=np.uint64)) + len(h) * 0xD6E8FEB86659FD93) % (1 << 64)
@@ -81,18 +121,22 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower
 
     Documents are linked when their sets are equal or their Jaccard similarity is ``percent`` hundredths or more, exactly
     counted; component_id is the smallest doc_id that links reach.  Equal sets are one node, so copies are never compared.
-    A filed word's first set is compared with all others under it; where components of those links still meet under a word,
-    all of these are compared, in blocks of BLOCK by BLOCK, so no group is held whole and no link is lost.
+    A filed word's first set is compared with all others under it.  Where components of those links still meet under a word,
+    all of its sets are compared by their sketches, in blocks of BLOCK by BLOCK, and a spanning forest of the possible links is
+    verified; if one of its pairs fails, the cluster of possible links is compared on the sets, in blocks.  So no group is
+    held whole, pairs grow no faster than rows, and no component is lost.
 
     A text without words, or null, has no shingles, no links and component_id doc_id; a null doc_id stays null, and counts
     for no component's smallest; rows that repeat a doc_id are documents of their own; an empty table gives an empty
     result; other columns are ignored.  The result rests on a small table in the shared folder.
     """
 
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, words, lower))
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            rows: list[list] = [[], [], []]
+        for batch in (whole.slice(at, 2048) for whole in batches for at in range(0, whole.num_rows, 2048)):
+            rows: list[list] = [[], [], [], []]
             for h in shingle_sets(batch.column(1), words, lower):
                 own = set_id(h) if len(h) else None
                 new = own is not None and own not in seen
@@ -100,40 +144,101 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(own)
-                for column, x in zip(rows, (len(h), own, filed_words(h, percent).view(np.int64) if new else None), strict=True):
+                keys = filed_words(h, percent, common.value).view(np.int64) if new else np.empty(0, np.int64)
+                for column, x in zip(rows, (len(h), own, keys, long_sketch(h) if len(keys) else None), strict=True):
                     column.append(x)
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column(0), *[pa.array(c, t) for c, t in zip(rows, types, strict=True)]], ["doc_id", "n", "c", "keys"])
-
-    described = saved(docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, c long, keys array<long>"), "sketches")
-    filed = described.where("c is not null").select(F.explode("keys").alias("key"), "c", F.col("n").cast("int").alias("n"))
-    first = F.min(F.struct("c", "n")).over(Window.partitionBy("key"))
-    stars = filed.withColumn("_p", first).select(F.col("_p.c").alias("a"), F.col("c").alias("b"), F.col("_p.n").alias("_na"), F.col("n").alias("_nb")).where("a <> b")
-    fits = F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * percent
-    stars = saved(stars.distinct().withColumn("fits", fits), "stars")
-    members = saved(stars.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "members")
-    sets = saved(_sets(docs, described, members, words, lower), "sets")
-    links = saved(_verified(stars.where("fits").select("a", "b"), sets, percent), "links")
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.record_batch([batch.column(0), *[pa.array(c, t) for c, t in zip(rows, types, strict=True)]], ["doc_id", "n", "c", "keys", "sketch"])
+        give_back()
+
+    described = saved(docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, c long, keys array<long>, sketch binary"), "sketches")
+    filed = described.where("size(keys) > 0").select(F.explode("keys").alias("key"), "c")
+    first = F.min("c").over(Window.partitionBy("key"))
+    stars = filed.withColumn("a", first).where("a <> c").select("a", F.col("c").alias("b")).distinct()
+    sketches = described.where("sketch is not null").select("c", F.col("n").cast("int").alias("n"), "sketch")
+
+    stars = saved(stars, "stars")
+    members = small(saved(stars.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "members"))
+    # One row a set: copies of a text that tasks met apart have the same sketch.
+    sketches = saved(sketches.join(members, "c").groupBy("c").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")), "long")
+    pairs = saved(_passing(stars, sketches, percent), "pairs")
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), docs, described, words, lower)
+    links = saved(_verified(pairs, sets, percent), "links")
     found = connected_components(links)
 
-    # Filed words under which more than one component is left.
-    labelled = filed.join(small(members), "c").join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("m", F.coalesce("component", "c"))
-    open_keys = labelled.groupBy("key").agg(F.min("m").alias("_lo"), F.max("m").alias("_hi"), F.count_distinct("c").alias("_k")).where("_lo <> _hi and _k > 2")
-    rest = saved(labelled.join(open_keys.select("key"), "key").select("key", "c", "n", "m").distinct(), "rest")
-    more = _compared(rest, sets, percent)
-    links = saved(links.union(more), "links")
+    # Filed words under which more than one component is left, and more than the pair that was compared.
+    labelled = filed.join(members, "c").join(found.withColumnRenamed("node", "c"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("m"))
+    span = Window.partitionBy("key")
+    open_rows = labelled.withColumns({"_lo": F.min("m").over(span), "_hi": F.max("m").over(span), "_a": F.min("c").over(span), "_z": F.max("c").over(span)})
+    open_rows = open_rows.withColumn("_k", F.max(F.when((F.col("c") > F.col("_a")) & (F.col("c") < F.col("_z")), 1)).over(span))
+    rest = saved(open_rows.where("_lo <> _hi and _k = 1").select("key", "c", "m").distinct(), "rest")
+    more = saved(_compared(rest, sketches, percent).distinct(), "pairs")
+    more_sets = _sets(more.select(F.explode(F.array("a", "b")).alias("c")).distinct(), docs, described, words, lower)
+    links = saved(links.union(_verified(more, more_sets, percent)), "links")
     found = connected_components(links)
 
+    # Where a pair of a spanning forest failed, its whole cluster of possible links is compared exactly.
+    failed = saved(more.join(links, ["a", "b"], "left_anti"), "failed")
+    if failed.count():
+        clusters = saved(connected_components(more.union(links)).toDF("c", "cluster"), "clusters")
+        hard = failed.join(clusters.withColumnRenamed("c", "a"), "a").select("cluster").distinct()
+        inside = clusters.join(hard, "cluster").join(found.withColumnRenamed("node", "c"), "c", "left").select("cluster", "c", F.coalesce("component", "c").alias("m"))
+        inside = saved(inside, "inside")
+        hard_sets = _sets(inside.select("c").distinct(), docs, described, words, lower)
+        links = saved(links.union(_exact(inside, hard_sets, percent)), "links")
+        found = connected_components(links)
+
     rooted = described.select("doc_id", "n", "c").join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("_root", F.coalesce("component", "c"))
     lowest = rooted.where("_root is not null").groupBy("_root").agg(F.min("doc_id").alias("component_id"))
     out = rooted.join(lowest, "_root", "left").withColumn("component_id", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     out = saved(out.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("set"), "component_id"), "components")
-    for table in (described, stars, members, sets, links, rest):
+    for table in (described, stars, sketches, pairs, links, rest, more, sets, more_sets):
         discard(table)
     return out
 
 
-def _sets(docs: DataFrame, described: DataFrame, members: DataFrame, words: int, lower: bool) -> DataFrame:
+def _common(docs: DataFrame, words: int, lower: bool) -> np.ndarray:
+    """A table of 2**COMMON_BITS bits: the hash prefixes of shingles that are common in a sample of about COMMON_SAMPLE documents."""
+    share = min(1.0, COMMON_SAMPLE / max(1, docs.count()))
+    some = docs.where(uniform("doc_id", seed=29) <= share).select("text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            held = []
+            for h in shingle_sets(batch.column(0), words, lower):
+                if len(h) and (own := set_id(h)) not in seen:
+                    seen.add(own)
+                    held.append(h >> np.uint64(64 - COMMON_BITS))
+            if held:
+                prefix, n = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.record_batch([pa.array(prefix.astype(np.int32)), pa.array(n)], ["prefix", "n"])
+        give_back()
+
+    found = some.mapInArrow(count, "prefix int, n long").groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_FROM)
+    bits = np.zeros(1 << COMMON_BITS, np.uint8)
+    bits[[r[0] for r in found.select("prefix").collect()]] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def _passing(stars: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow for similarity."""
+    for side in ("a", "b"):
+        stars = stars.join(sketches.select(F.col("c").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for na, nb, x, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                both = folded([x, y])
+                good.append(bool(may_be_similar(both[0], both[1:], na, np.array([nb]), percent)[0][0]))
+            yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return stars.where(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(check, "a long, b long")
+
+
+def _sets(members: DataFrame, docs: DataFrame, described: DataFrame, words: int, lower: bool) -> DataFrame:
     """c and hashes (binary) of each member set, from one document that has it."""
     chosen = described.join(small(members), "c").groupBy("c").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
     chosen = small(saved(chosen, "chosen"))
@@ -141,55 +246,122 @@ def _sets(docs: DataFrame, described: DataFrame, members: DataFrame, words: int,
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(2).to_pylist()
-            kept = [(c, h.tobytes()) for c, h in zip(own, shingle_sets(batch.column(1), words, lower), strict=True) if len(h) and set_id(h) == c]
+            own = batch.column(1).to_pylist()
+            kept = [(c, h.tobytes()) for c, h in zip(own, shingle_sets(batch.column(0), words, lower), strict=True) if len(h) and set_id(h) == c]
             if kept:
                 yield pa.record_batch([pa.array([c for c, _ in kept], pa.int64()), pa.array([h for _, h in kept], pa.binary())], ["c", "hashes"])
+        give_back()
 
-    return texts.select("doc_id", "text", "c").mapInArrow(hashes, "c long, hashes binary").dropDuplicates(["c"])
+    return saved(texts.select("text", "c").mapInArrow(hashes, "c long, hashes binary").dropDuplicates(["c"]), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar."""
-    joined = pairs.join(sets.select(F.col("c").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("c").alias("a"), F.col("hashes").alias("ha")), "a")
+    """The pairs (a, b) that are similar, counted on the sets."""
+    joined = pairs
+    for side in ("b", "a"):
+        joined = joined.join(sets.select(F.col("c").alias(side), F.col("hashes").alias(f"h{side}")), side)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(i).to_pylist() for i in (2, 3))
-            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)]
+            good = [similar(*(np.frombuffer(batch.column(i)[k].as_buffer(), np.uint64) for i in (2, 3)), percent) for k in range(batch.num_rows)]
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        give_back()
 
-    return joined.select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long")
+    return joined.select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long").distinct()
 
 
-def _compared(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between sets of different components under one key: blocks against blocks."""
-    placed = rest.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("n", "c")) - 1) / BLOCK).cast("int"))
-    blocks = placed.groupBy("key").agg((F.max("_block") + 1).alias("_blocks"))
-    placed = placed.join(blocks, "key")
+def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Adds _block, and a row for each pair (i, j) of blocks of the key that a row's block is in, so that any two rows of a
+    key meet in a bounded group, those of one block where i = j."""
+    rows = rows.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy(key).orderBy("c")) - 1) / BLOCK).cast("int"))
+    rows = rows.withColumn("_blocks", F.max("_block").over(Window.partitionBy(key)) + 1)
     pair = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(F.least(o, "_block").alias("i"), F.greatest(o, "_block").alias("j")))
-    dealt = placed.select("key", "c", "m", F.explode(pair).alias("_ij")).join(sets, "c")
-    dealt = dealt.select("key", F.col("_ij.i").alias("i"), F.col("_ij.j").alias("j"), "c", "m", "hashes")
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        own = [np.frombuffer(h, np.uint64) for h in rows.hashes]
-        order = sorted(range(len(own)), key=lambda x: len(own[x]))
-        root = dict(zip(rows.m, rows.m, strict=True))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        c, m, links = rows.c.to_list(), rows.m.to_list(), []
-        for place, x in enumerate(order):
-            for y in order[place + 1 :]:
-                if 100 * len(own[x]) < percent * len(own[y]):
-                    break
-                if find(m[x]) != find(m[y]) and similar(own[x], own[y], percent):
-                    links.append((c[x], c[y]))
-                    root[find(m[x])] = find(m[y])
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+    return rows.withColumn("_ij", F.explode(pair)).select("*", "_ij.i", "_ij.j").drop("_ij", "_blocks")
+
+
+class _Forest:
+    """Which components have been joined so far in a group."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[x] = y
+        return x != y
+
+
+def _compared(rest: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of the sets under one key, a spanning forest between components of the pairs whose sketches allow for similarity.
+
+    The pairs with the fewest differing bits come first.  A group gives fewer pairs than it has rows.
+    """
+    dealt = _in_blocks(rest, "key").join(sketches, "c").select("key", "i", "j", "c", "m", "n", "_block", "sketch")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            _, i, j = group[0][:3]
+            c, m, n, block = (np.array([row[k] for row in group], np.int64) for k in range(3, 7))
+            rows = folded([row[7] for row in group])
+            out: list[tuple[int, int, int]] = []
+            for x in range(len(group) - 1):
+                good, slack = may_be_similar(rows[x], rows[x + 1 :], int(n[x]), n[x + 1 :], percent)
+                good &= m[x] != m[x + 1 :]
+                if i != j:
+                    good &= block[x] != block[x + 1 :]
+                good = np.flatnonzero(good)
+                if len(good):  # for each other component the likeliest
+                    good = good[np.argsort(-slack[good], kind="stable")]
+                    good = good[np.unique(m[x + 1 :][good], return_index=True)[1]]
+                    out += [(-int(slack[y]), x, x + 1 + int(y)) for y in good]
+            forest = _Forest()
+            found = [(min(c[x], c[y]), max(c[x], c[y])) for _, x, y in sorted(out) if forest.join(int(m[x]), int(m[y]))]
+            if found:
+                yield pa.record_batch([pa.array(side, pa.int64()) for side in zip(*found, strict=True)], ["a", "b"])
+        give_back()
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long")
+
+
+def _exact(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the sets of one cluster, a spanning forest between components of the pairs that are similar, counted on the sets."""
+    dealt = _in_blocks(inside, "cluster").join(sets, "c").select("cluster", "i", "j", "c", "m", "_block", "hashes")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            _, i, j = group[0][:3]
+            c, m, block = ([row[k] for row in group] for k in range(3, 6))
+            own = [np.frombuffer(row[6], np.uint64) for row in group]
+            n = np.array([len(h) for h in own])
+            rows, forest, found = folded([long_sketch(h) for h in own]), _Forest(), []
+            for x in range(len(group) - 1):
+                good, slack = may_be_similar(rows[x], rows[x + 1 :], int(n[x]), n[x + 1 :], percent)
+                good = np.flatnonzero(good)
+                for y in (x + 1 + good[np.argsort(-slack[good], kind="stable")]).tolist():
+                    if (i == j or block[x] != block[y]) and forest.find(m[x]) != forest.find(m[y]) and similar(own[x], own[y], percent):
+                        forest.join(m[x], m[y])
+                        found.append((min(c[x], c[y]), max(c[x], c[y])))
+            if found:
+                yield pa.record_batch([pa.array(side, pa.int64()) for side in zip(*found, strict=True)], ["a", "b"])
+        give_back()
+
+    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(compare, "a long, b long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows with the same first columns, which come one after another."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != now:
+                if held:
+                    yield held
+                now, held = row[:keys], []
+            held.append(row)
+    if held:
+        yield held
