@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def nearest_neighbours(
     """The ``k`` rows with the largest inner product for every query row: query_id, rank (from 1), vec_id, score.
 
     Every usable row is indexed.  A query's candidates are the rows of the lists it probes whose score from codes reaches a
-    floor: its k-th best exact score in the fitted sample, less what codes may err.  No more than ``reranked`` of a chunk
+    floor: its k-th best exact score in the fitted sample, less what codes may err; the sample's k best are candidates too.  No more than ``reranked`` of a chunk
     and of all are kept, the best by codes; these are scored exactly, in double precision, and ranked, ties by smaller id.
     Long lists and busy lists are split into chunks that meet in separate tasks, so a vector that a third of all rows
     share, or a list that all queries probe, is spread.
@@ -140,14 +141,16 @@ def nearest_neighbours(
     slim = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v"), is_query.alias("q"))
     rows = slim.where(F.col("vec_id").isNotNull() & _usable(F.col("v"))).groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    drawn = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_vectors).toPandas()
+    drawn = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_vectors).toArrow()
     if not len(drawn):
         return empty
-    lengths = drawn.v.map(len)
-    dims = int(lengths.mode()[0])
-    drawn = drawn[lengths == dims]
+    lengths = pc.list_value_length(drawn["v"])
+    dims = max(pc.mode(lengths, 1).to_pylist()[0]["mode"], 1)
+    drawn = drawn.filter(pc.equal(lengths, dims))
     rows = rows.where(F.size("v") == dims)
-    index = fit_index(np.stack(drawn.v.to_numpy()), drawn.vec_id.to_numpy(np.int64), rows.count(), k)
+    sample = np.concatenate([c.flatten().to_numpy() for c in drawn["v"].chunks]).reshape(-1, dims)
+    index = fit_index(sample, drawn["vec_id"].to_numpy(), rows.count(), k)
+    del drawn
     shared = spark.sparkContext.broadcast(index)
 
     def matrix(column: pa.Array) -> np.ndarray:
@@ -175,6 +178,21 @@ def nearest_neighbours(
                     ["query_id", "list", "floor", "v"],
                 )
 
+    def sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                ids = batch.column(0).to_numpy()
+                scores = matrix(batch.column(1)) @ ix.sample.T
+                scores[ids[:, None] == ix.sample_ids] = -np.inf
+                n = min(k, scores.shape[1])
+                best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+                found = np.take_along_axis(scores, best, axis=1).ravel()
+                real = np.isfinite(found)
+                columns = [np.repeat(ids, n)[real], ix.sample_ids[best].ravel()[real], found[real].astype(float)]
+                yield pa.record_batch([pa.array(c) for c in columns], ["query_id", "vec_id", "approx"])
+
     coded = rows.select("vec_id", "v").mapInArrow(index_rows, "vec_id long, list int, codes binary")
     asked = rows.where("q").select("vec_id", "v").mapInArrow(query_rows, "query_id long, list int, floor double, v array<float>")
     # Chunks of each list; a row for each of at most MOST_LISTS lists, so small enough to broadcast.
@@ -220,6 +238,8 @@ def nearest_neighbours(
 
     keys = ["list", "_cv", "_cq"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, approx double")
+    found = found.union(rows.where("q").select("vec_id", "v").mapInArrow(sample_rows, "query_id long, vec_id long, approx double"))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("approx").alias("approx"))
     by_query = Window.partitionBy("query_id")
     found = found.withColumn("_n", F.row_number().over(by_query.orderBy(F.desc("approx"), "vec_id"))).where(F.col("_n") <= reranked)
     pairs = found.select("query_id", "vec_id").join(rows.select("vec_id", "v"), "vec_id")
