@@ -64,8 +64,8 @@ def by_sensor() -> WindowSpec:
 
 
 def rate_per_second(value: Column, before: Column, dt_ms: Column) -> Column:
-    """Signed change per second; 0 without an earlier reading or where time does not advance."""
-    return F.when(before.isNotNull() & (dt_ms > 0), (value - before) * 1000.0 / dt_ms).otherwise(F.lit(0.0))
+    """Signed change per second; 0 without an earlier reading that is a number, or where time does not advance."""
+    return F.when(is_finite(before) & (dt_ms > 0), (value - before) * 1000.0 / dt_ms).otherwise(F.lit(0.0))
 
 
 def is_high_quality(q: Column) -> Column:

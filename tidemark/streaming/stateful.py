@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ def with_rate_stream(readings: DataFrame) -> DataFrame:
         if before:
             value.iloc[0], ts.iloc[0] = before["value"], before["ts"]
         dt = rows.ts_ms - ts
-        rate = ((rows.value - value).abs() * 1000 / dt).where(dt > 0, 0.0).fillna(0.0)
+        rate = ((rows.value - value).abs() * 1000 / dt).where((dt > 0) & np.isfinite(value), 0.0).fillna(0.0)
         last = {"value": float(rows.value.iloc[-1]), "ts": int(rows.ts_ms.iloc[-1])}
         return rows.assign(rate=rate)[[c.split()[0] for c in VALIDATED.split(", ")]], last
 
