@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import statistics
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,46 +71,79 @@ def sessions(readings: DataFrame, gap_ms: int, name: str = "mean") -> DataFrame:
 ANCHORED = "sensor_id string, sensor_type string, base_ts_ms long, count long, interval_ms long, result_value double, min_value double, max_value double"
 
 
+class AnchoredWindow:
+    """Readings in order go in, closed windows (start, count, interval, result, min, max) come out."""
+
+    def __init__(self, width_ms: int, name: str, most: int | None, lossy: bool):
+        self.width, self.name, self.most, self.lossy = width_ms, name, most, lossy
+        self.start: int | None = None
+        self.values: list[float] = []
+        self.times: list[int] = []
+
+    def add(self, ts: int, value: float) -> tuple | None:
+        out = None
+        if self.start is None:
+            self.start = ts
+        full = self.most is not None and len(self.values) == self.most
+        if full or ts - self.start >= self.width:
+            out = self.close()
+            self.start = ts
+            if self.lossy and not full:
+                return out
+        self.values.append(value)
+        self.times.append(ts)
+        return out
+
+    def close(self) -> tuple | None:
+        v, t = self.values, self.times
+        self.values, self.times = [], []
+        if not v:
+            return None
+        n = len(v)
+        if self.name in ("mean", "sum"):
+            result = sum(v) / (n if self.name == "mean" else 1)
+        elif self.name == "stddev":
+            result = statistics.stdev(v) if n > 1 else 0.0
+        else:
+            result = {"min": min, "max": max, "median": statistics.median}[self.name](v)
+        return self.start, n, (t[-1] - t[0]) // (n - 1) if n > 1 else 0, float(result), min(v), max(v)
+
+
 def anchored(readings: DataFrame, width_ms: int, name: str = "mean", most: int | None = None, lossy: bool = False) -> DataFrame:
     """Windows of a width that begin at the first reading after the last window's end, for each sensor.
 
     ``most`` closes a window that holds so many readings (its successor begins with the next reading).  ``lossy`` drops
-    readings that close a window by time, and the last window.  Where a window begins depends on all before it, so a
-    sensor's readings are folded in order by one task.
+    readings that close a window by time, and the last window.  Readings without a value take no part.  Where a window
+    begins depends on all before it, so a sensor's readings are sorted and folded in one pass that holds one window.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(anchored_windows(rows, width_ms, name, most, lossy), columns=[c.split()[0] for c in ANCHORED.split(", ")])
-
-    slim = readings.select("sensor_id", "sensor_type", "ts_ms", "seq", "value")
-    return slim.groupBy("sensor_id", "sensor_type").applyInPandas(fold, ANCHORED)
-
-
-def anchored_windows(rows: pd.DataFrame, width_ms: int, name: str, most: int | None, lossy: bool) -> Iterator[tuple]:
-    rows = rows.sort_values(["ts_ms", "seq"])
-    start, held, times = None, [], []
-
-    def closed() -> tuple:
-        v = pd.Series(held)
-        result = {"mean": v.mean, "min": v.min, "max": v.max, "sum": v.sum, "median": v.median, "stddev": v.std}[name]()
-        interval = (times[-1] - times[0]) // (len(times) - 1) if len(times) > 1 else 0
-        return rows.sensor_id.iloc[0], rows.sensor_type.iloc[0], start, len(held), interval, 0.0 if pd.isna(result) else float(result), v.min(), v.max()
-
-    for ts, value in zip(rows.ts_ms.tolist(), rows.value.tolist(), strict=True):
-        if start is None:
-            start = ts
-        if most and len(held) == most:
-            yield closed()
-            start, held, times = ts, [value], [ts]
-        elif ts - start >= width_ms:
-            if held:
-                yield closed()
-            start, held, times = ts, [] if lossy else [value], [] if lossy else [ts]
-        else:
-            held.append(value)
-            times.append(ts)
-    if held and not lossy:
-        yield closed()
+    names = [c.split()[0] for c in ANCHORED.split(", ")]
+    types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, window, out = None, None, []
+
+        def batch() -> pa.RecordBatch:
+            rows = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+            out.clear()
+            return rows
+
+        for part in batches:
+            for sensor, kind, ts, value in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if (sensor, kind) != key:
+                    if window and not lossy and (row := window.close()):
+                        out.append((*key, *row))
+                    key, window = (sensor, kind), AnchoredWindow(width_ms, name, most, lossy)
+                if row := window.add(ts, value):
+                    out.append((*key, *row))
+            if len(out) > 10_000:
+                yield batch()
+        if window and not lossy and (row := window.close()):
+            out.append((*key, *row))
+        if out:
+            yield batch()
+
+    slim = readings.where("value is not null").repartition("sensor_id", "sensor_type").sortWithinPartitions("sensor_id", "sensor_type", "ts_ms", "seq")
+    return slim.select("sensor_id", "sensor_type", "ts_ms", "value").mapInArrow(fold, ANCHORED)
 
 
 STATS = ("mean", "min", "max", "std_dev", "rate_of_change", "count", "median", "variance", "skewness", "kurtosis", "rms", "zero_crossings", "peak_count", "trend_slope")

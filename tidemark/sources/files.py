@@ -82,22 +82,32 @@ def parse_binary(files: DataFrame, content: str = "content") -> DataFrame:
     schema = "ts_ms long, sensor_id string, sensor_type string, value double, quality double, reject string"
     kinds = np.array(["temperature", "humidity", "pressure"], object)
 
+    def records(raw: bytes) -> pa.RecordBatch:
+        x = np.frombuffer(raw, RECORD)
+        known = x["kind"] < len(kinds)
+        name = np.where(known, kinds[np.minimum(x["kind"], 2)], None)
+        ids = [s.decode("utf-8", "replace") for s in x["sensor_id"].tolist()]
+        columns = [pa.array(x["ts_ms"].astype("i8")), pa.array(ids, pa.string()), pa.array(name.tolist(), pa.string()), pa.array(x["value"].astype("f8")), pa.array(x["quality"].astype("f8"))]
+        return pa.record_batch([*columns, pa.array(np.where(known, None, "unknown sensor type").tolist(), pa.string())], [*FIELDS, "reject"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            whole, size, broken = [], 0, 0
             for raw in batch.column(0).to_pylist():
                 raw = raw or b""
+                broken += len(raw) % RECORD.itemsize > 0
                 for at in range(0, len(raw) - len(raw) % RECORD.itemsize, RECORD.itemsize * 65_536):
                     part = raw[at : at + RECORD.itemsize * 65_536]
-                    x = np.frombuffer(part[: len(part) - len(part) % RECORD.itemsize], RECORD)
-                    known = x["kind"] < len(kinds)
-                    name = np.where(known, kinds[np.minimum(x["kind"], 2)], None)
-                    ids = [s.decode("utf-8", "replace") for s in x["sensor_id"].tolist()]
-                    columns = [x["ts_ms"].astype("i8"), ids, name, x["value"].astype("f8"), x["quality"].astype("f8"), np.where(known, None, "unknown sensor type")]
-                    yield pa.record_batch([pa.array(c) if i not in (2, 5) else pa.array(list(c), pa.string()) for i, c in enumerate(columns)], [*FIELDS, "reject"])
-                if len(raw) % RECORD.itemsize:
-                    yield pa.record_batch(
-                        [pa.array([None], t) for t in (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64())] + [pa.array(["truncated record"])], [*FIELDS, "reject"]
-                    )
+                    whole.append(part[: len(part) - len(part) % RECORD.itemsize])
+                    size += len(whole[-1])
+                    if size >= RECORD.itemsize * 65_536:
+                        yield records(b"".join(whole))
+                        whole, size = [], 0
+            if whole:
+                yield records(b"".join(whole))
+            if broken:
+                none = [pa.nulls(broken, t) for t in (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+                yield pa.record_batch([*none, pa.array(["truncated record"] * broken)], [*FIELDS, "reject"])
 
     return files.select(content).mapInArrow(read, schema)
 
