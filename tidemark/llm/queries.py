@@ -115,6 +115,22 @@ SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM split s LEFT JOIN (SELECT * FROM fits WHERE k = 1) f ON f.page_id = s.page_id
 """
 
+OP7_SQL = r"""
+WITH RECURSIVE lists AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, CAST(len(w) - 2 AS BIGINT)), lambda i: array_to_string(w[i:i + 3], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM lists),
+counted AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+terms AS (SELECT doc_id, unnest(s) AS t FROM sets),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM terms a JOIN terms b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN counted p ON p.doc_id = x JOIN counted q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM counted UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT c.doc_id, c.n AS n_shingles, m.component_id FROM counted c JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY 1) m ON m.x = c.doc_id
+"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_fingerprints": op2_fingerprints,
@@ -127,4 +143,4 @@ QUERIES = {
     "op9_token_ids": op9_token_ids,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
-ORACLE_SQL = {"op8_url_filters": OP8_SQL}
+ORACLE_SQL = {"op7_ngram_join": OP7_SQL, "op8_url_filters": OP8_SQL}
