@@ -65,7 +65,7 @@ def test_one_of_each_group_stays(stages):
 
 def test_passages_go(stages):
     before, after = stages[2], {r.doc_id: r for r in stages[3]}
-    gone = brute_removed([(r.text or "").encode() for r in before], 400)
+    gone = brute_removed([(r.text or "").encode() for r in before], P.PASSAGE_BYTES)
     assert len(stages[3]) == len(before) and sum(map(sum, gone)) > 2000
     for r, g in zip(before, gone, strict=True):
         own = after[r.doc_id]
