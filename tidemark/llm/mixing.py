@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_WORDS, SHARD_SLOTS = 128, 4096
-#: Rows that one window over positions should hold.
-BUCKET_ROWS = 50_000
+#: Documents of one source, and slots, that one window over positions should hold.
+BUCKET_ROWS, BUCKET_SLOTS = 5_000, 50_000
 #: Prime multipliers of the index permutations.  A permutation of n takes the first that does not divide n; fewer than
 #: three of them can divide any n below 10**21.
 PRIMES = (15_485_863, 32_452_843, 49_979_687)
@@ -126,7 +126,7 @@ def _slots(src: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     total = src.agg(F.coalesce(F.sum("_slots"), F.lit(0))).first()[0]
     spark = src.sparkSession
     # A random order of all slots: by hash, in buckets of hashes, each bucket's first place being the rows ahead of it.
-    buckets = max(1, -(-total // BUCKET_ROWS))
+    buckets = max(1, -(-total // BUCKET_SLOTS))
     drawn = spark.range(total).select(F.col("id").alias("_draw"), F.xxhash64("id", F.lit(seed + 1)).alias("_h"))
     drawn = drawn.withColumn("_hb", F.pmod(F.col("_h"), F.lit(buckets)))
     counts = drawn.groupBy("_hb").agg(F.count("*").alias("_k"))
