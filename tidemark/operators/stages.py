@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import physics
@@ -157,3 +157,9 @@ def silences(timeout_ms: int) -> Stage:
         return df.select("sensor_id", "sensor_type", F.col("ts_ms").alias("silent_from_ms"), gap.alias("gap_ms")).where(F.col("gap_ms") > timeout_ms)
 
     return run
+
+
+def counted(name: str, *measures: Column) -> tuple[Stage, Observation]:
+    """A stage that passes rows on and counts them, and what it has seen once an action has run."""
+    seen = Observation(name)
+    return (lambda df: df.observe(seen, F.count(F.lit(1)).alias("processed"), *measures)), seen

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import api
+from tidemark.functions import events
 from tidemark.operators import aggregate as A
 from tidemark.operators import validators as V
 from tidemark.plans.readings import sensor_readings, with_readings
@@ -124,3 +126,25 @@ def bandwidth_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = sensor_readings(spark, sf_dir)
     out = A.tumbling(r, 24 * HOUR).groupBy("sensor_type").agg(F.sum("count").alias("rows_in"), F.count("*").alias("rows_out"))
     return out.withColumn("reduction", F.round(1 - F.col("rows_out") / F.col("rows_in"), 6))
+
+
+@query(with_readings(f"""SELECT event_kind, sensor_type, count(*) AS n, sum(c) AS counted, round(sum(v), 4) AS total, min(t) AS first_ts_ms FROM (
+  SELECT 'sensor_reading' AS event_kind, sensor_type, CAST(NULL AS BIGINT) AS c, value AS v, ts_ms AS t FROM r
+  UNION ALL SELECT 'batch_reading', sensor_type, count(*), max(value), CAST(floor(ts_ms / {24 * HOUR}) AS BIGINT) * {24 * HOUR} FROM r GROUP BY sensor_type, 5
+  UNION ALL SELECT 'system_event', NULL, 7, NULL, ts_ms FROM r WHERE quality < 0.1) GROUP BY 1, 2"""))
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = sensor_readings(spark, sf_dir)
+    everything = events.log(events.readings(r), events.batches(A.tumbling(r, 24 * HOUR)), events.system(r.where("quality < 0.1"), "ValidatorError", F.lit(7)))
+    counted = F.coalesce("count", "system_details")
+    value = F.coalesce("value", "max_value")
+    return everything.groupBy("event_kind", "sensor_type").agg(F.count("*").alias("n"), F.sum(counted).alias("counted"), F.round(F.sum(value), 4).alias("total"), F.min("ts_ms").alias("first_ts_ms"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, number, CASE WHEN t = 'NaN' OR t = 'Infinity' THEN 'not finite' WHEN number IS NULL THEN 'not a number' END AS problem FROM (
+  SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 1 THEN 'NaN' WHEN 2 THEN 'Infinity' WHEN 3 THEN 'x1' ELSE CAST(l_linenumber AS VARCHAR) END AS t,
+   CASE WHEN l_linenumber % 4 = 0 THEN CAST(l_linenumber AS DOUBLE) END AS number FROM lineitem)""")
+def number_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    text = F.when(n % 4 == 1, "NaN").when(n % 4 == 2, "Infinity").when(n % 4 == 3, "x1").otherwise(n.cast("string"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", text.alias("text"))
+    return api.convert(lines, "text").select("l_orderkey", "l_linenumber", "number", "problem")
