@@ -35,6 +35,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of rows handed to a Python worker at a time, where the session allows more.
+BATCH_BYTES = 8 << 20
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Keep batches of whole texts small, so that a worker's memory does not depend on how long texts are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back, so that lost executors cost no recomputation of what lies before."""
     path = new_folder(df.sparkSession, name)

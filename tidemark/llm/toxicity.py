@@ -15,10 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import discard, modest_batches, saved
+from tidemark.llm.shingles import give_back
+
 #: Labelled documents of each class that a fit reads at most (those with the smallest hash of doc_id), and lexicon size.
 FIT_DOCS, MOST_TERMS = 10_000, 2_000
 #: Lengths of word beginnings that can become lexicon entries.
 SHORTEST, LONGEST = 3, 12
+#: Word beginnings that a task counts before it gives its counts away.
+_COUNTED = 150_000
 
 # Look-alikes of Latin letters in other scripts, and digits or signs that stand for letters.
 HOMOGLYPHS = {
@@ -142,6 +147,10 @@ def _evidence(x: Count, toxic: int, clean: int) -> float:
     return 2 * sum(k * math.log(k / (n * p)) for k, p in ((x.toxic, share), (x.clean, 1 - share)) if k)
 
 
+def _least_docs(total: Count) -> float:
+    return max(3, 0.03 * total.toxic_docs)
+
+
 def choose_terms(counts: Iterable[Count], total: Count) -> dict[str, float]:
     """Word beginnings that tell the classes apart, weighted by the log-odds of their rates.
 
@@ -150,7 +159,7 @@ def choose_terms(counts: Iterable[Count], total: Count) -> dict[str, float]:
     """
     good = []
     for x in counts:
-        if x.term.endswith(" ") or x.toxic_docs < max(3, 0.03 * total.toxic_docs):
+        if x.term.endswith(" ") or x.toxic_docs < _least_docs(total):
             continue
         odds = math.log((x.toxic + 0.1) / (total.toxic + 1)) - math.log((x.clean + 0.1) / (total.clean + 1))
         evidence = _evidence(x, max(1, total.toxic), max(1, total.clean))
@@ -203,6 +212,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DOCS)
     could be an entry, again bounded by the sample, comes to the driver.  Null ids, labels or texts take no part.  With
     one class missing the lexicon is empty and every text scores alike.
     """
+    modest_batches(docs.sparkSession)
     labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     bounded = [labels.where(F.col("toxic") == y).orderBy(*by_hash).limit(fit_docs) for y in (1, 0)]
@@ -213,27 +223,42 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DOCS)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[Counter] = [Counter(), Counter()]
         in_docs: list[Counter] = [Counter(), Counter()]
+
+        def so_far() -> Iterator[pa.RecordBatch]:
+            terms = list(words[0].keys() | words[1].keys())
+            for at in range(0, len(terms), 50_000):
+                some = terms[at : at + 50_000]
+                columns = [[c[s] for s in some] for c in (words[1], words[0], in_docs[1], in_docs[0])]
+                yield pa.record_batch([some, *columns], ["term", *COUNTS])
+            for c in (*words, *in_docs):
+                c.clear()
+
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = _starts(text)
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found = _starts(text.as_py())
                 found[""] = sum(n for s, n in found.items() if s.endswith(" "))
                 words[y].update(found)
                 in_docs[y].update(found.keys())
-        terms = list(words[0].keys() | words[1].keys())
-        for at in range(0, len(terms), 50_000):
-            some = terms[at : at + 50_000]
-            columns = [[c[s] for s in some] for c in (words[1], words[0], in_docs[1], in_docs[0])]
-            yield pa.record_batch([some, *columns], ["term", *COUNTS])
+                if len(words[0]) + len(words[1]) > _COUNTED:
+                    yield from so_far()
+        yield from so_far()
+        give_back()
 
     schema = "term string, " + ", ".join(f"{c} long" for c in COUNTS)
-    summed = texts.mapInArrow(count, schema).groupBy("term").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    found = {r[0]: Count(*r) for r in summed.where("term = '' or toxic_docs >= 3 and not endswith(term, ' ')").collect()}
-    total = found.pop("", Count("", 0, 0, 0, 0))
-    lexicon = Lexicon(choose_terms(found.values(), total) if total.toxic and total.clean else {})
+    summed = saved(texts.mapInArrow(count, schema).groupBy("term").agg(*[F.sum(c).alias(c) for c in COUNTS]), "terms")
+    total = Count(*(summed.where("term = ''").first() or ("", 0, 0, 0, 0)))
+    lexicon = Lexicon({})
+    if total.toxic and total.clean:
+        # What choose_terms could take; the rest need not leave the executors.
+        strong = (F.col("toxic_docs") >= _least_docs(total)) & (F.col("toxic") * F.lit(float(total.clean)) >= F.col("clean") * F.lit(3.0 * total.toxic))
+        found = summed.where((F.col("term") != "") & ~F.col("term").endswith(" ") & strong).collect()
+        lexicon.terms = choose_terms([Count(*r) for r in found], total)
     if lexicon.terms:
         near = F.substring("term", 1, SHORTEST).isin(sorted({s[:SHORTEST] for s in lexicon.terms}))
-        some = [Count(*r) for r in summed.where(F.col("term").endswith(" ") & near & (F.col("clean_docs") >= 2)).collect()]
-        lexicon.exceptions = choose_exceptions(some, lexicon.terms, total)
+        commoner = (F.col("clean_docs") >= 2) & (F.col("clean") * F.lit(float(total.toxic)) > F.col("toxic") * F.lit(float(total.clean)))
+        some = summed.where(F.col("term").endswith(" ") & near & commoner).collect()
+        lexicon.exceptions = choose_exceptions([Count(*r) for r in some], lexicon.terms, total)
+    discard(summed)
 
     @F.pandas_udf("double")
     def density(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -257,5 +282,6 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, text: str = "text", sco
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield pd.Series([lexicon.score(t) for t in part], dtype="float64")
+        give_back()
 
     return docs.withColumn(score, scored(F.coalesce(F.col(text), F.lit(""))))
