@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, discard, saved, small, uniform
+from tidemark.llm.common import connected_components, discard, modest_batches, saved, small, uniform
 from tidemark.llm.shingles import give_back, mix, shingle_sets
 
 #: Sets of one block when all documents under a filed word are compared with each other.
@@ -131,6 +131,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower
     result; other columns are ignored.  The result rests on a small table in the shared folder.
     """
 
+    modest_batches(docs.sparkSession)
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, words, lower))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +218,7 @@ def _common(docs: DataFrame, words: int, lower: bool) -> np.ndarray:
 
     found = some.mapInArrow(count, "prefix int, n long").groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_FROM)
     bits = np.zeros(1 << COMMON_BITS, np.uint8)
-    bits[[r[0] for r in found.select("prefix").collect()]] = 1
+    bits[found.select("prefix").toArrow()["prefix"].to_numpy()] = 1
     return np.packbits(bits, bitorder="little")
 
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import modest_batches
+from tidemark.llm.shingles import give_back
 from tidemark.llm.tokens import encoder
 
 SEQUENCE_LENGTH, GROUP_DOCS = 2048, 2048
@@ -80,6 +82,7 @@ def pack_documents(
     A null text is empty (one piece with the end id); a null doc_id stays null; repeated rows are packed each on its own;
     an empty table gives no pieces; other columns are ignored.
     """
+    modest_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_docs))
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(groups)).alias("_group"))
 
@@ -108,6 +111,7 @@ def pack_documents(
                 held.append((doc_id, encoded + end))
         if held:
             yield from flush()
+        give_back()
 
     return dealt.repartition("_group").sortWithinPartitions("_group", "doc_id").mapInArrow(pack, SCHEMA)
 

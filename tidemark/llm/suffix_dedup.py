@@ -21,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, saved, small
+from tidemark.llm.common import discard, modest_batches, saved, small
 from tidemark.llm.shingles import give_back, mix
 
 GRAM = 32
 #: Contexts of one anchor that one task sorts; windows of more numerous ones are counted by hash instead, all over the cluster.
 MOST_CONTEXTS = 4096
 #: Bytes of contexts worked on together, and bytes of texts.
-_GROUP_BYTES, _TEXT_BYTES, _PASS_BYTES = 1 << 20, 4 << 20, 8 << 20
+_GROUP_BYTES, _TEXT_BYTES, _PASS_BYTES = 1 << 20, 1 << 20, 2 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
@@ -325,6 +325,7 @@ def remove_repeats(docs: DataFrame, *, least: int = 400, whole_characters: bool
     Matches never cross texts.  A null or short text has no spans and is kept as it is (null: empty).  Repeated rows are
     occurrences like any other.  An empty table gives an empty result.  Input columns named spans or kept are replaced.
     """
+    modest_batches(docs.sparkSession)
     docs = docs.drop("spans", "kept")
     spans = small(repeat_spans(docs, least=least), "spans").withColumnRenamed("text_id", "_t")
     marked = docs.withColumn("_t", F.xxhash64("text")).join(spans, "_t", "left").drop("_t")

@@ -11,6 +11,8 @@ from pyarrow import fs, ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.common import modest_batches
+from tidemark.llm.shingles import give_back
 from tidemark.llm.tokens import encoder
 
 SEQUENCE_LENGTH, BATCH_SEQUENCES = 2048, 256
@@ -128,10 +130,12 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int
                 out = SequenceWriter(path, max(enc.vocab_size, end_id + 1), length)
             for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1)), strict=True):
                 out.add(doc_id, ids + end)
+        give_back()
         if out is not None:
             out.close()
             yield pa.record_batch([[path], pa.array([part], pa.int32()), [out.n_docs], [out.n_tokens]], ["path", "part", "n_docs", "n_tokens"])
 
+    modest_batches(docs.sparkSession)
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return sorted((tuple(r) for r in ordered.mapInArrow(write, MANIFEST).collect()), key=lambda r: r[1])
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Word parts whose ids a worker remembers; the store is emptied when full, so memory is bounded and results are unaffected.
-CACHED_PARTS = 500_000
+CACHED_PARTS = 300_000
 #: Unknown words encoded in one call.
 JOINED = 4_000
 #: A word as a stem that ends in a letter or digit known to every version of Unicode, and closing ASCII signs, which the
@@ -49,7 +49,7 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.closes[i] = token.endswith("</w>")
 
-    def encode_many(self, texts: pa.Array | Sequence[str | None], at_once: int = 8 << 20) -> Iterator[bytes]:
+    def encode_many(self, texts: pa.Array | Sequence[str | None], at_once: int = 4 << 20) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text counts as empty."""
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         step = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // at_once
