@@ -405,3 +405,49 @@ def test_neighbours(spark):
     few = ann.nearest_neighbours(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0, 10).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
     assert ann.nearest_neighbours(df.limit(0), F.col("vec_id") == 0, 10).count() == 0
+
+
+def exact_best(x, q, members, k):
+    scores = x.astype(float) @ x[q].astype(float)
+    return [i for i in sorted(members, key=lambda i: (-scores[i], i)) if i != q][:k]
+
+
+def test_neighbours_come_from_the_probed_lists(spark, monkeypatch):
+    """The fitted sample adds no rows: with a slack that passes all, a query's rows are the best of its probed lists."""
+    x = np.random.default_rng(5).normal(size=(2000, 16)).astype(np.float32)
+    held, fit = [], ann.fit_index
+
+    def few_probes(*args):
+        held.append(fit(*args))
+        held[-1].probes, held[-1].slack = 3, 1e6
+        return held[-1]
+
+    monkeypatch.setattr(ann, "fit_index", few_probes)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in ann.nearest_neighbours(df, F.col("vec_id") % 100 == 0, 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    lists = held[0].encode(x)[0]
+    for q in range(0, 2000, 100):
+        assert got[q] == exact_best(x, q, np.flatnonzero(np.isin(lists, held[0].probed(x[q : q + 1])[0])).tolist(), 5)
+
+
+def test_neighbours_with_a_small_sample(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(60, 16))[rng.integers(0, 60, 5000)] + 0.3 * rng.normal(size=(5000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    hits = defaultdict(set)
+    for r in ann.nearest_neighbours(df, F.col("vec_id") % 100 == 0, 10, fit_vectors=400).collect():
+        hits[r.query_id].add(r.vec_id)
+    assert sum(len(hits[q] & set(exact_best(x, q, range(5000), 10))) for q in range(0, 5000, 100)) >= 0.9 * 500
+    # A probe that holds fewer than k is made up from other lists.
+    fit = ann.fit_index
+
+    def one_probe(*args):
+        index = fit(*args)
+        index.probes = 1
+        return index
+
+    monkeypatch.setattr(ann, "fit_index", one_probe)
+    found = ann.nearest_neighbours(df, F.col("vec_id") % 500 == 0, 150, fit_vectors=400).groupBy("query_id").count().collect()
+    assert len(found) == 10 and all(r["count"] == 150 for r in found)

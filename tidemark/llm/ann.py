@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import saved
+
 #: Vectors that a fit reads at most (those with the smallest hash of vec_id); the index itself holds every vector.
 FIT_VECTORS, MOST_LISTS = 32_768, 4_096
 #: Dimensions in one quantised part, code words of a part, and candidates of a query that are ranked exactly.
@@ -128,8 +130,10 @@ def nearest_neighbours(
     """The ``k`` rows with the largest inner product for every query row: query_id, rank (from 1), vec_id, score.
 
     Every usable row is indexed.  A query's candidates are the rows of the lists it probes whose score from codes reaches a
-    floor: its k-th best exact score in the fitted sample, less what codes may err; the sample's k best are candidates too.  No more than ``reranked`` of a chunk
-    and of all are kept, the best by codes; these are scored exactly, in double precision, and ranked, ties by smaller id.
+    floor: its k-th best exact score in the fitted sample, less what codes may err.  A query that so gets fewer than ``k`` is
+    asked of all lists again, where each chunk lowers the floor to its own k-th best score from codes, less twice what codes
+    may err.  No more than ``reranked`` of a chunk and of all are kept, the best by codes; these are scored exactly, in double
+    precision, and ranked, ties by smaller id.
     Long lists and busy lists are split into chunks that meet in separate tasks, so a vector that a third of all rows
     share, or a list that all queries probe, is spread.
 
@@ -162,54 +166,26 @@ def nearest_neighbours(
                 lists, codes = shared.value.encode(matrix(batch.column(1)))
                 yield pa.record_batch([batch.column(0), pa.array(lists), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "list", "codes"])
 
-    def query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def query_rows(batches: Iterator[pa.RecordBatch], everywhere: bool = False) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 q, ids = matrix(batch.column(1)), batch.column(0).to_numpy()
-                scores = q @ ix.sample.T
-                scores[ids[:, None] == ix.sample_ids] = -np.inf
-                floor = np.partition(scores, -k, axis=1)[:, -k] - ix.slack if scores.shape[1] > k else np.full(len(q), -np.inf)
-                lists = ix.probed(q)
+                if everywhere or len(ix.sample) <= k:
+                    floor = np.full(len(q), -np.inf)
+                else:
+                    scores = q @ ix.sample.T
+                    scores[ids[:, None] == ix.sample_ids] = -np.inf
+                    floor = np.partition(scores, -k, axis=1)[:, -k] - ix.slack
+                lists = np.tile(np.arange(len(ix.centers)), (len(q), 1)) if everywhere else ix.probed(q)
                 n = lists.shape[1]
                 yield pa.record_batch(
                     [pa.array(np.repeat(ids, n)), pa.array(lists.ravel().astype(np.int32)), pa.array(np.repeat(floor.astype(float), n)), batch.column(1).take(pa.array(np.repeat(np.arange(len(q)), n)))],
                     ["query_id", "list", "floor", "v"],
                 )
 
-    def sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                ids = batch.column(0).to_numpy()
-                scores = matrix(batch.column(1)) @ ix.sample.T
-                scores[ids[:, None] == ix.sample_ids] = -np.inf
-                n = min(k, scores.shape[1])
-                best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-                found = np.take_along_axis(scores, best, axis=1).ravel()
-                real = np.isfinite(found)
-                columns = [np.repeat(ids, n)[real], ix.sample_ids[best].ravel()[real], found[real].astype(float)]
-                yield pa.record_batch([pa.array(c) for c in columns], ["query_id", "vec_id", "approx"])
-
     coded = rows.select("vec_id", "v").mapInArrow(index_rows, "vec_id long, list int, codes binary")
-    asked = rows.where("q").select("vec_id", "v").mapInArrow(query_rows, "query_id long, list int, floor double, v array<float>")
-    # Chunks of each list; a row for each of at most MOST_LISTS lists, so small enough to broadcast.
-    parts = coded.groupBy("list").agg(F.ceil(F.count("*") / CHUNK_VECTORS).cast("int").alias("_nv"))
-    askers = asked.groupBy("list").agg(F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("_nq"))
-    parts = F.broadcast(parts.join(askers, "list"))
-    left = (
-        coded.join(parts, "list")
-        .withColumns({"_cv": F.pmod(F.xxhash64("vec_id"), F.col("_nv")).cast("int"), "_cq": F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))})
-        .select("list", "_cv", "_cq", "vec_id", "codes")
-    )
-    right = (
-        asked.join(parts, "list")
-        .withColumns({"_cq": F.pmod(F.xxhash64("query_id"), F.col("_nq")).cast("int"), "_cv": F.explode(F.sequence(F.lit(0), F.col("_nv") - 1))})
-        .select("list", "_cv", "_cq", "query_id", "floor", "v")
-    )
-
     def scan(vecs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "vec_id", "approx"]
         if not len(vecs) or not len(qs):
@@ -229,6 +205,8 @@ def nearest_neighbours(
                 for m in range(part.shape[1]):
                     scores += tables[:, m][:, part[:, m]]
                 for qid, floor, row in zip(some.query_id, some.floor, scores, strict=True):
+                    if floor == -np.inf and len(row) > k + 1:  # the query itself may be among the k + 1 best
+                        floor = np.partition(row, -k - 1)[-k - 1] - 2 * ix.slack
                     best = _best(row, floor, reranked)
                     best = best[ids[lo + best] != qid]
                     out[0].append(np.full(len(best), qid, np.int64))
@@ -237,8 +215,31 @@ def nearest_neighbours(
         return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, out, strict=True)})
 
     keys = ["list", "_cv", "_cq"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, approx double")
-    found = found.union(rows.where("q").select("vec_id", "v").mapInArrow(sample_rows, "query_id long, vec_id long, approx double"))
+
+    def search(asked: DataFrame) -> DataFrame:
+        # Chunks of each list; a row for each of at most MOST_LISTS lists, so small enough to broadcast.
+        parts = coded.groupBy("list").agg(F.ceil(F.count("*") / CHUNK_VECTORS).cast("int").alias("_nv"))
+        askers = asked.groupBy("list").agg(F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("_nq"))
+        parts = F.broadcast(parts.join(askers, "list"))
+        left = (
+            coded.join(parts, "list")
+            .withColumns({"_cv": F.pmod(F.xxhash64("vec_id"), F.col("_nv")).cast("int"), "_cq": F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))})
+            .select("list", "_cv", "_cq", "vec_id", "codes")
+        )
+        right = (
+            asked.join(parts, "list")
+            .withColumns({"_cq": F.pmod(F.xxhash64("query_id"), F.col("_nq")).cast("int"), "_cv": F.explode(F.sequence(F.lit(0), F.col("_nv") - 1))})
+            .select("list", "_cv", "_cq", "query_id", "floor", "v")
+        )
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, approx double")
+
+    queries, asked_as = rows.where("q").select("vec_id", "v"), "query_id long, list int, floor double, v array<float>"
+    found = saved(search(queries.mapInArrow(query_rows, asked_as)), "candidates")
+    # Queries whose lists held too few are asked of all lists.
+    full = found.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select(F.col("query_id").alias("vec_id"))
+    short = queries.join(full, "vec_id", "left_anti")
+    if not short.isEmpty():
+        found = found.union(search(short.mapInArrow(lambda batches: query_rows(batches, True), asked_as)))
     found = found.groupBy("query_id", "vec_id").agg(F.max("approx").alias("approx"))
     by_query = Window.partitionBy("query_id")
     found = found.withColumn("_n", F.row_number().over(by_query.orderBy(F.desc("approx"), "vec_id"))).where(F.col("_n") <= reranked)
