@@ -451,3 +451,16 @@ def test_neighbours_with_a_small_sample(spark, monkeypatch):
     monkeypatch.setattr(ann, "fit_index", one_probe)
     found = ann.nearest_neighbours(df, F.col("vec_id") % 500 == 0, 150, fit_vectors=400).groupBy("query_id").count().collect()
     assert len(found) == 10 and all(r["count"] == 150 for r in found)
+
+
+def test_neighbours_among_many_near_copies(spark):
+    """Codes cannot tell near copies apart, so all of them are ranked exactly."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 16)).astype(np.float32)
+    x[1000:2500] = x[1000] + 0.002 * rng.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in ann.nearest_neighbours(df, F.col("vec_id") % 100 == 50, 10, fit_vectors=1000).collect():
+        got[r.query_id].add(r.vec_id)
+    assert sum(len(got[q] & set(exact_best(x, q, range(6000), 10))) for q in range(1050, 2500, 100)) >= 0.95 * 150

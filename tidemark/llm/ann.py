@@ -17,8 +17,8 @@ from tidemark.llm.common import saved
 
 #: Vectors that a fit reads at most (those with the smallest hash of vec_id); the index itself holds every vector.
 FIT_VECTORS, MOST_LISTS = 32_768, 4_096
-#: Dimensions in one quantised part, code words of a part, and candidates of a query that are ranked exactly.
-PART_DIMS, CODE_WORDS, RERANKED = 2, 256, 200
+#: Dimensions in one quantised part, and code words of a part.
+PART_DIMS, CODE_WORDS = 2, 256
 #: Vectors and queries that meet in one task; longer lists are split into such chunks.
 CHUNK_VECTORS, CHUNK_QUERIES = 65_536, 2_048
 
@@ -113,27 +113,34 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda v: v != 0)
 
 
-def _best(scores: np.ndarray, floor: float, most: int) -> np.ndarray:
-    """Places of the ``most`` best scores from ``floor`` on; of equal ones the first."""
-    at = np.flatnonzero(scores >= floor)
-    if len(at) <= most:
-        return at
-    some = scores[at]
-    edge = np.partition(some, -most)[-most]
-    above = at[some > edge]
-    return np.concatenate([above, at[some == edge][: most - len(above)]])
+def _best(scores: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` best scores; of equal ones the first."""
+    if len(scores) <= most:
+        return np.arange(len(scores))
+    edge = np.partition(scores, -most)[-most]
+    above = np.flatnonzero(scores > edge)
+    return np.concatenate([above, np.flatnonzero(scores == edge)[: most - len(above)]])
+
+
+def _first_of_equal(x: np.ndarray, most: int) -> np.ndarray:
+    """Places, in order, of the first ``most`` of each group of equal rows."""
+    whole = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
+    group = np.unique(whole, return_inverse=True)[1].ravel()
+    order = np.argsort(group, kind="stable")
+    n = np.bincount(group)
+    return np.sort(order[np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n) < most])
 
 
 def nearest_neighbours(
-    vectors: DataFrame, is_query: Column, k: int, *, id: str = "vec_id", vector: str = "embedding", fit_vectors: int = FIT_VECTORS, reranked: int = RERANKED
+    vectors: DataFrame, is_query: Column, k: int, *, id: str = "vec_id", vector: str = "embedding", fit_vectors: int = FIT_VECTORS
 ) -> DataFrame:
     """The ``k`` rows with the largest inner product for every query row: query_id, rank (from 1), vec_id, score.
 
     Every usable row is indexed.  A query's candidates are the rows of the lists it probes whose score from codes reaches a
     floor: its k-th best exact score in the fitted sample, less what codes may err.  A query that so gets fewer than ``k`` is
     asked of all lists again, where each chunk lowers the floor to its own k-th best score from codes, less twice what codes
-    may err.  No more than ``reranked`` of a chunk and of all are kept, the best by codes; these are scored exactly, in double
-    precision, and ranked, ties by smaller id.
+    may err.  All candidates are scored exactly, in double precision, where their chunk is scanned, and the best ``k`` of each
+    chunk are ranked, ties by smaller id.  Of equal vectors of a chunk only the k + 1 with the smallest ids can be among them.
     Long lists and busy lists are split into chunks that meet in separate tasks, so a vector that a third of all rows
     share, or a list that all queries probe, is spread.
 
@@ -163,8 +170,9 @@ def nearest_neighbours(
     def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                lists, codes = shared.value.encode(matrix(batch.column(1)))
-                yield pa.record_batch([batch.column(0), pa.array(lists), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "list", "codes"])
+                x = matrix(batch.column(1))
+                lists, codes = shared.value.encode(x)
+                yield pa.record_batch([batch.column(0), pa.array(lists), *[pa.array([r.tobytes() for r in rs], pa.binary()) for rs in (codes, x)]], ["vec_id", "list", "codes", "x"])
 
     def query_rows(batches: Iterator[pa.RecordBatch], everywhere: bool = False) -> Iterator[pa.RecordBatch]:
         ix = shared.value
@@ -185,15 +193,18 @@ def nearest_neighbours(
                     ["query_id", "list", "floor", "v"],
                 )
 
-    coded = rows.select("vec_id", "v").mapInArrow(index_rows, "vec_id long, list int, codes binary")
+    coded = rows.select("vec_id", "v").mapInArrow(index_rows, "vec_id long, list int, codes binary, x binary")
     def scan(vecs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "vec_id", "approx"]
+        names = ["query_id", "vec_id", "score"]
         if not len(vecs) or not len(qs):
             return pd.DataFrame({n: [] for n in names})
         ix = shared.value
         vecs = vecs.sort_values("vec_id")
         ids, number = vecs.vec_id.to_numpy(np.int64), int(vecs["list"].iloc[0])
         codes = np.frombuffer(b"".join(vecs.codes), np.uint8).reshape(len(vecs), -1)
+        x = np.frombuffer(b"".join(vecs.x), np.float32).reshape(len(vecs), -1)
+        own = _first_of_equal(x, k + 1)
+        ids, codes, x = ids[own], codes[own], x[own]
         out: list[list[np.ndarray]] = [[], [], []]
         for at in range(0, len(qs), 64):
             some = qs.iloc[at : at + 64]
@@ -204,14 +215,17 @@ def nearest_neighbours(
                 scores = np.repeat((q @ ix.centers[number])[:, None], len(part), 1)
                 for m in range(part.shape[1]):
                     scores += tables[:, m][:, part[:, m]]
-                for qid, floor, row in zip(some.query_id, some.floor, scores, strict=True):
+                for qid, floor, row, asked_for in zip(some.query_id, some.floor, scores, q.astype(float), strict=True):
                     if floor == -np.inf and len(row) > k + 1:  # the query itself may be among the k + 1 best
                         floor = np.partition(row, -k - 1)[-k - 1] - 2 * ix.slack
-                    best = _best(row, floor, reranked)
-                    best = best[ids[lo + best] != qid]
+                    near = np.flatnonzero(row >= floor)
+                    near = near[ids[lo + near] != qid]
+                    # One after another, so that a score is the same wherever it is summed.
+                    score = np.cumsum(x[lo + near].astype(float) * asked_for, axis=1)[:, -1]
+                    best = _best(score, k)
                     out[0].append(np.full(len(best), qid, np.int64))
-                    out[1].append(ids[lo + best])
-                    out[2].append(row[best].astype(float))
+                    out[1].append(ids[lo + near[best]])
+                    out[2].append(score[best])
         return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, out, strict=True)})
 
     keys = ["list", "_cv", "_cq"]
@@ -224,14 +238,14 @@ def nearest_neighbours(
         left = (
             coded.join(parts, "list")
             .withColumns({"_cv": F.pmod(F.xxhash64("vec_id"), F.col("_nv")).cast("int"), "_cq": F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))})
-            .select("list", "_cv", "_cq", "vec_id", "codes")
+            .select("list", "_cv", "_cq", "vec_id", "codes", "x")
         )
         right = (
             asked.join(parts, "list")
             .withColumns({"_cq": F.pmod(F.xxhash64("query_id"), F.col("_nq")).cast("int"), "_cv": F.explode(F.sequence(F.lit(0), F.col("_nv") - 1))})
             .select("list", "_cv", "_cq", "query_id", "floor", "v")
         )
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, approx double")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
 
     queries, asked_as = rows.where("q").select("vec_id", "v"), "query_id long, list int, floor double, v array<float>"
     found = saved(search(queries.mapInArrow(query_rows, asked_as)), "candidates")
@@ -240,12 +254,6 @@ def nearest_neighbours(
     short = queries.join(full, "vec_id", "left_anti")
     if not short.isEmpty():
         found = found.union(search(short.mapInArrow(lambda batches: query_rows(batches, True), asked_as)))
-    found = found.groupBy("query_id", "vec_id").agg(F.max("approx").alias("approx"))
-    by_query = Window.partitionBy("query_id")
-    found = found.withColumn("_n", F.row_number().over(by_query.orderBy(F.desc("approx"), "vec_id"))).where(F.col("_n") <= reranked)
-    pairs = found.select("query_id", "vec_id").join(rows.select("vec_id", "v"), "vec_id")
-    pairs = pairs.join(rows.where("q").select(F.col("vec_id").alias("query_id"), F.col("v").alias("_qv")), "query_id")
-    product = F.zip_with("v", "_qv", lambda a, b: a.cast("double") * b.cast("double"))
-    exact = pairs.select("query_id", "vec_id", F.aggregate(product, F.lit(0.0), lambda s, x: s + x).alias("score"))
-    ranked = exact.withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
