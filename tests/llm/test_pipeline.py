@@ -107,3 +107,18 @@ def test_empty_tables(spark):
     docs = frame(spark, []).select(*P.COLUMNS)
     for stage in (P.drop_near_duplicates, P.drop_repeated_passages, P.mix, P.pack):
         assert stage(spark, docs, "").count() == 0
+
+
+def test_passages_of_short_words_go(spark):
+    """Over fifty words in fewer than 250 bytes go; fifty words stay, and so do two shorter repeats side by side."""
+    rng = random.Random(11)
+    short = lambda n: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyzäö") + rng.choice("abcdefghijklmnop") for _ in range(n))
+    own = lambda: " " + words(rng, 30) + " "
+    long, fifty, one, two = short(51), short(50), short(40), short(40)
+    pieces = {i: (own(), own()) for i in range(8)}
+    texts = [long, long, fifty, fifty, f"{one} {two}", one, two]
+    rows = [(i, pieces[i][0] + t + pieces[i][1]) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in P.drop_repeated_passages(spark, frame(spark, rows), "").collect()}
+    assert len(long.encode()) < P.PASSAGE_BYTES
+    for i, text in rows:
+        assert got[i] == (text.replace(long, "") if i < 2 else text)

@@ -32,6 +32,8 @@ _GROUP_BYTES, _TEXT_BYTES, _PASS_BYTES = 1 << 20, 1 << 20, 2 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -314,12 +316,71 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(out, kind)], ["t", "spans"])
 
 
-def remove_repeats(docs: DataFrame, *, least: int = 400, whole_characters: bool = False) -> DataFrame:
+def passage_spans(docs: DataFrame, *, least: int, least_words: int) -> DataFrame:
+    """The same as repeat_spans for strings of ``least`` bytes and, however short, of ``least_words`` whole words.
+
+    Words are split by ASCII white space; the white space between them counts.  So many words have at least twice as many
+    bytes less one.  What such short strings cover is cut out, to whole words, and holds every repeat that is looked for; both
+    kinds are then found in the cut parts, so that short repeats side by side do not count as one long passage.
+    """
+    shortest = 2 * least_words - 1
+    if shortest >= least:
+        return repeat_spans(docs, least=least)
+    covered = small(repeat_spans(docs, least=shortest), "spans").withColumnRenamed("text_id", "_t")
+    marked = docs.select(F.xxhash64("text").alias("_t"), "text").where("text is not null").join(covered, "_t")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                raw = text.encode()
+                space = np.concatenate([[-1], np.flatnonzero(_SPACE[np.frombuffer(raw, np.uint8)]), [len(raw)]])
+                begins = space[np.searchsorted(space, [s["a"] for s in spans]) - 1] + 1
+                ends = space[np.searchsorted(space, [s["b"] for s in spans])]
+                parts: list[list[int]] = []
+                for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+                    if parts and a <= parts[-1][1]:
+                        parts[-1][1] = max(b, parts[-1][1])
+                    else:
+                        parts.append([a, b])
+                yield pa.record_batch([pa.array([t] * len(parts), pa.int64()), pa.array([a for a, _ in parts], pa.int64()), pa.array([raw[a:b].decode() for a, b in parts])], ["t", "begin", "text"])
+        give_back()
+
+    parts = saved(marked.select("_t", "text", "spans").mapInArrow(cut, "t long, begin long, text string"), "parts")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, low = xxhash.xxh3_128_intdigest, (1 << 64) - 1
+        for batch in batches:
+            for t, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                raw = text.encode()
+                edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[np.frombuffer(raw, np.uint8)], [True]])))
+                a, b = edges[::2][: -least_words + 1 or None], edges[1::2][least_words - 1 :]
+                for at in range(0, len(b), 16_384):
+                    x, y = a[at : at + 16_384], b[at : at + 16_384]
+                    h = [digest(raw[i:j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+                    words = [np.array(c, np.uint64).view(np.int64) for c in ([v >> 64 for v in h], [v & low for v in h])]
+                    yield pa.record_batch([pa.array(c) for c in (*words, np.full(len(x), t, np.int64), x, y)], ["w1", "w2", "id", "a", "b"])
+        give_back()
+
+    many = saved(parts.select(F.xxhash64("text").alias("id"), "text").mapInArrow(windows, "w1 long, w2 long, id long, a long, b long"), "windows")
+    twice = many.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1")
+    long = repeat_spans(parts.select("text"), least=least).select(F.col("text_id").alias("id"), F.explode("spans").alias("_s")).select("id", "_s.a", "_s.b")
+    # Windows of one part that overlap are merged before they meet the texts.
+    inside = long.union(many.join(twice.select("w1", "w2"), ["w1", "w2"]).select("id", "a", "b")).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    inside = inside.mapInArrow(_merge, "id long, spans array<struct<a: long, b: long>>")
+    placed = parts.select("t", "begin", F.xxhash64("text").alias("id")).distinct().join(inside, "id").select("t", "begin", F.explode("spans").alias("_s"))
+    placed = placed.groupBy("t").agg(F.collect_list(F.struct((F.col("begin") + F.col("_s.a")).alias("a"), (F.col("begin") + F.col("_s.b")).alias("b"))).alias("spans"))
+    merged = saved(placed.mapInArrow(_merge, "t long, spans array<struct<a: long, b: long>>"), "spans")
+    for table in (parts, many):
+        discard(table)
+    return merged.withColumnRenamed("t", "text_id")
+
+
+def remove_repeats(docs: DataFrame, *, least: int = 400, least_words: int | None = None, whole_characters: bool = False) -> DataFrame:
     """Every row with ``spans`` (array of begin and end, in bytes, maximal and in order; empty without any) and ``kept``
     (binary), the bytes of ``text`` outside of them.
 
     A byte goes when a string of ``least`` bytes covers it that also starts anywhere else, in the same text or another, in
-    the input as it is.  All such places go, none is spared.  With ``whole_characters`` a span gives up bytes of characters
+    the input as it is; with ``least_words``, also when a string of so many whole words does.  All such places go, none is spared.  With ``whole_characters`` a span gives up bytes of characters
     that it covers in part, so that ``kept`` is valid UTF-8.
 
     Matches never cross texts.  A null or short text has no spans and is kept as it is (null: empty).  Repeated rows are
@@ -327,7 +388,8 @@ def remove_repeats(docs: DataFrame, *, least: int = 400, whole_characters: bool
     """
     modest_batches(docs.sparkSession)
     docs = docs.drop("spans", "kept")
-    spans = small(repeat_spans(docs, least=least), "spans").withColumnRenamed("text_id", "_t")
+    spans = passage_spans(docs, least=least, least_words=least_words) if least_words else repeat_spans(docs, least=least)
+    spans = small(spans, "spans").withColumnRenamed("text_id", "_t")
     marked = docs.withColumn("_t", F.xxhash64("text")).join(spans, "_t", "left").drop("_t")
 
     @F.pandas_udf("a array<long>, b array<long>, kept binary")
