@@ -122,3 +122,12 @@ def test_passages_of_short_words_go(spark):
     assert len(long.encode()) < P.PASSAGE_BYTES
     for i, text in rows:
         assert got[i] == (text.replace(long, "") if i < 2 else text)
+
+
+def test_no_copy_without_an_id_stays_beside_its_group(spark):
+    rng = random.Random(12)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(7, a), (None, a), (None, a + " more"), (None, b), (None, b), (None, b + " more"), (5, c), (5, a), (None, ""), (None, None), (9, "")]
+    got = [(r.doc_id, r.text) for r in P.drop_near_duplicates(spark, frame(spark, rows), "").collect()]
+    assert len([t for _, t in got if t and t.startswith(b)]) == 1
+    assert Counter(r for r in got if not (r[1] or "").startswith(b)) == Counter([(5, a), (5, c), (None, ""), (None, None), (9, "")])
