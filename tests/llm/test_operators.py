@@ -200,6 +200,57 @@ def test_repeats(spark, corpus, contexts, monkeypatch):
     assert [r.kept.decode() for r in whole] in (["", "x"], ["x", ""])
 
 
+def brute_passages(texts, n):
+    """Runs of words, as begin and end, that strings of n words cover which occur twice."""
+    lists = [split(t) for t in texts]
+    seen = Counter(tuple(w[i : i + n]) for w in lists for i in range(len(w) - n + 1))
+    out = []
+    for w in lists:
+        gone = np.zeros(len(w) + 2, bool)
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                gone[i + 1 : i + n + 1] = True
+        out.append([tuple(x) for x in np.flatnonzero(np.diff(gone)).reshape(-1, 2).tolist()])
+    return out
+
+
+@pytest.mark.parametrize("contexts", [4096, 3])
+def test_repeats_of_words(spark, corpus, contexts, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", contexts)
+    rows = [r for r in corpus if r[0] is None or r[0] < 140 or r[0] > 155]
+    got = suffix_dedup.remove_repeats(frame(spark, rows), least=100_000, report_words=12).select("text", "passages").collect()
+    for r, passages in zip(got, brute_passages([r.text for r in got], 12), strict=True):
+        assert [tuple(p) for p in r.passages] == passages
+    both = suffix_dedup.remove_repeats(frame(spark, [(1, "q " + "é" * 9 + " b\nc d"), (2, "é" * 9 + " b c  d e")]), least=100, least_words=4).collect()
+    assert sorted(bytes(r.kept) for r in both) == [b" e", b"q "]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_one_anchor_of_thousands_of_contexts(spark, seed, monkeypatch):
+    """All texts share a core that every window holds, and differ before and behind it, some of them alike."""
+    monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", (7, 40, 150, 5000)[seed])
+    rng = random.Random(seed)
+    core = "".join(rng.choice("abcdefghijklmnop") for _ in range(48))
+    some = lambda n: "".join(rng.choice("xyz") for _ in range(n))
+    texts = [some(rng.randrange(18)) + core + some(rng.randrange(18)) for _ in range(3000)]
+    got = suffix_dedup.remove_repeats(frame(spark, list(enumerate(texts))), least=60).select("text", "spans").collect()
+    raw = [r.text.encode() for r in got]
+    for r, gone in zip(got, brute_removed(raw, 60), strict=True):
+        assert [(s.a, s.b) for s in r.spans] == [tuple(x) for x in np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]))).reshape(-1, 2)]
+
+
+def test_anchors_of_long_texts_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    bounds = np.array([0, 9000, 9010, 9010, 15000])
+    for data in (rng.integers(0, 4, 15000).astype(np.uint8), rng.integers(0, 4, 15000).astype(np.uint64)):
+        whole = suffix_dedup.anchors(data, bounds, 64, 8)
+        monkeypatch.setattr(suffix_dedup, "_PASS_BYTES", 2000)
+        parts = suffix_dedup.all_anchors(data, bounds, 64, 8)
+        monkeypatch.undo()
+        windows = lambda found: {(t, p, w, int(h)) for t, p, a, b, h in zip(*(x.tolist() for x in found), strict=True) for w in range(a, b + 1)}
+        assert windows(whole) == windows(parts)
+
+
 def test_maximal_repeats_have_all_their_occurrences():
     text = b"xabcdeYabcdeZabcdyxabcdeQ"
     suffixes = [text[i:] for i in range(len(text))]

@@ -52,11 +52,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), least=400)
+    kept = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), least=400, report_words=51)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
     return kept.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("passages").cast("long").alias("n_passages"),
     )
 
 
