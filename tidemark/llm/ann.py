@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved
+from tidemark.llm.common import discard, saved
 
 #: Vectors that a fit reads at most (those with the smallest hash of vec_id); the index itself holds every vector.
 FIT_VECTORS, MOST_LISTS = 32_768, 4_096
@@ -51,9 +51,7 @@ class Index:
     centers: np.ndarray
     books: np.ndarray  # part, code word, dimension of the part
     probes: int
-    slack: float  # what a score from codes may fall short of the exact one
-    sample: np.ndarray
-    sample_ids: np.ndarray
+    slack: float  # what a score from codes may differ from the exact one
 
     def padded(self, x: np.ndarray) -> np.ndarray:
         parts, _, dims = self.books.shape
@@ -73,14 +71,11 @@ class Index:
         return np.einsum("qmd,mkd->qmk", self.padded(q).reshape(len(q), parts, dims), self.books)
 
     def probed(self, q: np.ndarray) -> np.ndarray:
-        """The lists to search, by the inner product with their centers."""
-        scores = q @ self.centers.T
-        if self.probes >= len(self.centers):
-            return np.tile(np.arange(len(self.centers)), (len(q), 1))
-        return np.argpartition(-scores, self.probes - 1, axis=1)[:, : self.probes]
+        """The lists to search, by the inner product with their centers, the best first."""
+        return np.argsort(-(q @ self.centers.T), axis=1, kind="stable")[:, : self.probes]
 
 
-def fit_index(vectors: np.ndarray, ids: np.ndarray, total: int, k: int, coverage: float = 0.97) -> Index:
+def fit_index(vectors: np.ndarray, total: int, k: int, coverage: float = 0.97) -> Index:
     """Learn lists, code books and how many lists to probe, so that these hold ``coverage`` of the nearest in the sample."""
     x = np.ascontiguousarray(vectors, np.float32)
     n_lists = max(1, min(MOST_LISTS, int(math.sqrt(total)), len(x)))
@@ -92,7 +87,7 @@ def fit_index(vectors: np.ndarray, ids: np.ndarray, total: int, k: int, coverage
     for m in range(parts):
         found = k_means(rest[:, m * PART_DIMS : (m + 1) * PART_DIMS], CODE_WORDS)
         books[m] = found[np.arange(CODE_WORDS) % len(found)]
-    index = Index(centers, books, len(centers), 0.0, x, ids)
+    index = Index(centers, books, len(centers), 0.0)
     q = x[:: max(1, len(x) // 256)][:256]
     exact = q @ x.T
     _, codes = index.encode(x)
@@ -122,46 +117,36 @@ def _best(scores: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == edge)[: most - len(above)]])
 
 
-def _first_of_equal(x: np.ndarray, most: int) -> np.ndarray:
-    """Places, in order, of the first ``most`` of each group of equal rows."""
-    whole = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
-    group = np.unique(whole, return_inverse=True)[1].ravel()
-    order = np.argsort(group, kind="stable")
-    n = np.bincount(group)
-    return np.sort(order[np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n) < most])
-
-
 def nearest_neighbours(
     vectors: DataFrame, is_query: Column, k: int, *, id: str = "vec_id", vector: str = "embedding", fit_vectors: int = FIT_VECTORS
 ) -> DataFrame:
     """The ``k`` rows with the largest inner product for every query row: query_id, rank (from 1), vec_id, score.
 
-    Every usable row is indexed.  A query's candidates are the rows of the lists it probes whose score from codes reaches a
-    floor: its k-th best exact score in the fitted sample, less what codes may err.  A query that so gets fewer than ``k`` is
-    asked of all lists again, where each chunk lowers the floor to its own k-th best score from codes, less twice what codes
-    may err.  All candidates are scored exactly, in double precision, where their chunk is scanned, and the best ``k`` of each
-    chunk are ranked, ties by smaller id.  Of equal vectors of a chunk only the k + 1 with the smallest ids can be among them.
-    Long lists and busy lists are split into chunks that meet in separate tasks, so a vector that a third of all rows
-    share, or a list that all queries probe, is spread.
+    Every usable row is indexed; of equal vectors the k + 1 with the smallest ids, as no other can be among the nearest.
+    Equal queries are asked once.  A query is first asked of the list whose center is nearest; the (k + 1)-th best score there
+    is its floor in the other lists that it probes.  In each chunk of a list, the vectors whose score from codes is not lower
+    than the floor, or without one the chunk's own (k + 1)-th best score from codes, less what codes may err, are scored
+    exactly, in double precision, and the best k + 1 are kept.  A query that so gets fewer is asked of all lists.  Ties go to
+    the smaller id.  Long lists and busy lists are split into chunks that meet in separate tasks.
 
     Rows with a null id, a null, zero or non-finite vector, or another dimension than most of the sample take no part;
     rows that repeat an id count once (the smallest vector).  With fewer than k others, all are returned.  No usable query
     or vector gives an empty result.  Other columns are ignored.
     """
-    spark = vectors.sparkSession
+    spark, most = vectors.sparkSession, k + 1  # a query itself may be among the best
     slim = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v"), is_query.alias("q"))
     rows = slim.where(F.col("vec_id").isNotNull() & _usable(F.col("v"))).groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = rows_table = saved(rows, "vectors")
     drawn = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_vectors).toArrow()
     if not len(drawn):
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = pc.list_value_length(drawn["v"])
     dims = max(pc.mode(lengths, 1).to_pylist()[0]["mode"], 1)
     drawn = drawn.filter(pc.equal(lengths, dims))
     rows = rows.where(F.size("v") == dims)
     sample = np.concatenate([c.flatten().to_numpy() for c in drawn["v"].chunks]).reshape(-1, dims)
-    index = fit_index(sample, drawn["vec_id"].to_numpy(), rows.count(), k)
-    del drawn
+    index = fit_index(sample, rows.count(), k)
+    del drawn, sample
     shared = spark.sparkContext.broadcast(index)
 
     def matrix(column: pa.Array) -> np.ndarray:
@@ -174,26 +159,24 @@ def nearest_neighbours(
                 lists, codes = shared.value.encode(x)
                 yield pa.record_batch([batch.column(0), pa.array(lists), *[pa.array([r.tobytes() for r in rs], pa.binary()) for rs in (codes, x)]], ["vec_id", "list", "codes", "x"])
 
-    def query_rows(batches: Iterator[pa.RecordBatch], everywhere: bool = False) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                q, ids = matrix(batch.column(1)), batch.column(0).to_numpy()
-                if everywhere or len(ix.sample) <= k:
-                    floor = np.full(len(q), -np.inf)
-                else:
-                    scores = q @ ix.sample.T
-                    scores[ids[:, None] == ix.sample_ids] = -np.inf
-                    floor = np.partition(scores, -k, axis=1)[:, -k] - ix.slack
-                lists = np.tile(np.arange(len(ix.centers)), (len(q), 1)) if everywhere else ix.probed(q)
-                n = lists.shape[1]
-                yield pa.record_batch(
-                    [pa.array(np.repeat(ids, n)), pa.array(lists.ravel().astype(np.int32)), pa.array(np.repeat(floor.astype(float), n)), batch.column(1).take(pa.array(np.repeat(np.arange(len(q)), n)))],
-                    ["query_id", "list", "floor", "v"],
-                )
-
-    coded = rows.select("vec_id", "v").mapInArrow(index_rows, "vec_id long, list int, codes binary, x binary")
+    def asked_of(which: str):
+        """Rows of queries and the lists they are asked of: the nearest one, the others that are probed, or all."""
+
+        def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    batch = whole.slice(at, 512)
+                    lists = shared.value.probed(matrix(batch.column(2)))
+                    lists = {"nearest": lists[:, :1], "others": lists[:, 1:], "all": np.tile(np.arange(len(shared.value.centers)), (len(lists), 1))}[which]
+                    again = pa.array(np.repeat(np.arange(len(lists)), lists.shape[1]))
+                    yield pa.record_batch([*[batch.column(i).take(again) for i in range(3)], pa.array(lists.ravel().astype(np.int32))], ["query_id", "floor", "v", "list"])
+
+        return rows_of
+
+    alike = Window.partitionBy("_h", "v").orderBy("vec_id")
+    indexed = rows.select("vec_id", "v", F.xxhash64("v").alias("_h")).withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= most)
+    coded = saved(indexed.select("vec_id", "v").mapInArrow(index_rows, "vec_id long, list int, codes binary, x binary"), "index")
+
     def scan(vecs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "vec_id", "score"]
         if not len(vecs) or not len(qs):
@@ -203,8 +186,6 @@ def nearest_neighbours(
         ids, number = vecs.vec_id.to_numpy(np.int64), int(vecs["list"].iloc[0])
         codes = np.frombuffer(b"".join(vecs.codes), np.uint8).reshape(len(vecs), -1)
         x = np.frombuffer(b"".join(vecs.x), np.float32).reshape(len(vecs), -1)
-        own = _first_of_equal(x, k + 1)
-        ids, codes, x = ids[own], codes[own], x[own]
         out: list[list[np.ndarray]] = [[], [], []]
         for at in range(0, len(qs), 64):
             some = qs.iloc[at : at + 64]
@@ -216,13 +197,14 @@ def nearest_neighbours(
                 for m in range(part.shape[1]):
                     scores += tables[:, m][:, part[:, m]]
                 for qid, floor, row, asked_for in zip(some.query_id, some.floor, scores, q.astype(float), strict=True):
-                    if floor == -np.inf and len(row) > k + 1:  # the query itself may be among the k + 1 best
-                        floor = np.partition(row, -k - 1)[-k - 1] - 2 * ix.slack
-                    near = np.flatnonzero(row >= floor)
-                    near = near[ids[lo + near] != qid]
+                    least = floor - ix.slack
+                    if len(row) > most:  # the best from codes may all be overrated, and the others underrated
+                        least = max(least, np.partition(row, -most)[-most] - 2 * ix.slack)
+                    near = np.flatnonzero(row >= least)
                     # One after another, so that a score is the same wherever it is summed.
                     score = np.cumsum(x[lo + near].astype(float) * asked_for, axis=1)[:, -1]
-                    best = _best(score, k)
+                    good = np.flatnonzero(score >= floor)
+                    best = good[_best(score[good], most)]
                     out[0].append(np.full(len(best), qid, np.int64))
                     out[1].append(ids[lo + near[best]])
                     out[2].append(score[best])
@@ -230,7 +212,8 @@ def nearest_neighbours(
 
     keys = ["list", "_cv", "_cq"]
 
-    def search(asked: DataFrame) -> DataFrame:
+    def search(queries: DataFrame, which: str) -> DataFrame:
+        asked = queries.select("query_id", "floor", "v").mapInArrow(asked_of(which), "query_id long, floor double, v array<float>, list int")
         # Chunks of each list; a row for each of at most MOST_LISTS lists, so small enough to broadcast.
         parts = coded.groupBy("list").agg(F.ceil(F.count("*") / CHUNK_VECTORS).cast("int").alias("_nv"))
         askers = asked.groupBy("list").agg(F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("_nq"))
@@ -247,13 +230,28 @@ def nearest_neighbours(
         )
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
 
-    queries, asked_as = rows.where("q").select("vec_id", "v"), "query_id long, list int, floor double, v array<float>"
-    found = saved(search(queries.mapInArrow(query_rows, asked_as)), "candidates")
-    # Queries whose lists held too few are asked of all lists.
-    full = found.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select(F.col("query_id").alias("vec_id"))
-    short = queries.join(full, "vec_id", "left_anti")
+    def best_of(found: DataFrame) -> DataFrame:
+        """query_id and near: the best k + 1 in order; what does not belong there is dropped before rows meet."""
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        ranked = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+        return ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("_n", "vec_id", "score"))).alias("near"))
+
+    asking = rows.where("q")
+    once = asking.groupBy("v").agg(F.min("vec_id").alias("query_id")).withColumn("floor", F.lit(float("-inf")))
+    once = saved(once.select("query_id", "floor", "v"), "queries")
+    first = saved(search(once, "nearest"), "candidates")
+    floors = best_of(first).where(F.size("near") == most).select("query_id", F.element_at("near", -1)["score"].alias("_f"))
+    bounded = once.join(floors, "query_id", "left").withColumn("floor", F.coalesce("_f", "floor"))
+    others = saved(search(bounded, "others"), "candidates")
+    best = best_table = saved(best_of(first.union(others)), "best")
+    short = once.join(best.where(F.size("near") == most), "query_id", "left_anti")
     if not short.isEmpty():
-        found = found.union(search(short.mapInArrow(lambda batches: query_rows(batches, True), asked_as)))
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        best = best.join(short, "query_id", "left_anti").union(best_of(search(short, "all")))
+    answers = asking.join(once.select("v", F.col("query_id").alias("_asked")), "v").select("vec_id", "_asked")
+    answers = answers.join(best.select(F.col("query_id").alias("_asked"), "near"), "_asked")
+    near = F.slice(F.filter("near", lambda s: s["vec_id"] != F.col("vec_id")), 1, k)
+    answers = answers.select(F.col("vec_id").alias("query_id"), F.posexplode(near).alias("_at", "_s"))
+    out = saved(answers.select("query_id", (F.col("_at") + 1).alias("rank"), "_s.vec_id", "_s.score"), "neighbours")
+    for table in (rows_table, coded, once, first, others, best_table):
+        discard(table)
+    return out
