@@ -1,7 +1,9 @@
 """Mixing sources to target weights, with DataFrame functions alone.
 
 The words of a source, document after document, are cut into blocks of a fixed number of words.  The output is a row of
-slots, a block each, in shards of a fixed number of slots.
+slots, a block each, in shards of a fixed number of slots.  How many slots of a shard go to each source is a multinomial draw;
+running sums of these counts number a source's slots through, and a pseudorandom permutation of the source's block indices
+turns the number into the block that is joined.
 """
 
 from __future__ import annotations
@@ -11,12 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import saved, small
+
 BLOCK_WORDS, SHARD_SLOTS = 128, 4096
-#: Documents of one source, and slots, that one window over positions should hold.
-BUCKET_ROWS, BUCKET_SLOTS = 5_000, 50_000
-#: Prime multipliers of the index permutations.  A permutation of n takes the first that does not divide n; fewer than
-#: three of them can divide any n below 10**21.
-PRIMES = (15_485_863, 32_452_843, 49_979_687)
+#: Documents of one source that one window over positions should hold, and rows of a table of running sums.
+BUCKET_ROWS, RUN_ROWS = 5_000, 4_096
+#: A source with a target of less than so many blocks is cut into so many smaller ones.
+LEAST_BLOCKS = 16
+#: Rounds of an index permutation.
+ROUNDS = 24
 
 
 def word_count(text: Column) -> Column:
@@ -48,67 +53,82 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> Da
 
 
 def _permuted(index: Column, n: Column, salt: Column) -> Column:
-    """A one-to-one map of 0..n-1 onto itself that depends on the salt, for n under 2**37."""
-    first = F.pmod(salt, F.lit(len(PRIMES)))
-    prime = F.lit(None).cast("long")
-    for k in reversed(range(len(PRIMES))):  # from the salt's own prime on, in a circle
-        at = F.pmod(first + k, F.lit(len(PRIMES)))
-        value = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (at + 1).cast("int"))
-        prime = F.when(n % value != 0, value).otherwise(prime)
-    return F.pmod(index * prime + F.pmod(salt, n), n)
+    """A keyed one-to-one map of 0..n-1 onto itself: a swap-or-not shuffle, which fits any n.
+
+    In each round an index and its mirror image change places or not, as a hash of the larger of them says.
+    """
+
+    def swap(x: Column, i: Column) -> Column:
+        mirror = F.pmod(F.pmod(F.xxhash64(salt, i), n) - x, n)
+        return F.when(F.xxhash64(salt, i, F.greatest(x, mirror)).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(x)
+
+    return F.aggregate(F.lit(list(range(ROUNDS))), index.cast("long"), swap)
+
+
+def _running(df: DataFrame, by: str, at: str, n: str, out: str) -> DataFrame:
+    """Adds the sum of ``n`` over the rows of the same ``by`` with a smaller ``at`` (0, 1, ...), in two levels, so that no window holds
+    much more than RUN_ROWS rows where ``by`` has a row for each ``at``."""
+    df = df.withColumn("_run", F.floor(F.col(at) / RUN_ROWS))
+    ahead = Window.partitionBy(by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = df.groupBy(by, "_run").agg(F.sum(n).alias("_in_run"))
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_in_run").over(ahead), F.lit(0))).drop("_in_run")
+    inside = Window.partitionBy(by, "_run").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    joined = _null_safe_join(df, runs, [by, "_run"])
+    return joined.withColumn(out, F.col("_before") + F.coalesce(F.sum(n).over(inside), F.lit(0))).drop("_run", "_before")
 
 
 def mix_sources(
-    docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), cap: float = 3, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 0
-) -> tuple[DataFrame, DataFrame]:
+    docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), cap: float = 3, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS,
+    seed: int = 0, columns: Sequence[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of a mixture of ``docs`` (``doc_id``, ``source``, ``text``; others are kept as they are).
 
-    documents: the input's rows with ``row_id``, ``size`` (words), ``source_size`` and ``target`` (the source's words to
-    take).  pieces: one row for each stretch of a document in an output block: ``shard``, ``slot`` (in the whole output),
-    ``row_id``, ``first_word``, ``n_words``.
+    documents: the input's rows (``columns`` of them, if given) with ``row_id``, ``size`` (words), ``source_size`` and
+    ``target`` (the source's words to take).  pieces: one row for each stretch of a document in an output block: ``shard``,
+    ``slot`` (in the whole output), ``row_id``, ``first_word``, ``n_words``.
 
     Every source's blocks are taken equally often, up to one time, in as many rounds as its target asks for; a round is an
-    index permutation of its own.  The output's slots are put in random order and cut into shards, so a shard's counts by
-    source are a multinomial draw given the exact totals.  No block comes more than ``cap`` times.
+    index permutation of its own.  Each shard's counts by source are a multinomial draw by targets; the draws by which a
+    source's total over all shards comes out above its target's slots go to the sources that come out below.  No block comes
+    more than ``cap`` times.  A source with a target of under LEAST_BLOCKS blocks is cut into smaller blocks.
 
     A null text has no words and no pieces; null is a source of its own; repeated rows are documents of their own, told
     apart by row_id; an empty table gives two empty ones.  Input columns named like the added ones are replaced.  A source
-    of any size is spread over buckets of rows, and its blocks over tasks by index.
+    of any size is spread over buckets of rows, and its blocks over tasks by index.  Positions depend on doc_ids and texts
+    alone, but for rows without a doc_id, and rows that repeat both.  The texts are read once; the results rest on tables in
+    the shared folder.
     """
     added = ("row_id", "size", "source_size", "target")
     docs = docs.drop(*[c for c in added if c in docs.columns])
-    buckets = max(1, -(-docs.count() // BUCKET_ROWS))
-    sized = docs.withColumns({"size": word_count(F.col("text")), "_bucket": F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets))})
-    slim = sized.select("source", "_bucket", "size")
-    parts = slim.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
-    offset = F.coalesce(F.sum("_words").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.withColumn("_ahead", offset)
-
-    sizes = parts.groupBy("source").agg(F.sum("_words").alias("source_size"))
-    src = source_targets(sizes, weights, cap)
-    n_blocks = F.ceil(F.col("source_size") / block_words)
-    slots = F.when(F.col("source_size") > 0, F.least(n_blocks * F.lit(cap), F.round(F.col("target") * n_blocks / F.col("source_size")))).otherwise(0)
-    src = src.withColumns({"_blocks": n_blocks, "_slots": slots.cast("long")})
-    run = F.sum("_slots").over(Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    src = src.withColumn("_from", run - F.col("_slots"))
+    kept = list(docs.columns if columns is None else columns)
+    own = [F.monotonically_increasing_id().alias("row_id"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_hash")]
+    base = saved(docs.select(*kept, *[c for c in ("doc_id", "source") if c not in kept], *own), "documents")
+    buckets = max(1, -(-base.count() // BUCKET_ROWS))
+    nameless = F.when(F.col("doc_id").isNull(), F.col("row_id"))
+    slim = base.select("row_id", "doc_id", "source", "size", "_hash", F.pmod(F.xxhash64("doc_id", "_hash", nameless, F.lit(seed)), F.lit(buckets)).alias("_bucket"))
+    parts = _running(slim.groupBy("source", "_bucket").agg(F.sum("size").alias("_words")), "source", "_bucket", "_words", "_ahead")
+
+    src = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
+    src = src.withColumn("_width", F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("target") / LEAST_BLOCKS))).cast("long"))
+    n_blocks = F.ceil(F.col("source_size") / F.col("_width"))
+    slots = F.when(F.col("source_size") > 0, F.least(n_blocks * F.floor(F.lit(cap)), F.round(F.col("target") * n_blocks / F.col("source_size")))).otherwise(0)
+    src = saved(src.withColumns({"_blocks": n_blocks, "_slots": slots.cast("long")}), "sources")
 
     # Where each document's words lie in its source.
-    window = Window.partitionBy("source", "_bucket").orderBy("doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
-    positions = sized.withColumns({"_end": F.sum("size").over(window), "_n": F.count(F.lit(1)).over(window)})
+    window = Window.partitionBy("source", "_bucket").orderBy("doc_id", "_hash", "row_id").rowsBetween(Window.unboundedPreceding, 0)
+    positions = slim.where("size > 0").withColumn("_end", F.sum("size").over(window))
     positions = _null_safe_join(positions, parts.select("source", "_bucket", "_ahead"), ["source", "_bucket"])
-    positions = _null_safe_join(positions, src.select("source", "rank", "source_size", "target"), ["source"])
-    row_id = F.concat_ws("-", "rank", "_bucket", "_n")
-    positions = positions.withColumns({"row_id": row_id, "_last": F.col("_ahead") + F.col("_end") - 1, "_first": F.col("_ahead") + F.col("_end") - F.col("size")})
-    documents = positions.drop("_bucket", "_end", "_n", "_ahead", "rank", "_first", "_last")
-
-    touched = positions.where("size > 0").select(
-        "rank", "row_id", "_first", "_last", F.explode(F.sequence(F.floor(F.col("_first") / block_words), F.floor(F.col("_last") / block_words))).alias("block")
+    positions = _null_safe_join(positions, small(src.select("source", "rank", "_width")), ["source"])
+    positions = positions.withColumns({"_last": F.col("_ahead") + F.col("_end") - 1, "_first": F.col("_ahead") + F.col("_end") - F.col("size")})
+    touched = positions.select(
+        "rank", "row_id", "_first", "_last", "_width", F.explode(F.sequence(F.floor(F.col("_first") / F.col("_width")), F.floor(F.col("_last") / F.col("_width")))).alias("block")
     )
-    low, high = F.greatest("_first", F.col("block") * block_words), F.least("_last", F.col("block") * block_words + block_words - 1)
+    low, high = F.greatest("_first", F.col("block") * F.col("_width")), F.least("_last", F.col("block") * F.col("_width") + F.col("_width") - 1)
     touched = touched.select("rank", "block", "row_id", (low - F.col("_first")).alias("first_word"), (high - low + 1).alias("n_words"))
 
-    joined = _slots(src, shard_slots, seed).join(touched, ["rank", "block"])
-    return documents, joined.select("shard", "slot", "row_id", "first_word", "n_words")
+    documents = _null_safe_join(base, small(src.select("source", "source_size", "target")), ["source"])
+    pieces = _slots(src, shard_slots, seed).join(touched, ["rank", "block"])
+    return documents.select(*kept, *added), pieces.select("shard", "slot", "row_id", "first_word", "n_words")
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -121,32 +141,62 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(right, cond).drop(*[f"_{k}_r" for k in keys])
 
 
+def shard_counts(src: DataFrame, shard_slots: int, seed: int) -> DataFrame:
+    """shard, rank and n: a multinomial draw of ``shard_slots`` slots (the last shard: what is left) for each shard, with chances
+    by ``_slots``."""
+    total = src.agg(F.coalesce(F.sum("_slots"), F.lit(0))).first()[0]
+    spans = _spans(src, "_slots", "_from", total)
+    x = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(max(1, total)))
+    draws = src.sparkSession.range(total).select(F.floor(F.col("id") / shard_slots).alias("shard"), x.alias("_x"))
+    return _falls(draws, "_x", spans, total).groupBy("shard", "rank").agg(F.count("*").alias("n"))
+
+
 def _slots(src: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     """shard, slot, rank and block of every slot of the output."""
-    total = src.agg(F.coalesce(F.sum("_slots"), F.lit(0))).first()[0]
-    spark = src.sparkSession
-    # A random order of all slots: by hash, in buckets of hashes, each bucket's first place being the rows ahead of it.
-    buckets = max(1, -(-total // BUCKET_SLOTS))
-    drawn = spark.range(total).select(F.col("id").alias("_draw"), F.xxhash64("id", F.lit(seed + 1)).alias("_h"))
-    drawn = drawn.withColumn("_hb", F.pmod(F.col("_h"), F.lit(buckets)))
-    counts = drawn.groupBy("_hb").agg(F.count("*").alias("_k"))
-    before = F.coalesce(F.sum("_k").over(Window.partitionBy(F.lit(0)).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("_k0", before).drop("_k")
-    place = F.row_number().over(Window.partitionBy("_hb").orderBy("_h", "_draw")) - 1
-    drawn = drawn.withColumn("_place", place).join(counts, "_hb").select("_draw", (F.col("_k0") + F.col("_place")).cast("long").alias("slot"))
-    # Each draw falls to the source whose stretch of draws it lies in: a range join over stretches cut at fixed widths.
-    width = 1 << 14
-    spans = src.where("_slots > 0").select(
-        "rank", "_from", "_slots", "_blocks",
-        F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor((F.col("_from") + F.col("_slots") - 1) / width))).alias("_span"),
-    )
-    drawn = drawn.withColumn("_span", F.floor(F.col("_draw") / width)).join(spans, "_span")
-    drawn = drawn.where("_draw >= _from and _draw < _from + _slots")
-    nth = F.col("_draw") - F.col("_from")
-    turn = F.floor(nth / F.col("_blocks"))
-    salt = F.pmod(F.xxhash64("rank", turn, F.lit(seed + 2)), F.lit(1 << 30))
-    block = _permuted(nth % F.col("_blocks"), F.col("_blocks"), salt)
-    return drawn.select(F.floor(F.col("slot") / shard_slots).alias("shard"), "slot", "rank", block.alias("block"))
+    counts = saved(shard_counts(src, shard_slots, seed), "counts")
+    ledger = src.select("rank", "_slots", "_blocks").join(counts.groupBy("rank").agg(F.sum("n").alias("_drawn")), "rank", "left")
+    ledger = ledger.withColumn("_drawn", F.coalesce("_drawn", F.lit(0)))
+    ledger = ledger.withColumns({"_over": F.greatest(F.col("_drawn") - F.col("_slots"), F.lit(0)), "_under": F.greatest(F.col("_slots") - F.col("_drawn"), F.lit(0))})
+    ahead = Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # one row a source
+    ledger = saved(ledger.withColumn("_over_from", F.coalesce(F.sum("_over").over(ahead), F.lit(0))), "ledger")
+
+    counts = _running(counts, "rank", "shard", "n", "_base")
+    in_shard = Window.partitionBy("shard")
+    counts = counts.withColumns(
+        {"_place": F.sum("n").over(in_shard.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"), "_size": F.sum("n").over(in_shard)}
+    )
+    each = counts.join(small(ledger), "rank").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    place = _permuted(F.col("_place") + F.col("_i"), F.col("_size"), F.xxhash64("shard", F.lit(seed + 3)))
+    each = each.select("shard", (F.col("shard") * shard_slots + place).alias("slot"), "rank", "_slots", "_blocks", "_over_from", (F.col("_base") + F.col("_i")).alias("_nth"))
+    kept = each.where("_nth < _slots").select("shard", "slot", "rank", "_blocks", "_nth")
+    # Draws above a source's slots, numbered through, fill up the sources that were drawn too rarely.
+    over = each.where("_nth >= _slots").select("shard", "slot", (F.col("_over_from") + F.col("_nth") - F.col("_slots")).alias("_x"))
+    total = ledger.agg(F.coalesce(F.sum("_under"), F.lit(0))).first()[0]
+    moved = _falls(over, "_x", _spans(ledger, "_under", "_from", total, "_blocks", "_drawn"), total)
+    moved = moved.select("shard", "slot", "rank", "_blocks", (F.col("_drawn") + F.col("_x") - F.col("_from")).alias("_nth"))
+    out = kept.union(moved)
+    turn = F.floor(F.col("_nth") / F.col("_blocks"))
+    block = _permuted(F.col("_nth") % F.col("_blocks"), F.col("_blocks"), F.xxhash64("rank", turn, F.lit(seed + 2)))
+    return out.select("shard", "slot", "rank", block.alias("block"))
+
+
+def _span_width(total: int) -> int:
+    return max(1 << 14, total >> 18)
+
+
+def _spans(sources: DataFrame, n: str, start: str, total: int, *more: str) -> DataFrame:
+    """A stretch of ``n`` numbers for each source, one after another, cut at fixed widths: rank, start, n, the span, and more columns."""
+    width = _span_width(total)
+    ahead = Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # one row a source
+    rows = sources.withColumn(start, F.coalesce(F.sum(n).over(ahead), F.lit(0))).where(F.col(n) > 0)
+    cut = F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(start) + F.col(n) - 1) / width)))
+    return small(rows.select("rank", F.col(start), F.col(n).alias("_n"), cut.alias("_span"), *more))
+
+
+def _falls(rows: DataFrame, x: str, spans: DataFrame, total: int) -> DataFrame:
+    """Each row with the source in whose stretch its number lies: a range join by spans of fixed width."""
+    rows = rows.withColumn("_span", F.floor(F.col(x) / _span_width(total)))
+    return rows.join(spans, "_span").where((F.col(x) >= F.col("_from")) & (F.col(x) < F.col("_from") + F.col("_n")))
 
 
 def mixed_texts(documents: DataFrame, pieces: DataFrame, *, text: str = "text") -> DataFrame:

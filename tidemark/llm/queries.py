@@ -73,7 +73,7 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, pieces = mix_sources(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    documents, pieces = mix_sources(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"), columns=["doc_id"])
     taken = pieces.groupBy("row_id").agg(F.sum("n_words").alias("taken"))
     out = documents.select("row_id", "doc_id", "size", "source_size", "target").join(taken, "row_id", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
