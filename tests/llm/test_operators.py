@@ -347,8 +347,34 @@ def test_mixing(spark, corpus):
     assert none[0].count() == none[1].count() == 0
 
 
+def test_shards_draw_their_counts(spark):
+    """Counts by shard spread like a multinomial draw, totals are the targets' slots, and a small source keeps its share."""
+    rng = random.Random(9)
+    rows = [(i, words(rng, 400), f"s{i % 3}") for i in range(300)] + [(900, words(rng, 40), "s9")]
+    documents, pieces = mixing.mix_sources(frame(spark, rows), block_words=8, shard_slots=100)
+    source = {r.row_id: r.source for r in documents.collect()}
+    target = {r.source: r.target for r in documents.collect()}
+    by_shard, slots, taken = defaultdict(Counter), defaultdict(set), Counter()
+    for p in pieces.collect():
+        slots[p.shard].add(p.slot)
+        by_shard[p.shard][source[p.row_id], p.slot] += 1
+        taken[source[p.row_id]] += p.n_words
+    last = max(slots)
+    assert all(len(s) == 100 and min(s) == 100 * k and max(s) == 100 * k + 99 for k, s in slots.items() if k < last)
+    assert all(abs(taken[s] - t) <= 8 for s, t in target.items()) and abs(taken["s9"] - target["s9"]) <= 2
+    counts = [len({x for s, x in by_shard[k] if s == "s0"}) for k in range(last)]
+    p = target["s0"] / sum(target.values())
+    assert abs(np.mean(counts) - 100 * p) < 2 and 0.6 < np.var(counts) / (100 * p * (1 - p)) < 1.5
+
+
+def test_words_are_counted_in_one_scan(spark, corpus):
+    documents, pieces = mixing.mix_sources(frame(spark, corpus), columns=["doc_id"])
+    assert documents.columns == ["doc_id", "row_id", "size", "source_size", "target"]
+    assert all("regexp" not in df._jdf.queryExecution().toString() for df in (documents, pieces))
+
+
 def test_index_permutation(spark):
-    for n in (1, 2, 97, 1000, mixing.PRIMES[0]):
+    for n in (1, 2, 97, 1000, 15_485_863):
         df = spark.range(min(n, 5000)).select(mixing._permuted(F.col("id"), F.lit(n).cast("long"), F.lit(123456789).cast("long")).alias("p"))
         got = [r.p for r in df.collect()]
         assert len(set(got)) == len(got) and 0 <= min(got) and max(got) < n
@@ -396,6 +422,42 @@ def test_near_duplicates(spark, corpus, k, percent, block, monkeypatch):
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_a_document_without_an_id_links_its_neighbours(spark):
+    rng = random.Random(21)
+    chain = [words(rng, 120).split()]
+    for _ in range(2):
+        own = list(chain[-1])
+        for at in rng.sample(range(120), 2):
+            own[at] = f"z{rng.randrange(1000)}"
+        chain.append(own)
+    rows = [(1, " ".join(chain[0])), (None, " ".join(chain[1])), (3, " ".join(chain[2])), (None, "alone " * 9)]
+    got = ngram_join.near_duplicates(frame(spark, rows), words=4, percent=85).select("doc_id", "n_shingles", "component_id").collect()
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(brute_components(rows, 4, 85), key=key)
+    assert {r.component_id for r in got} == {1, None}
+
+
+def test_a_busy_word_is_split_by_second_words(spark, monkeypatch):
+    """Documents that share one rare passage meet under its words; the rows dealt out grow with the documents."""
+    rng = random.Random(22)
+    dealt = []
+    compared = ngram_join._compared
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "_compared", lambda rest, *more: dealt.append(ngram_join._in_blocks(rest, "key").count()) or compared(rest, *more))
+    for n in (200, 800):
+        passage = words(rng, 14, 10**6)
+        rows = []
+        for i in range(n):
+            own = words(rng, 40, 10**6).split()
+            rows.append((3 * i, " ".join([*own, passage])))
+            if i % 10 == 0:
+                own[5] = "other"
+                rows.append((3 * i + 1, " ".join([*own, passage])))
+        got = ngram_join.near_duplicates(frame(spark, rows), words=4, percent=70).select("doc_id", "component_id").collect()
+        assert {r.doc_id: r.component_id for r in got} == {i: i - i % 3 for i, _ in rows}
+    assert dealt[1] <= 8 * dealt[0] + 1000
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(1)
     for n in (3, 40, 900):

@@ -85,11 +85,13 @@ def small(df: DataFrame, entries: str | None = None) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest reachable id of every node of an undirected graph.
+    """Smallest reachable id of every node of an undirected graph: ``node`` and ``component``.
 
-    ``edges`` has long columns ``a`` and ``b``.  Returns (``node``, ``component``) for every node of an edge.  Alternates
-    the large-star and small-star steps until a round changes nothing.  All state is distributed and each round is written
-    to the shared folder.  Null ends are ignored; self loops keep their node; no edges give an empty result.
+    ``edges`` has long columns ``a`` and ``b``; every node of an edge has a row.  Alternates the large-star and small-star
+    steps until a round changes nothing.  All state is distributed and each step is a table in the shared folder; smallest
+    neighbours are written before they are joined, so that a node with very many neighbours is split over tasks.  Null ends
+    are ignored; self loops keep their node; no edges give an empty result.  Result and edges together with further edges can
+    be edges again.  The result rests on a table in the shared folder.
     """
     edges = edges.where("a is not null and b is not null").select("a", "b")
     loops = edges.where("a = b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
@@ -102,16 +104,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = mark
         # Large star: every larger neighbour of a node links to the smallest node among it and its neighbours.
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "low")
+        large = saved(both.where("v > u").join(small(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # Small star: a node and its smaller neighbours link to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        step = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, now = now, saved(step.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        discard(last)
+        lower = saved(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        step = large.join(small(lower), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, now = now, saved(step.union(lower.select("u", F.col("m").alias("v"))).distinct(), "links")
+        for table in (last, low, large, lower):
+            discard(table)
     else:
         raise RuntimeError("connected components did not settle")
     # Every link now leads straight to the smallest node, which has none itself.
     roots = now.select(F.col("v").alias("u"), "v").distinct()
     everything = now.union(roots).union(loops)
-    return everything.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    out = saved(everything.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "components")
+    discard(now)
+    return out

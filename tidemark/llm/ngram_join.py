@@ -4,8 +4,9 @@ A sketch has one bit for each hash value; every shingle flips its bit.  Two sket
 differ in shingles.  For similarity t and set sizes a and b that is (1 - t) / (1 + t) * (a + b) at most, so if a sketch is cut
 into more words than that, some are equal in both.  A word is kept as the exclusive or of its set bits' numbers, as so wide a
 sketch is nearly empty.  Sketches of one band of sizes have the same number of words; a document is filed under as many of
-its words as its allowance plus one.  As every document takes words in the same order, two similar documents share a filed
-word (a prefix filter on the pigeonhole).  The order takes words of many shingles first that are not common in a sample of
+its words as its allowance plus two.  As every document takes words in the same order, two similar documents share two filed
+words (a prefix filter on the pigeonhole).  Where very many documents are filed under a word, they are dealt on by each
+second word that follows it, so only those meet that share both.  The order takes words of many shingles first that are not common in a sample of
 documents, so few unlike documents meet; it has no influence on the result.  Of documents that share one, those whose
 narrower sketches differ in more bits than allowed are told apart at once; the others are verified on the sets themselves.
 """
@@ -54,11 +55,15 @@ def sketch(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return flips[ends[1:]] ^ flips[ends[:-1]]
 
 
-def filed_words(h: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
-    """Keys under which a set is filed; none if only an equal set can be similar.  ``common`` has a byte for eight hash prefixes."""
+def filed_words(h: np.ndarray, percent: int, common: np.ndarray) -> list[np.ndarray]:
+    """Keys under which a set is filed, in order, for each of its bands; none if only an equal set can be similar.
+
+    ``common`` has a byte for eight hash prefixes.  What decides a key's place are the shingles behind it alone, so any two
+    sets have the keys that they share in the same order.
+    """
     allowed = allowance(len(h), percent)
     if allowed == 0:
-        return np.empty(0, np.uint64)
+        return []
     prefix = h >> np.uint64(64 - COMMON_BITS)
     rare = (common[prefix >> np.uint64(3)] >> (prefix & np.uint64(7)).astype(np.uint8)) & 1 == 0
     so_far = np.concatenate([[0], np.cumsum(rare)])
@@ -71,8 +76,9 @@ def filed_words(h: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
         # What a word's shingles are decides its place: how many are rare, how many there are, and its key.
         merit = (np.minimum(np.diff(so_far[ends]), 63) * 128 + np.minimum(np.diff(ends), 127)).astype(np.uint64)
         order = ((np.uint64(8191) - merit) << np.uint64(50)) | (keys >> np.uint64(14))
-        out.append(keys[np.argpartition(order, allowed)[: allowed + 1]] if allowed + 1 < words else keys)
-    return np.concatenate(out)
+        first = np.argpartition(order, allowed + 1)[: allowed + 2] if allowed + 2 < words else np.arange(words)
+        out.append(keys[first[np.argsort(order[first], kind="stable")]])
+    return out
 
 
 def long_sketch(h: np.ndarray) -> bytes:
@@ -119,19 +125,22 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
     """One row a document: doc_id, n_shingles, set (id of its set of shingles) and component_id.
 
-    Documents are linked when their sets are equal or their Jaccard similarity is ``percent`` hundredths or more, exactly
-    counted; component_id is the smallest doc_id that links reach.  Equal sets are one node, so copies are never compared.
-    A filed word's first set is compared with all others under it.  Where components of those links still meet under a word,
-    all of its sets are compared by their sketches, in blocks of BLOCK by BLOCK, and a spanning forest of the possible links is
-    verified; if one of its pairs fails, the cluster of possible links is compared on the sets, in blocks.  So no group is
-    held whole, pairs grow no faster than rows, and no component is lost.
-
-    A text without words, or null, has no shingles, no links and component_id doc_id; a null doc_id stays null, and counts
-    for no component's smallest; rows that repeat a doc_id are documents of their own; an empty table gives an empty
-    result; other columns are ignored.  The result rests on a small table in the shared folder.
+    Documents are linked when their sets are equal or their Jaccard similarity is ``percent`` hundredths or more, counted on
+    the sets; component_id is the smallest doc_id that links reach.  Shingles and sets are told apart by 64-bit hashes.  Equal
+    sets are one node, so copies are never compared.  A filed word's first set is compared with all others under it.  Where
+    components of those links still meet under a word, all of its sets are compared by their sketches, and a spanning forest
+    of the possible links is verified; if one of its pairs fails, the cluster of possible links is compared on the sets.  A word
+    with more than BLOCK sets is first split by second words; what then still shares both words is compared in blocks of
+    BLOCK by BLOCK.  So no group is held whole and no component is lost.
+
+    A text without words, or null, has no shingles, no links and component_id doc_id.  A null doc_id stays null, links like
+    any other, and counts for no component's smallest, which is null if there is no other; rows that repeat a doc_id are
+    documents of their own; an empty table gives an empty result; other columns are ignored.  The result rests on a small
+    table in the shared folder.
     """
 
     modest_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("own"))
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, words, lower))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,22 +154,21 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(own)
-                keys = filed_words(h, percent, common.value).view(np.int64) if new else np.empty(0, np.int64)
+                keys = [k.view(np.int64) for k in filed_words(h, percent, common.value)] if new else []
                 for column, x in zip(rows, (len(h), own, keys, long_sketch(h) if len(keys) else None), strict=True):
                     column.append(x)
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.record_batch([batch.column(0), *[pa.array(c, t) for c, t in zip(rows, types, strict=True)]], ["doc_id", "n", "c", "keys", "sketch"])
+            types = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
+            columns = [batch.column(0), batch.column(2), *[pa.array(c, t) for c, t in zip(rows, types, strict=True)]]
+            yield pa.record_batch(columns, ["doc_id", "own", "n", "c", "keys", "sketch"])
         give_back()
 
-    described = saved(docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, c long, keys array<long>, sketch binary"), "sketches")
-    filed = described.where("size(keys) > 0").select(F.explode("keys").alias("key"), "c")
-    first = F.min("c").over(Window.partitionBy("key"))
-    stars = filed.withColumn("a", first).where("a <> c").select("a", F.col("c").alias("b")).distinct()
-    sketches = described.where("sketch is not null").select("c", F.col("n").cast("int").alias("n"), "sketch")
-
-    stars = saved(stars, "stars")
+    described = saved(docs.mapInArrow(describe, "doc_id long, own long, n long, c long, keys array<array<long>>, sketch binary"), "sketches")
+    filed = described.where("size(keys) > 0").select(F.explode(F.flatten("keys")).alias("key"), "c")
+    shared = saved(filed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z").select("key", "a"), "words")
+    stars = saved(filed.join(small(shared), "key").where("a <> c").select("a", F.col("c").alias("b")).distinct(), "stars")
     members = small(saved(stars.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "members"))
     # One row a set: copies of a text that tasks met apart have the same sketch.
+    sketches = described.where("sketch is not null").select("c", F.col("n").cast("int").alias("n"), "sketch")
     sketches = saved(sketches.join(members, "c").groupBy("c").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")), "long")
     pairs = saved(_passing(stars, sketches, percent), "pairs")
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), docs, described, words, lower)
@@ -168,40 +176,62 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower
     found = connected_components(links)
 
     # Filed words under which more than one component is left, and more than the pair that was compared.
-    labelled = filed.join(members, "c").join(found.withColumnRenamed("node", "c"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("m"))
-    span = Window.partitionBy("key")
-    open_rows = labelled.withColumns({"_lo": F.min("m").over(span), "_hi": F.max("m").over(span), "_a": F.min("c").over(span), "_z": F.max("c").over(span)})
-    open_rows = open_rows.withColumn("_k", F.max(F.when((F.col("c") > F.col("_a")) & (F.col("c") < F.col("_z")), 1)).over(span))
-    rest = saved(open_rows.where("_lo <> _hi and _k = 1").select("key", "c", "m").distinct(), "rest")
-    more = saved(_compared(rest, sketches, percent).distinct(), "pairs")
+    rest = saved(_open(filed.join(small(shared.select("key")), "key").join(members, "c").distinct(), found), "rest")
+    few, many = rest.where(F.col("sets") <= BLOCK), rest.where(F.col("sets") > BLOCK)
+    if not many.isEmpty():
+        # Two similar sets share a second word behind the first one that they share.
+        bands = described.where("size(keys) > 0").join(small(many.select("c").distinct()), "c").select("c", F.explode("keys").alias("band"))
+        behind = F.explode(F.slice("band", (F.array_position("band", F.col("key")) + 1).cast("int"), F.size("band")))
+        second = bands.join(many.select("key", "c"), "c").where(F.array_contains("band", F.col("key"))).select("c", "key", behind.alias("second"))
+        second = second.select("c", F.xxhash64("key", "second").alias("key")).distinct()
+        few = few.union(_open(second, found, pairs_too=True))
+    more = saved(_compared(few.select("key", "c", "m"), sketches, percent).distinct(), "pairs")
     more_sets = _sets(more.select(F.explode(F.array("a", "b")).alias("c")).distinct(), docs, described, words, lower)
-    links = saved(links.union(_verified(more, more_sets, percent)), "links")
-    found = connected_components(links)
+    more_links = saved(_verified(more, more_sets, percent), "links")
+    before, found = found, connected_components(found.toDF("a", "b").union(more_links))
 
     # Where a pair of a spanning forest failed, its whole cluster of possible links is compared exactly.
-    failed = saved(more.join(links, ["a", "b"], "left_anti"), "failed")
-    if failed.count():
-        clusters = saved(connected_components(more.union(links)).toDF("c", "cluster"), "clusters")
+    failed = saved(more.join(more_links, ["a", "b"], "left_anti"), "failed")
+    spent = [described, shared, stars, sketches, pairs, links, rest, more, more_links, sets, more_sets, before, failed]
+    if not failed.isEmpty():
+        clusters = connected_components(more.union(found.toDF("a", "b"))).toDF("c", "cluster")
         hard = failed.join(clusters.withColumnRenamed("c", "a"), "a").select("cluster").distinct()
-        inside = clusters.join(hard, "cluster").join(found.withColumnRenamed("node", "c"), "c", "left").select("cluster", "c", F.coalesce("component", "c").alias("m"))
+        inside = clusters.join(small(hard), "cluster").join(found.withColumnRenamed("node", "c"), "c", "left").select("cluster", "c", F.coalesce("component", "c").alias("m"))
         inside = saved(inside, "inside")
         hard_sets = _sets(inside.select("c").distinct(), docs, described, words, lower)
-        links = saved(links.union(_exact(inside, hard_sets, percent)), "links")
-        found = connected_components(links)
-
-    rooted = described.select("doc_id", "n", "c").join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("_root", F.coalesce("component", "c"))
-    lowest = rooted.where("_root is not null").groupBy("_root").agg(F.min("doc_id").alias("component_id"))
-    out = rooted.join(lowest, "_root", "left").withColumn("component_id", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+        hard_links = saved(_exact(inside, hard_sets, percent), "links")
+        spent += [found, inside, hard_sets, hard_links]
+        found = connected_components(found.toDF("a", "b").union(hard_links))
+
+    # The smallest doc_id of each set, then of each component, and back; what has very many rows is only ever joined with a table.
+    lowest = saved(described.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("low")), "lowest")
+    linked = saved(lowest.join(small(found.withColumnRenamed("node", "c")), "c"), "linked")
+    roots = saved(linked.groupBy("component").agg(F.min("low").alias("component_id")), "roots")
+    linked_ids = linked.join(small(roots), "component").select("c", "component_id")
+    single = lowest.join(small(linked.select("c")), "c", "left_anti").select("c", F.col("low").alias("component_id"))
+    labels = saved(single.union(linked_ids), "labels")
+    out = described.select("doc_id", "n", "c").join(labels, "c", "left")
+    out = out.withColumn("component_id", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     out = saved(out.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("set"), "component_id"), "components")
-    for table in (described, stars, sketches, pairs, links, rest, more, sets, more_sets):
+    for table in (*spent, found, lowest, linked, roots, labels):
         discard(table)
     return out
 
 
+def _open(filed: DataFrame, found: DataFrame, pairs_too: bool = False) -> DataFrame:
+    """key, c, m (the set's component so far) and sets (how many the key has), of keys of more than one component; without
+    ``pairs_too``, of more than two sets, as the two were compared already."""
+    labelled = filed.join(small(found.withColumnRenamed("node", "c")), "c", "left").select("key", "c", F.coalesce("component", "c").alias("m"))
+    labelled = saved(labelled, "labelled")
+    per_key = labelled.groupBy("key").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.count("*").alias("sets"))
+    per_key = per_key.where("lo <> hi" if pairs_too else "lo <> hi and sets > 2").select("key", "sets")
+    return labelled.join(small(saved(per_key, "open")), "key").select("key", "c", "m", "sets")
+
+
 def _common(docs: DataFrame, words: int, lower: bool) -> np.ndarray:
     """A table of 2**COMMON_BITS bits: the hash prefixes of shingles that are common in a sample of about COMMON_SAMPLE documents."""
     share = min(1.0, COMMON_SAMPLE / max(1, docs.count()))
-    some = docs.where(uniform("doc_id", seed=29) <= share).select("text")
+    some = docs.where(uniform("own", seed=29) <= share).select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -240,16 +270,21 @@ def _passing(stars: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(members: DataFrame, docs: DataFrame, described: DataFrame, words: int, lower: bool) -> DataFrame:
-    """c and hashes (binary) of each member set, from one document that has it."""
-    chosen = described.join(small(members), "c").groupBy("c").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
+    """c and hashes (binary) of each member set, from one document that has it, whether or not it has a doc_id."""
+    chosen = described.join(small(members), "c").groupBy("c").agg(F.min("own").alias("own"))
     chosen = small(saved(chosen, "chosen"))
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id")
+    texts = docs.select("own", "text").join(chosen, "own")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            own = batch.column(1).to_pylist()
-            kept = [(c, h.tobytes()) for c, h in zip(own, shingle_sets(batch.column(0), words, lower), strict=True) if len(h) and set_id(h) == c]
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            batch = batch.filter(pa.array([c not in seen for c in batch.column(1).to_pylist()], pa.bool_()))
+            ids = batch.column(1).to_pylist()
+            kept = [(c, h.tobytes()) for c, h in zip(ids, shingle_sets(batch.column(0), words, lower), strict=True) if len(h) and set_id(h) == c]
             if kept:
+                seen.update(c for c, _ in kept)
                 yield pa.record_batch([pa.array([c for c, _ in kept], pa.int64()), pa.array([h for _, h in kept], pa.binary())], ["c", "hashes"])
         give_back()
 
