@@ -99,6 +99,39 @@ def test_exceptions_cover_matches():
     assert lexicon.weight("aclown")[0] == 0.0
 
 
+def test_matches_are_those_of_a_plain_search():
+    rng = random.Random(31)
+    for _ in range(300):
+        word = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(1, 5)))
+        lexicon = toxicity.Lexicon({word(): float(rng.randrange(1, 9)) for _ in range(4)}, {" ".join(word() for _ in range(rng.randrange(1, 4))) for _ in range(3)})
+        own = [word() for _ in range(rng.randrange(12))]
+        safe = set()
+        for phrase in lexicon.exceptions:
+            p = phrase.split()
+            safe |= {i + k for i in range(len(own) - len(p) + 1) if own[i : i + len(p)] == p for k in range(len(p))}
+        expected = sum(w for i, x in enumerate(own) if i not in safe for t, w in lexicon.terms.items() if x.startswith(t))
+        text = "".join(x.upper() + rng.choice([" ", "\t", ", ", "_\n"]) for x in own)
+        assert lexicon.weight(text) == (expected, len(own))
+        assert lexicon.weight(text.replace("A", "\u0410").replace("B", "8")) == (expected, len(own))
+
+
+def test_exception_phrases_are_learned(spark):
+    rng = random.Random(32)
+    rows, labels = [], []
+    for i in range(300):
+        parts = words(rng, 60).split()
+        for _ in range(3):
+            parts.insert(rng.randrange(len(parts)), "dirty" if i % 2 else "pleasant")
+        if i % 8 == 0:
+            parts.insert(rng.randrange(len(parts)), "dirty laundry")
+        rows.append((i, " ".join(parts)))
+        labels.append((i, i % 2))
+    rows += [(5, "x" * 50)] * 3
+    lexicon = toxicity.fit_lexicon(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert any("dirty".startswith(t) for t in lexicon.terms) and "dirty laundry" in lexicon.exceptions
+    assert lexicon.weight("the dirty laundry")[0] == 0 < lexicon.weight("the dirty dog")[0]
+
+
 # ---------------------------------------------------------------- fingerprints
 def bag(text):
     w = split(text)

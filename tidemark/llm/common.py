@@ -53,16 +53,29 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._saved_at = path
+    tables_of(df.sparkSession).append(path)
     return out
 
 
+def tables_of(spark: SparkSession) -> list[str]:
+    """Folders that ``saved`` wrote in this session and that were not deleted yet."""
+    if getattr(spark, "_saved_tables", None) is None:
+        spark._saved_tables = []
+    return spark._saved_tables
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in tables_of(spark):
+        tables_of(spark).remove(path)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete what ``saved`` wrote, once nothing reads it any more."""
     path = getattr(df, "_saved_at", None)
     if path:
-        spark = df.sparkSession
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        remove_folder(df.sparkSession, path)
 
 
 def uniform(*cols: Column | str, seed: int = 0) -> Column:

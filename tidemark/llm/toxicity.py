@@ -12,16 +12,19 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, modest_batches, saved
 from tidemark.llm.shingles import give_back
 
-#: Labelled documents of each class that a fit reads at most (those with the smallest hash of doc_id), and lexicon size.
-FIT_DOCS, MOST_TERMS = 10_000, 2_000
-#: Lengths of word beginnings that can become lexicon entries.
+#: Labelled documents of each class that a fit reads at most (those with the smallest hash of doc_id).
+FIT_DOCS = 10_000
+#: Letters of word beginnings that can become lexicon entries; longer words can become entries as a whole.
 SHORTEST, LONGEST = 3, 12
+#: Documents of its class that an entry or an exception needs, how many times its rate has to be that in the other class, and
+#: the evidence (twice the log-likelihood ratio) an entry needs beside twice the logarithm of how many were tried.
+LEAST_DOCS, LEAST_RATIO, EXCEPTION_RATIO, EVIDENCE = 3, 5.0, 2.0, 10.0
 #: Word beginnings that a task counts before it gives its counts away.
 _COUNTED = 150_000
 
@@ -52,6 +55,11 @@ def fold(text: str) -> str:
     return text.translate(_folding)
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters and digits of the folded text."""
+    return _word.findall(fold(text))
+
+
 @dataclass
 class Lexicon:
     """Weighted word beginnings, phrases in which they do not count, and the calibration of the score."""
@@ -66,38 +74,33 @@ class Lexicon:
         return {**self.__dict__, "_automaton": None}
 
     def automaton(self):
-        """Terms and exception phrases in one Aho-Corasick automaton."""
+        """Terms and exception phrases in one Aho-Corasick automaton; both begin with the blank ahead of a word."""
         if self._automaton is None:
             import ahocorasick
 
             a = ahocorasick.Automaton()
-            for term, weight in self.terms.items():
-                a.add_word(term, (len(term), weight))
             for phrase in self.exceptions:
-                a.add_word(phrase, (len(phrase), None))
+                a.add_word(f" {phrase} ", (len(phrase) + 2, None))
+            for term, weight in self.terms.items():
+                a.add_word(f" {term}", (len(term) + 1, weight))
             if len(a):
                 a.make_automaton()
             self._automaton = a
         return self._automaton
 
     def weight(self, text: str) -> tuple[float, int]:
-        """(weight of all matches, words).  A match starts a word; inside an exception phrase it does not count."""
+        """(weight of all matches, words).  A match starts a word; inside an exception phrase of whole words it does not count."""
         a, total = self.automaton(), 0.0
-        folded = fold(text)
-        n_words = folded.count(" ") + folded.count("\n") + 1
-        if not len(a):
-            return total, n_words
+        words = words_of(text)
+        if not len(a) or not words:
+            return total, len(words)
         hits, safe = [], []
-        for last, (size, weight) in a.iter(folded):
-            first = last - size + 1
-            if first and folded[first - 1].isalnum():
-                continue
+        for last, (size, weight) in a.iter(f" {' '.join(words)} "):
             if weight is None:
-                if last + 1 == len(folded) or not folded[last + 1].isalnum():
-                    safe.append((first, last))
+                safe.append((last - size + 1, last))
             else:
-                hits.append((first, last, weight))
-        at, until = 0, -1  # both lists are in the order of their ends; phrases are merged in the order of their starts
+                hits.append((last - size + 1, last, weight))
+        at, until = 0, -1  # phrases are merged in the order of their starts
         safe.sort()
         hits.sort()
         for first, last, weight in hits:
@@ -106,7 +109,7 @@ class Lexicon:
                 at += 1
             if last > until:
                 total += weight
-        return total, n_words
+        return total, len(words)
 
     def density(self, text: str) -> float:
         """Weight for the text's length, on a scale that grows slowly: log(1 + weight per hundred words, and weight)."""
@@ -119,19 +122,31 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def _starts(text: str) -> Counter[str]:
-    """How often each word beginning occurs in a text; whole words carry a closing blank."""
+def _starts(words: list[str]) -> Counter[str]:
+    """How often each word beginning occurs, and each whole word that is longer."""
     out: Counter[str] = Counter()
-    for word, n in Counter(_word.findall(fold(text))).items():
+    for word, n in Counter(words).items():
         for k in range(SHORTEST, min(LONGEST, len(word)) + 1):
             out[word[:k]] += n
-        out[f"{word} "] += n
+        if len(word) > LONGEST:
+            out[word] += n
+    return out
+
+
+def _phrases(words: list[str], holds) -> Counter[str]:
+    """How often each word with an entry occurs, and each phrase of two or three words around one."""
+    out: Counter[str] = Counter()
+    for i, word in enumerate(words):
+        if holds(word):
+            for a, b in ((i, i + 1), (i - 1, i + 1), (i, i + 2), (i - 1, i + 2), (i - 2, i + 1), (i, i + 3)):
+                if a >= 0 and b <= len(words):
+                    out[" ".join(words[a:b])] += 1
     return out
 
 
 @dataclass
 class Count:
-    """Occurrences of a word beginning, and documents that hold it, in each class."""
+    """Occurrences of a term, and documents that hold it, in each class."""
 
     term: str
     toxic: int
@@ -140,53 +155,37 @@ class Count:
     clean_docs: int
 
 
-def _evidence(x: Count, toxic: int, clean: int) -> float:
-    """Log-likelihood ratio that the term's rate differs between classes of so many words."""
-    share = toxic / (toxic + clean)
-    n = x.toxic + x.clean
-    return 2 * sum(k * math.log(k / (n * p)) for k, p in ((x.toxic, share), (x.clean, 1 - share)) if k)
+def _evidence(mine: Column, other: Column, mine_all: int, other_all: int) -> Column:
+    """Twice the log-likelihood ratio that the term's rate differs between classes of so many words."""
+    share = mine_all / (mine_all + other_all)
+    n = mine + other
 
+    def part(k: Column, p: float) -> Column:
+        return F.when(k > 0, k * F.log(k / (n * F.lit(p)))).otherwise(0.0)
 
-def _least_docs(total: Count) -> float:
-    return max(3, 0.03 * total.toxic_docs)
+    return 2 * (part(mine, share) + part(other, 1 - share))
 
 
-def choose_terms(counts: Iterable[Count], total: Count) -> dict[str, float]:
-    """Word beginnings that tell the classes apart, weighted by the log-odds of their rates.
+def _telling(counts: DataFrame, total: Count, mine: str, other: str, ratio: float, needed: float) -> DataFrame:
+    """Rows of terms that are commoner in the class ``mine`` than in the other, with ``odds`` (log ratio of rates) and ``evidence``."""
+    m, o = max(1, getattr(total, mine)), max(1, getattr(total, other))
+    odds = F.log((F.col(mine) + 0.1) / F.lit(float(m + 1))) - F.log((F.col(other) + 0.1) / F.lit(float(o + 1)))
+    found = counts.withColumns({"odds": odds, "evidence": _evidence(F.col(mine), F.col(other), m, o)})
+    return found.where((F.col(f"{mine}_docs") >= LEAST_DOCS) & (F.col("odds") >= math.log(ratio)) & (F.col("evidence") >= needed))
 
-    A beginning needs three toxic documents and three in a hundred of them, at least five times the clean rate, and strong
-    evidence.  Of beginnings that continue each other the one with the most evidence is kept, the longest where equal.
-    """
-    good = []
-    for x in counts:
-        if x.term.endswith(" ") or x.toxic_docs < _least_docs(total):
-            continue
-        odds = math.log((x.toxic + 0.1) / (total.toxic + 1)) - math.log((x.clean + 0.1) / (total.clean + 1))
-        evidence = _evidence(x, max(1, total.toxic), max(1, total.clean))
-        if odds >= math.log(5) and evidence >= 20:
-            good.append((-evidence, -len(x.term), x.term, odds))
+
+def choose_terms(telling: Iterable[tuple[str, float, float]]) -> dict[str, float]:
+    """Of terms (term, odds, evidence) that continue each other the one with the most evidence, the longest where equal; the
+    weight is the log-odds of the rates."""
     chosen: dict[str, float] = {}
     within: set[str] = set()
-    for _, _, term, odds in sorted(good):
-        if len(chosen) >= MOST_TERMS:
-            break
+    for term, odds, _ in sorted(telling, key=lambda x: (-x[2], -len(x[0]), x[0])):
         if term not in within and not any(term[:k] in chosen for k in range(SHORTEST, len(term))):
             chosen[term] = odds
             within.update(term[:k] for k in range(SHORTEST, len(term) + 1))
     return chosen
 
 
-def choose_exceptions(counts: Iterable[Count], terms: dict[str, float], total: Count) -> set[str]:
-    """Whole words that begin with a term but are commoner in clean documents."""
-    out = set()
-    for x in counts:
-        if x.term.endswith(" ") and x.clean_docs >= 2 and x.clean / max(1, total.clean) > x.toxic / max(1, total.toxic):
-            word = x.term[:-1]
-            if word not in terms and any(word[:k] in terms for k in range(SHORTEST, len(word))):
-                out.add(word)
-    return out
-
-
 def calibrate(lexicon: Lexicon, toxic: np.ndarray, clean: np.ndarray) -> None:
     """Set the cut where the rates of errors in the two classes sum to least, in the middle of the gap there."""
     if not len(toxic) or not len(clean):
@@ -204,21 +203,9 @@ def calibrate(lexicon: Lexicon, toxic: np.ndarray, clean: np.ndarray) -> None:
 COUNTS = ("toxic", "clean", "toxic_docs", "clean_docs")
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DOCS) -> Lexicon:
-    """Learn a lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1).
-
-    Reads at most ``fit_docs`` labelled documents of each class, those with the smallest hash of doc_id; their ids are
-    bounded by that and are broadcast.  Document counts of word beginnings are made by the executors and summed; what
-    could be an entry, again bounded by the sample, comes to the driver.  Null ids, labels or texts take no part.  With
-    one class missing the lexicon is empty and every text scores alike.
-    """
-    modest_batches(docs.sparkSession)
-    labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    bounded = [labels.where(F.col("toxic") == y).orderBy(*by_hash).limit(fit_docs) for y in (1, 0)]
-    rows = bounded[0].union(bounded[1]).collect()
-    sample = docs.sparkSession.createDataFrame(rows, labels.schema)
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("text", "toxic").distinct()
+def _counted(texts: DataFrame, terms_of) -> DataFrame:
+    """How often the terms of texts occur in each class, and in how many texts: term and COUNTS, and a row for the term "" that has the
+    words of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[Counter] = [Counter(), Counter()]
@@ -235,8 +222,9 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DOCS)
 
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = _starts(text.as_py())
-                found[""] = sum(n for s, n in found.items() if s.endswith(" "))
+                own = words_of(text.as_py())
+                found = terms_of(own)
+                found[""] = len(own)
                 words[y].update(found)
                 in_docs[y].update(found.keys())
                 if len(words[0]) + len(words[1]) > _COUNTED:
@@ -245,20 +233,45 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DOCS)
         give_back()
 
     schema = "term string, " + ", ".join(f"{c} long" for c in COUNTS)
-    summed = saved(texts.mapInArrow(count, schema).groupBy("term").agg(*[F.sum(c).alias(c) for c in COUNTS]), "terms")
+    return saved(texts.mapInArrow(count, schema).groupBy("term").agg(*[F.sum(c).alias(c) for c in COUNTS]), "terms")
+
+
+def fit_lexicon(docs: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DOCS) -> Lexicon:
+    """Learn a lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1).
+
+    Reads at most ``fit_docs`` labelled documents of each class, those with the smallest hash of doc_id, one text each (the
+    smallest, where rows repeat a doc_id); their ids are bounded by that and are broadcast.  Entries are word beginnings that
+    are surely commoner in toxic documents, however rare they are; exceptions are words and phrases of two or three words
+    around an entry that are commoner in clean ones.  Counts are made by the executors and summed; what tells the classes
+    apart, again bounded by the sample, comes to the driver.  Null ids, labels or texts take no part.  With one class missing
+    the lexicon is empty and every text scores alike.
+    """
+    modest_batches(docs.sparkSession)
+    labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    bounded = [labels.where(F.col("toxic") == y).orderBy(*by_hash).limit(fit_docs) for y in (1, 0)]
+    rows = bounded[0].union(bounded[1]).collect()
+    sample = docs.sparkSession.createDataFrame(rows, labels.schema)
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    texts = saved(texts.select("text", "toxic").distinct().repartition(max(1, 2 * docs.sparkSession.sparkContext.defaultParallelism)), "labelled")
+
+    summed = _counted(texts, _starts)
     total = Count(*(summed.where("term = ''").first() or ("", 0, 0, 0, 0)))
-    lexicon = Lexicon({})
+    lexicon, phrases = Lexicon({}), None
     if total.toxic and total.clean:
-        # What choose_terms could take; the rest need not leave the executors.
-        strong = (F.col("toxic_docs") >= _least_docs(total)) & (F.col("toxic") * F.lit(float(total.clean)) >= F.col("clean") * F.lit(3.0 * total.toxic))
-        found = summed.where((F.col("term") != "") & ~F.col("term").endswith(" ") & strong).collect()
-        lexicon.terms = choose_terms([Count(*r) for r in found], total)
+        needed = EVIDENCE + 2 * math.log(summed.count())
+        found = _telling(summed.where("term <> ''"), total, "toxic", "clean", LEAST_RATIO, needed).select("term", "odds", "evidence").collect()
+        lexicon.terms = choose_terms(tuple(r) for r in found)
     if lexicon.terms:
-        near = F.substring("term", 1, SHORTEST).isin(sorted({s[:SHORTEST] for s in lexicon.terms}))
-        commoner = (F.col("clean_docs") >= 2) & (F.col("clean") * F.lit(float(total.toxic)) > F.col("toxic") * F.lit(float(total.clean)))
-        some = summed.where(F.col("term").endswith(" ") & near & commoner).collect()
-        lexicon.exceptions = choose_exceptions([Count(*r) for r in some], lexicon.terms, total)
-    discard(summed)
+        terms = frozenset(lexicon.terms)
+
+        def holds(word: str) -> bool:
+            return any(word[:k] in terms for k in range(SHORTEST, min(LONGEST, len(word)) + 1)) or word in terms
+
+        phrases = _counted(texts, lambda words: _phrases(words, holds))
+        clean = _telling(phrases.where("term <> ''"), total, "clean", "toxic", EXCEPTION_RATIO, 0.0).select("term").collect()
+        lexicon.exceptions = {r.term for r in clean}
 
     @F.pandas_udf("double")
     def density(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -267,6 +280,8 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DOCS)
 
     seen = [(r[0], r[1]) for r in texts.select("toxic", density("text")).collect()]
     calibrate(lexicon, np.array([d for y, d in seen if y == 1]), np.array([d for y, d in seen if y == 0]))
+    for table in (texts, summed, phrases):
+        discard(table)
     return lexicon
 
 
@@ -274,9 +289,10 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, text: str = "text", sco
     """Every row with a column ``score`` (0 to 1, higher: likelier toxic); a column of that name is replaced.
 
     Whole texts are read.  A null or empty text holds no entry and scores like any text without one.  The lexicon is
-    bounded by MOST_TERMS and its exceptions, and goes to the tasks with the function.  Rows are judged one by one, so ties, repeated rows and
-    other columns play no part; an empty table gives an empty result.
+    bounded by the sample it was learned from, and goes to the tasks with the function.  Rows are judged one by one, so
+    ties, repeated rows and other columns play no part; an empty table gives an empty result.
     """
+    modest_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
