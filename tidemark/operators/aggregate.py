@@ -5,11 +5,11 @@ from __future__ import annotations
 import statistics
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.sensors import by_sensor
+from tidemark.operators.folds import fold_sorted
 
 METHODS = ("mean", "min", "max", "sum", "stddev", "median")
 
@@ -116,34 +116,21 @@ def anchored(readings: DataFrame, width_ms: int, name: str = "mean", most: int |
     readings that close a window by time, and the last window.  Readings without a value take no part.  Where a window
     begins depends on all before it, so a sensor's readings are sorted and folded in one pass that holds one window.
     """
-    names = [c.split()[0] for c in ANCHORED.split(", ")]
-    types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, window, out = None, None, []
-
-        def batch() -> pa.RecordBatch:
-            rows = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-            out.clear()
-            return rows
-
-        for part in batches:
-            for sensor, kind, ts, value in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if (sensor, kind) != key:
-                    if window and not lossy and (row := window.close()):
-                        out.append((*key, *row))
-                    key, window = (sensor, kind), AnchoredWindow(width_ms, name, most, lossy)
-                if row := window.add(ts, value):
-                    out.append((*key, *row))
-            if len(out) > 10_000:
-                yield batch()
-        if window and not lossy and (row := window.close()):
-            out.append((*key, *row))
-        if out:
-            yield batch()
-
-    slim = readings.where("value is not null").repartition("sensor_id", "sensor_type").sortWithinPartitions("sensor_id", "sensor_type", "ts_ms", "seq")
-    return slim.select("sensor_id", "sensor_type", "ts_ms", "value").mapInArrow(fold, ANCHORED)
+    slim = readings.where("value is not null")
+    return fold_sorted(slim, ("sensor_id", "sensor_type"), ("ts_ms", "value"), lambda key: _Anchored(AnchoredWindow(width_ms, name, most, lossy)), ANCHORED)
+
+
+class _Anchored:
+    def __init__(self, window: AnchoredWindow):
+        self.window = window
+
+    def add(self, ts: int, value: float) -> Iterator[tuple]:
+        if row := self.window.add(ts, value):
+            yield row
+
+    def close(self) -> Iterator[tuple]:
+        if not self.window.lossy and (row := self.window.close()):
+            yield row
 
 
 STATS = ("mean", "min", "max", "std_dev", "rate_of_change", "count", "median", "variance", "skewness", "kurtosis", "rms", "zero_crossings", "peak_count", "trend_slope")

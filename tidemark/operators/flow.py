@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.folds import ddl, fold_sorted, written
+
 
 def merge_by_time(*streams: DataFrame) -> DataFrame:
     """All rows with ``position`` in the order of time; streams come in the order given where times are equal."""
@@ -22,45 +23,69 @@ def merge_round_robin(*streams: DataFrame) -> DataFrame:
     return _numbered(both, ["turn", "stream_no"])
 
 
-def _numbered(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """Adds the place of each row in a total order, from 0: ranges are sorted apart and the rows of earlier ones added."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("_place", F.monotonically_increasing_id())
+def _numbered(df: DataFrame, order: list[str], name: str = "position", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the place of each row in a total order of each key, from 0.
+
+    Ranges of (key, order) are sorted apart and the rows of earlier ranges added, so that a key with very many rows, or none to
+    tell rows apart, is spread over tasks.  The ranges are drawn from a sample, so they are written once.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+    ranged = written(ranged.withColumn("_place", F.monotonically_increasing_id()))
     # The id has the partition's number above bit 33 and the row's place in it below.
     ranged = ranged.withColumns({"_part": F.shiftright("_place", 33), "_in": F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))})
-    ahead = ranged.groupBy("_part").agg(F.count("*").alias("_rows"))
-    ahead = ahead.withColumn("_ahead", F.coalesce(F.sum("_rows").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.join(F.broadcast(ahead.select("_part", "_ahead")), "_part").withColumn(name, F.col("_ahead") + F.col("_in")).drop("_place", "_part", "_in", "_ahead")
+    # One row for each range and key in it: at most as many as there are ranges and keys.
+    ahead = ranged.groupBy("_part", *keys).agg(F.count("*").alias("_rows"), F.min("_in").alias("_first"))
+    before = Window.partitionBy(*(keys or (F.lit(0),))).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ahead.withColumn("_ahead", F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).drop("_rows", "_first")
+    ahead = ahead.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(lambda c, k: c & F.col(k).eqNullSafe(F.col(f"_{k}")), keys, ranged["_part"] == ahead["_part"])
+    joined = ranged.join(ahead, same).drop(ahead["_part"], *[f"_{k}" for k in keys])
+    return joined.withColumn(name, F.col("_ahead") + F.col("_in")).drop("_place", "_part", "_in", "_ahead")
 
 
 def batch_by_count(readings: DataFrame, n: int, keys: tuple[str, ...] = ("sensor_type",)) -> DataFrame:
     """Adds ``batch_no``: n rows each, the last with what is left."""
-    return readings.withColumn("batch_no", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("ts_ms", "seq")) - 1) / n))
+    return _numbered(readings, ["ts_ms", "seq"], "_at", keys).withColumn("batch_no", F.floor(F.col("_at") / n)).drop("_at")
 
 
 def batch_by_time(readings: DataFrame, width_ms: int) -> DataFrame:
     return readings.withColumn("batch_no", F.floor(F.col("ts_ms") / width_ms))
 
 
-def batch_by_count_or_time(readings: DataFrame, n: int, timeout_ms: int, keys: tuple[str, ...] = ("sensor_type",)) -> DataFrame:
-    """Batches that close at n rows or when the timeout has passed since their first row; folded in order for each key."""
+class _Batches:
+    """Numbers the rows of one key by batches that close at n rows or by time."""
+
+    def __init__(self, n: int, timeout_ms: int, at: int):
+        self.n, self.timeout, self.at = n, timeout_ms, at
+        self.number, self.held, self.start = -1, 0, None
+
+    def add(self, *row) -> Iterator[tuple]:
+        ts = row[self.at]
+        if self.start is None or self.held == self.n or ts - self.start >= self.timeout:
+            self.number, self.held, self.start = self.number + 1, 0, ts
+        self.held += 1
+        yield *row, self.number
+
+    def close(self) -> tuple:
+        return ()
+
+
+def batch_by_count_or_time(readings: DataFrame, n: int, timeout_ms: int, keys: tuple[str, ...] = ("sensor_id", "sensor_type")) -> DataFrame:
+    """Adds ``batch_no``: batches of each key that close at n rows or when the timeout has passed since their first row."""
+    return _folded(readings, keys, lambda at: _Batches(n, timeout_ms, at), "batch_no long")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts_ms", "seq"])
-        number, held, start, out = -1, 0, None, []
-        for ts in rows.ts_ms.tolist():
-            if start is None or held == n or ts - start >= timeout_ms:
-                number, held, start = number + 1, 0, ts
-            held += 1
-            out.append(number)
-        return rows.assign(batch_no=out)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in readings.schema) + ", batch_no long"
-    return readings.groupBy(*keys).applyInPandas(fold, schema)
+def _folded(readings: DataFrame, keys: tuple[str, ...], start, added: str) -> DataFrame:
+    """All columns and one more, from a fold over each key; ``start`` gets the place of ts_ms among the columns that are no keys."""
+    own = [c for c in readings.columns if c not in keys]
+    at = own.index("ts_ms")
+    out = fold_sorted(readings, keys, own, lambda key: start(at), f"{ddl(readings, [*keys, *own])}, {added}")
+    return out.select(*readings.columns, added.split()[0])
 
 
 def drop_oldest(readings: DataFrame, capacity: int, keys: tuple[str, ...] = ("sensor_type",)) -> DataFrame:
-    """What a ring of so many slots holds in the end; one slot is never used."""
+    """What a ring of so many slots holds in the end; one slot is never used.  Spark limits the rows of a key ahead of the shuffle."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ts_ms"), F.desc("seq")))
     return readings.withColumn("_place", place).where(F.col("_place") <= capacity - 1).drop("_place")
 
@@ -77,24 +102,33 @@ def backpressure(levels: DataFrame, level: str, keys: tuple[str, ...], high: flo
     return levels.withColumn("paused", F.coalesce(latch, F.lit(0)) == 1)
 
 
-def rate_limited(readings: DataFrame, per_second: float, burst: float | None = None, keys: tuple[str, ...] = ("sensor_type",)) -> DataFrame:
-    """Adds ``admitted`` from a token bucket that starts full, in event time; folded in order for each key."""
-    most = per_second if burst is None else burst
+class TokenBucket:
+    """Admits a reading for each token; tokens come back with event time.  The bucket starts full."""
+
+    def __init__(self, per_second: float, most: float, at: int = 0):
+        self.per_second, self.most, self.at = per_second, most, at
+        self.tokens, self.last = most, None
+
+    def admits(self, ts: int) -> bool:
+        if self.last is not None:
+            self.tokens = min(self.most, self.tokens + max(0, ts - self.last) * self.per_second / 1000)
+        self.last = ts
+        admitted = self.tokens >= 1
+        self.tokens -= admitted
+        return admitted
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts_ms", "seq"])
-        return rows.assign(admitted=list(admissions(rows.ts_ms.tolist(), per_second, most)))
+    def add(self, *row) -> Iterator[tuple]:
+        yield *row, self.admits(row[self.at])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in readings.schema) + ", admitted boolean"
-    return readings.groupBy(*keys).applyInPandas(fold, schema)
+    def close(self) -> tuple:
+        return ()
+
+
+def rate_limited(readings: DataFrame, per_second: float, burst: float | None = None, keys: tuple[str, ...] = ("sensor_id", "sensor_type")) -> DataFrame:
+    """Adds ``admitted`` from a token bucket of each key, in event time."""
+    most = per_second if burst is None else burst
+    return _folded(readings, keys, lambda at: TokenBucket(per_second, most, at), "admitted boolean")
 
 
 def admissions(times: list[int], per_second: float, most: float) -> Iterator[bool]:
-    tokens, last = most, None
-    for ts in times:
-        if last is not None:
-            tokens = min(most, tokens + max(0, ts - last) * per_second / 1000)
-        last = ts
-        admitted = tokens >= 1
-        tokens -= admitted
-        yield admitted
+    yield from map(TokenBucket(per_second, most).admits, times)

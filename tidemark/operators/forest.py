@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import physics
 from tidemark.functions.sensors import by_sensor
+from tidemark.operators.folds import geometric_sum
 
 #: Rows that a fit collects at most, the first in a total order.
 MOST_ROWS = 100_000
@@ -153,17 +154,48 @@ def score_forest(df: DataFrame, forest: IsolationForest, features: list[str], sc
     return out.withColumn("is_anomaly", F.col(score) > forest.threshold)
 
 
-def running_features(readings: DataFrame, window: int = 100) -> DataFrame:
-    """The basic features of each reading's last ``window`` readings of its sensor, itself included."""
+def score_details(score: Column, forest: IsolationForest) -> Column:
+    """A score as a struct with the mean path length behind it, the trees, and how far their number is to be trusted."""
+    path = -F.log2(score) * path_length(forest.used)
+    trees = len(forest.nodes)
+    return F.struct(score.alias("score"), path.alias("path_length"), F.lit(trees).alias("trees"), F.lit(min(trees / 100, 1.0)).alias("confidence"))
+
+
+def running_features(readings: DataFrame, window: int = 100, names: tuple[str, ...] = (*BASIC, "count")) -> DataFrame:
+    """Features (of FULL) of each reading's last ``window`` readings of its sensor, itself included.
+
+    Moments are windowed aggregates.  What needs the window's readings one by one (median, crossings of the mean, peaks, slope
+    against time in seconds) is taken from an array of at most ``window`` values.
+    """
     w = by_sensor().rowsBetween(-(window - 1), 0)
+    value = F.col("value")
     first_v, first_t = F.first("value").over(w), F.first("ts_ms").over(w)
     span = F.col("ts_ms") - first_t
-    return readings.withColumns(
-        {
-            "mean": F.avg("value").over(w), "min": F.min("value").over(w), "max": F.max("value").over(w), "std_dev": F.stddev_pop("value").over(w),
-            "rate_of_change": F.when(span > 0, (F.col("value") - first_v) * 1000.0 / span).otherwise(F.lit(0.0)), "count": F.count("value").over(w),
-        }
-    )
+    v, t = F.col("_v"), F.col("_t")
+    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
+    at = F.sequence(F.lit(0), F.size(v) - 1)
+    crossed = F.filter(at, lambda i: (i > 0) & ((F.get(v, i - 1) - F.col("mean")) * (F.get(v, i) - F.col("mean")) < 0))
+    peaks = F.filter(at, lambda i: (i > 0) & (F.get(v, i) > F.get(v, i - 1)) & (F.get(v, i) > F.get(v, i + 1)))
+    seconds = F.transform(t, lambda x: (x - F.get(t, F.lit(0))) / 1000.0)
+    mean_t = F.aggregate(seconds, F.lit(0.0), lambda s, x: s + x) / F.size(v)
+    up = F.aggregate(F.zip_with(seconds, v, lambda x, y: (x - mean_t) * (y - mean)), F.lit(0.0), lambda s, x: s + x)
+    down = F.aggregate(seconds, F.lit(0.0), lambda s, x: s + (x - mean_t) * (x - mean_t))
+    all_of = {
+        "mean": F.avg("value").over(w), "min": F.min("value").over(w), "max": F.max("value").over(w), "std_dev": F.stddev_pop("value").over(w),
+        "rate_of_change": F.when(span > 0, (value - first_v) * 1000.0 / span).otherwise(F.lit(0.0)), "count": F.count("value").over(w),
+        "variance": F.var_pop("value").over(w), "rms": F.sqrt(F.avg(value * value).over(w)),
+        "skewness": F.coalesce(F.nanvl(F.skewness("value").over(w), F.lit(0.0)), F.lit(0.0)), "kurtosis": F.coalesce(F.nanvl(F.kurtosis("value").over(w), F.lit(0.0)), F.lit(0.0)),
+    }
+    one_by_one = {
+        "median": F.expr("(get(array_sort(_v), cast(floor((size(_v) - 1) / 2) as int)) + get(array_sort(_v), cast(floor(size(_v) / 2) as int))) / 2"),
+        "zero_crossings": F.size(crossed), "peak_count": F.size(peaks), "trend_slope": F.when(down > 0, up / F.when(down > 0, down)).otherwise(F.lit(0.0)),
+    }
+    out = readings.withColumns({n: c for n, c in all_of.items() if n in names or n == "mean"})
+    if any(n in one_by_one for n in names):
+        some = F.collect_list(F.when(value.isNotNull(), F.struct("ts_ms", "value"))).over(w)
+        out = out.withColumn("_w", some).withColumns({"_v": F.col("_w.value"), "_t": F.col("_w.ts_ms")})
+        out = out.withColumns({n: c for n, c in one_by_one.items() if n in names}).drop("_w", "_v", "_t")
+    return out if "mean" in names else out.drop("mean")
 
 
 def correlation_features(t: dict[str, Column], rh: dict[str, Column], p: dict[str, Column]) -> dict[str, Column]:
@@ -194,16 +226,22 @@ def score_history(scored: DataFrame, score: str, by: tuple[str, ...], alpha: flo
 
 
 def exponential_average(df: DataFrame, value: str, by: tuple[str, ...], alpha: float = 0.1, start: float = 0.5) -> DataFrame:
-    """The average of each group after its last row: a fold in order."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "seq", value))), lambda s: s[value])
-    return df.groupBy(*by).agg(F.aggregate(ordered, F.lit(start), lambda s, v: s + alpha * (v - s)).alias("ema"))
+    """The average of each group after its last row, as a sum in which a value weighs less the more rows follow it.
+
+    Rows without a value take no part.  A group is sorted with spilling and streamed; nothing holds it whole.
+    """
+    w = Window.partitionBy(*by)
+    kept = math.log1p(-alpha)
+    rows = df.where(F.col(value).isNotNull()).withColumns({"_n": F.row_number().over(w.orderBy("ts_ms", "seq")), "_all": F.count("*").over(w)})
+    found = geometric_sum(F.col(value), lambda n: F.lit(alpha), lambda n: n * F.lit(kept), F.col("_n"), F.col("_all"))
+    return rows.groupBy(*by).agg((found + F.lit(start) * F.exp(F.count("*") * F.lit(kept))).alias("ema"))
 
 
-def anomaly_stage(readings: DataFrame, *, train_rows: int = 50, threshold: float = 0.7, min_quality: float = 0.5) -> DataFrame:
-    """Scores of readings of good quality after the first ``train_rows``, and the code of the event each one raises."""
+def anomaly_stage(readings: DataFrame, *, train_rows: int = 50, threshold: float = 0.7, min_quality: float = 0.5, forest: IsolationForest | None = None) -> DataFrame:
+    """Scores of readings of good quality, and the code of the event each one raises, by a given forest or one of the first ``train_rows``."""
     kinds = readings.where(F.col("sensor_type").isin("temperature", "humidity", "pressure") & (F.col("quality") >= min_quality))
     features = running_features(kinds)
-    forest = fit_forest(features, list(BASIC), ["ts_ms", "seq"], rows=train_rows, threshold=threshold)
+    forest = forest or fit_forest(features, list(BASIC), ["ts_ms", "seq"], rows=train_rows, threshold=threshold)
     out = score_forest(features, forest, list(BASIC))
     code = F.when(F.col("is_anomaly"), F.floor(F.col("anomaly_score") * 1000))
     return out.select("sensor_id", "sensor_type", "ts_ms", "seq", "value", "anomaly_score", "is_anomaly", code.alias("system_details"))

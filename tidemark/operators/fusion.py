@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.confidence import LEAST, MOST
+from tidemark.operators.folds import ddl, fold_sorted, geometric_sum
 
 
 def ramp(n: Column) -> Column:
@@ -57,28 +58,53 @@ def fusion_status(confidence: Column) -> Column:
     return F.when(confidence < LEAST / MOST, "SensorQualityBad").otherwise("Valid")
 
 
+def scalar_gains(q: float, r: float, p0: float, most: int = 100_000) -> tuple[list[float], list[float]]:
+    """(gain, variance) after each update of a scalar filter, up to where they stay as they are; they depend on no measurement."""
+    gains, variances, p = [], [], p0
+    while len(gains) < most:
+        p += q
+        k = p / (p + r)
+        p = (1 - k) * (1 - k) * p + k * k * r
+        if gains and gains[-1] == k and variances[-1] == p:
+            break
+        gains.append(k)
+        variances.append(p)
+    return gains, variances
+
+
 def kalman_scalar(readings: DataFrame, q: float = 0.01, r: float = 0.01, p0: float = 1.0, by: tuple[str, ...] = ("sensor_id", "sensor_type")) -> DataFrame:
-    """The filtered value of each group after its last reading: a fold over the readings in order, in the JVM.
+    """The filtered value of each group after its last reading.
 
-    A group's readings become one array, so this suits groups of some 100,000 readings; longer ones take ``kalman`` by time
-    slices or the streaming form.
+    Gains depend on the number of an update alone, so the fold is a sum in which each reading weighs its gain and what later ones
+    leave of it; a group is sorted with spilling and streamed, and nothing holds it whole.  Readings without a value take no
+    part.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "seq", "value"))), lambda s: s["value"])
-    start = F.struct(F.lit(0.0).alias("x"), F.lit(p0).alias("p"))
+    gains, variances = scalar_gains(q, r, p0)
+    logs = [0.0]
+    for k in gains:
+        logs.append(logs[-1] + math.log1p(-k))
 
-    def step(s: Column, z: Column) -> Column:
-        p = s["p"] + q
-        k = p / (p + r)
-        return F.struct((s["x"] + k * (z - s["x"])).alias("x"), ((1 - k) * (1 - k) * p + k * k * r).alias("p"))
+    def of(table: list[float]):
+        return lambda n: F.get(F.lit(table), F.least(n, F.lit(len(gains))).cast("int") - 1)
 
-    found = readings.groupBy(*by).agg(F.aggregate(ordered, start, step).alias("_s"), F.count("*").alias("updates"))
-    return found.select(*by, F.col("_s.x").alias("estimate"), F.col("_s.p").alias("variance"), "updates", kalman_confidence(F.col("_s.p"), F.col("updates")).alias("confidence"))
+    def log_kept(n: Column) -> Column:
+        return F.get(F.lit(logs), F.least(n, F.lit(len(gains))).cast("int")) + F.greatest(n - len(gains), F.lit(0)) * F.lit(logs[-1] - logs[-2])
+
+    w = Window.partitionBy(*by)
+    rows = readings.where("value is not null").withColumns({"_n": F.row_number().over(w.orderBy("ts_ms", "seq")), "_all": F.count("*").over(w)})
+    found = rows.groupBy(*by).agg(geometric_sum(F.col("value"), of(gains), log_kept, F.col("_n"), F.col("_all")).alias("estimate"), F.count("*").alias("updates"))
+    found = found.withColumn("variance", of(variances)(F.col("updates")))
+    return found.select(*by, "estimate", "variance", "updates", kalman_confidence(F.col("variance"), F.col("updates")).alias("confidence"))
 
 
 def kalman_confidence(trace: Column, n: Column) -> Column:
     return F.when(trace < 0.1, 1.0).when(trace < 1, 0.9 - 0.4 * (trace - 0.1)).otherwise(0.5 / trace) * ramp(n)
 
 
+def trace_confidence(t: float, n: int) -> float:
+    return (1.0 if t < 0.1 else 0.9 - 0.4 * (t - 0.1) if t < 1 else 0.5 / t) * min(n / 10, 1.0)
+
+
 @dataclass
 class KalmanFilter:
     """A linear filter.  Missing measurements (NaN) are left out of an update; ``transition`` may depend on the time step."""
@@ -121,8 +147,7 @@ class KalmanFilter:
         return float(self.x[0])
 
     def confidence(self) -> float:
-        t = float(np.trace(self.p))
-        return (1.0 if t < 0.1 else 0.9 - 0.4 * (t - 0.1) if t < 1 else 0.5 / t) * min(self.n / 10, 1.0)
+        return trace_confidence(float(np.trace(self.p)), self.n)
 
     def converged(self, threshold: float = 0.01, least: int = 5) -> bool:
         return self.n >= least and bool(np.max(np.diag(self.p)) < threshold)
@@ -134,7 +159,7 @@ class KalmanFilter:
 
 @dataclass
 class ExtendedKalmanFilter:
-    """Linearises f and h at the state by central differences; ``linear`` takes F = I and the model's H instead."""
+    """Linearises f at the state, by ``slopes`` or else by central differences; ``linear`` takes F = I instead."""
 
     f: Callable[[np.ndarray, float], np.ndarray]
     h: np.ndarray
@@ -144,8 +169,11 @@ class ExtendedKalmanFilter:
     p: np.ndarray
     linear: bool = False
     n: int = 0
+    slopes: Callable[[np.ndarray, float], np.ndarray] | None = None
 
     def jacobian(self, dt: float, eps: float = 1e-4) -> np.ndarray:
+        if self.slopes:
+            return self.slopes(self.x, dt)
         steps = np.eye(len(self.x)) * eps
         return np.stack([(self.f(self.x + e, dt) - self.f(self.x - e, dt)) / (2 * eps) for e in steps], axis=1)
 
@@ -154,15 +182,22 @@ class ExtendedKalmanFilter:
         x = self.x if self.linear else self.f(self.x, dt)
         inner = KalmanFilter(a, self.h, self.q, self.r, x, a @ self.p @ a.T + self.q)
         inner.update(z)
-        self.x, self.p, self.n = inner.x, inner.p, self.n + 1
+        self.x, self.p, self.n = inner.x, inner.p, self.n + inner.n
         return self.x
 
+    def confidence(self) -> float:
+        return trace_confidence(float(np.trace(self.p)), self.n)
+
+    def converged(self, threshold: float = 0.01, least: int = 5) -> bool:
+        return self.n >= least and bool(np.max(np.diag(self.p)) < threshold)
+
 
 def temperature_model(noise: float = 0.1) -> ExtendedKalmanFilter:
     """State: temperature, ambient, rate of exchange."""
     return ExtendedKalmanFilter(
         lambda x, dt: np.array([x[0] - x[2] * (x[0] - x[1]) * dt, x[1], x[2]]), np.array([[1.0, 0, 0]]), np.diag([0.01, 0.001, 0.0001]),
         np.eye(1) * noise**2, np.array([25.0, 20, 0.1]), np.diag([1.0, 4, 0.01]),
+        slopes=lambda x, dt: np.array([[1 - x[2] * dt, x[2] * dt, -(x[0] - x[1]) * dt], [0.0, 1, 0], [0.0, 0, 1]]),
     )
 
 
@@ -259,26 +294,75 @@ class Fuser:
 FUSED = "group_name string, ts_ms long, seq long, estimate double, confidence double"
 
 
+class _Fused:
+    def __init__(self, group: Group):
+        self.fuser = Fuser(group)
+
+    def add(self, sensor: str, ts: int, seq: int, value: float | None) -> Iterator[tuple]:
+        if found := self.fuser.add(sensor, ts, value):
+            yield ts, seq, *found
+
+    def close(self) -> tuple:
+        return ()
+
+
 def fuse(readings: DataFrame, groups: list[Group]) -> DataFrame:
     """A row whenever a group is fused: when a member reads, its interval has passed and enough members have been heard.
 
-    Groups are independent and each is folded in order by one task; a sensor may belong to several.
+    Groups are independent; each is folded in order in a sorted stream that holds the members' last values; a sensor may
+    belong to several.
     """
     by_name = {g.name: g for g in groups}
     members = readings.sparkSession.createDataFrame([(g.name, s) for g in groups for s in g.sensors], "group_name string, sensor_id string")
     dealt = readings.select("sensor_id", "ts_ms", "seq", "value").join(F.broadcast(members), "sensor_id")
+    return fold_sorted(dealt, ("group_name",), ("sensor_id", "ts_ms", "seq", "value"), lambda key: _Fused(by_name[key[0]]), FUSED)
+
+
+FILTERED = "ts_ms long, seq long, state array<double>, variances array<double>, updates long, confidence double, converged boolean"
+
+
+class _Filtered:
+    """A filter fed with the measurements of one key; the time step is that between rows, in seconds."""
+
+    def __init__(self, model: KalmanFilter | ExtendedKalmanFilter, first_dt: float, fixed_dt: float | None):
+        self.model, self.dt, self.fixed, self.last = model, first_dt, fixed_dt, None
+
+    def add(self, ts: int, seq: int, *z: float | None) -> Iterator[tuple]:
+        dt = self.fixed if self.fixed is not None else self.dt if self.last is None else max(0, ts - self.last) / 1000
+        self.last, m = ts, self.model
+        seen = np.array([np.nan if v is None else v for v in z], float)
+        if isinstance(m, ExtendedKalmanFilter):
+            m.step(seen, dt)
+        else:
+            m.predict(dt)
+            m.update(seen)
+        yield ts, seq, m.x.tolist(), np.diag(m.p).tolist(), m.n, m.confidence(), m.converged()
+
+    def close(self) -> tuple:
+        return ()
+
+
+def filtered(
+    measurements: DataFrame, model: Callable[[], KalmanFilter | ExtendedKalmanFilter], columns: tuple[str, ...], by: tuple[str, ...] = ("sensor_id", "sensor_type"),
+    first_dt: float = 0.1, fixed_dt: float | None = None,
+) -> DataFrame:
+    """A Kalman or extended Kalman filter over the measurement columns of each key, in the order of (ts_ms, seq).
+
+    ``model`` makes a fresh filter of any number of states and measurements.  A null measurement is left out of its update; a
+    row without any is a prediction alone.  A row for each row: the key, ts_ms, seq, the state, the diagonal of its covariance,
+    updates so far, confidence, and whether the filter has converged.  A key is folded in a sorted stream that holds one filter.
+    """
+    key = ddl(measurements, by)
+    return fold_sorted(measurements, by, ("ts_ms", "seq", *columns), lambda _: _Filtered(model(), first_dt, fixed_dt), f"{key}, {FILTERED}")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts_ms", "seq"])
-        return pd.DataFrame(list(fused_rows(Fuser(by_name[rows.group_name.iloc[0]]), rows)), columns=["group_name", "ts_ms", "seq", "estimate", "confidence"])
 
-    return dealt.groupBy("group_name").applyInPandas(fold, FUSED)
+def temperature_fusion() -> KalmanFilter:
+    """One state and one sensor, noise 0.1."""
+    return KalmanFilter.of_size(1, 1, q=0.01, r=0.1**2)
 
 
-def fused_rows(fuser: Fuser, rows: pd.DataFrame) -> Iterator[tuple]:
-    for sensor, ts, seq, value in zip(rows.sensor_id, rows.ts_ms.tolist(), rows.seq.tolist(), rows.value.tolist(), strict=True):
-        if found := fuser.add(sensor, ts, value):
-            yield fuser.group.name, ts, seq, *found
+def weighted_fusion(name: str, sensors: tuple[str, ...], weights: dict[str, float] | None = None) -> Group:
+    return Group(name, sensors, weights=weights or {})
 
 
 def latest_by_type(readings: DataFrame, kinds: tuple[str, ...], width_ms: int) -> DataFrame:

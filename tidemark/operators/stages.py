@@ -34,7 +34,10 @@ def keep(condition: Column) -> Stage:
 
 
 def route(routes: Mapping[str, Stage], default: Stage | None = None, by: str = "sensor_type") -> Stage:
-    """Each kind to its stage, the rest (null kinds included) to the default or through."""
+    """Each kind to its stage, the rest (null kinds included) to the default or through.
+
+    The input is read once for each route; routes that only change columns or drop rows are better given as ``route_columns``.
+    """
 
     def run(df: DataFrame) -> DataFrame:
         rest = df.where(F.col(by).isNull() | ~F.col(by).isin(list(routes)))
@@ -45,6 +48,21 @@ def route(routes: Mapping[str, Stage], default: Stage | None = None, by: str = "
     return run
 
 
+def route_columns(routes: Mapping[str, Mapping[str, Column]], keep_if: Mapping[str, Column] | None = None, by: str = "sensor_type") -> Stage:
+    """Columns changed, and rows kept, by kind, in one pass; other kinds, and null, go through as they are."""
+
+    def run(df: DataFrame) -> DataFrame:
+        changed: dict[str, Column] = {}
+        for kind, columns in routes.items():
+            for name, column in columns.items():
+                changed[name] = F.when(F.col(by) == kind, column).otherwise(changed.get(name, F.col(name)))
+        for kind, condition in (keep_if or {}).items():
+            df = df.where((F.col(by) != kind) | F.col(by).isNull() | condition)
+        return df.withColumns(changed)
+
+    return run
+
+
 def fan_out(*events: Column) -> Stage:
     """Several events, structs alike, for each row."""
     return lambda df: df.select(F.inline(F.array_compact(F.array(*events))))
@@ -149,12 +167,47 @@ def recover(failed: Column, most: int = 3) -> Stage:
     return run
 
 
-def silences(timeout_ms: int) -> Stage:
-    """Gaps between a sensor's readings that are longer than the timeout."""
+def recovery_events(failed: Column, most: int = 3) -> Stage:
+    """The readings as ``recover`` gives them, and from the ``most``-th failure in a row on a system event for each, with their number."""
+
+    def run(df: DataFrame) -> DataFrame:
+        w = by_sensor().rowsBetween(Window.unboundedPreceding, 0)
+        bad = F.coalesce(failed, F.lit(False))
+        counted = df.withColumn("_bad", bad).withColumn("_island", F.sum(F.when(~F.col("_bad"), 1).otherwise(0)).over(w))
+        length = F.sum(F.when(F.col("_bad"), 1).otherwise(0)).over(Window.partitionBy("sensor_id", "sensor_type", "_island").orderBy("ts_ms", "seq"))
+        counted = counted.withColumns({"_run": length, "_failed": F.col("_bad")}).drop("_bad", "_island")
+        out = counted.transform(recover(F.col("_failed"), most))
+
+        def event(kind: str, value: Column, quality: Column, details: Column) -> Column:
+            return F.struct(
+                F.lit(kind).alias("event_kind"), F.col("seq").alias("seq"), F.col("sensor_id").alias("sensor_id"), F.col("sensor_type").alias("sensor_type"), F.col("ts_ms").alias("ts_ms"),
+                value.cast("double").alias("value"), quality.cast("double").alias("quality"), details.cast("long").alias("system_details"),
+            )
+
+        none = F.lit(None)
+        reading = event("sensor_reading", F.col("value"), F.col("quality"), none)
+        system = F.when(F.col("_failed") & (F.col("_run") >= most), event("system_event", none, none, F.col("_run")))
+        return out.transform(fan_out(reading, system))
+
+    return run
+
+
+def silences(timeout_ms: int, trailing: bool = False) -> Stage:
+    """Gaps between a sensor's readings that are longer than the timeout.
+
+    With ``trailing`` also the gap from a sensor's last reading to the last reading of all, and ``closed``: whether the sensor
+    was heard again.
+    """
 
     def run(df: DataFrame) -> DataFrame:
-        gap = F.lead("ts_ms").over(by_sensor()) - F.col("ts_ms")
-        return df.select("sensor_id", "sensor_type", F.col("ts_ms").alias("silent_from_ms"), gap.alias("gap_ms")).where(F.col("gap_ms") > timeout_ms)
+        after = F.lead("ts_ms").over(by_sensor())
+        if trailing:
+            end = df.agg(F.max("ts_ms").alias("_end"))  # one row
+            df = df.join(F.broadcast(end)).withColumns({"closed": after.isNotNull(), "_after": F.coalesce(after, F.col("_end"))})
+            found = df.select("sensor_id", "sensor_type", F.col("ts_ms").alias("silent_from_ms"), (F.col("_after") - F.col("ts_ms")).alias("gap_ms"), "closed")
+        else:
+            found = df.select("sensor_id", "sensor_type", F.col("ts_ms").alias("silent_from_ms"), (after - F.col("ts_ms")).alias("gap_ms"))
+        return found.where(F.col("gap_ms") > timeout_ms)
 
     return run
 

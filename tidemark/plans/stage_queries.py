@@ -39,8 +39,14 @@ def filter_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_readings("SELECT seq, sensor_type, CASE sensor_type WHEN 'temperature' THEN value + 273.15 WHEN 'pressure' THEN value * 100 ELSE value END AS value FROM r WHERE sensor_type <> 'voc' OR quality >= 0.5"))
 def router_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routes = {"temperature": lambda d: d.withColumn("value", F.col("value") + 273.15), "pressure": lambda d: d.withColumn("value", F.col("value") * 100), "voc": stages.keep(F.col("quality") >= 0.5)}
-    return sensor_readings(spark, sf_dir).transform(stages.route(routes)).select("seq", "sensor_type", "value")
+    changes = {"temperature": {"value": F.col("value") + 273.15}, "pressure": {"value": F.col("value") * 100}}
+    return sensor_readings(spark, sf_dir).transform(stages.route_columns(changes, {"voc": F.col("quality") >= 0.5})).select("seq", "sensor_type", "value")
+
+
+@query(with_readings("SELECT sensor_type, count(*) AS n FROM r WHERE sensor_type <> 'voc' OR quality >= 0.5 GROUP BY 1"))
+def router_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routes = {"voc": stages.keep(F.col("quality") >= 0.5)}
+    return sensor_readings(spark, sf_dir).transform(stages.route(routes)).groupBy("sensor_type").agg(F.count("*").alias("n"))
 
 
 @query(with_readings(f"""SELECT seq, ts_ms, primary_id, secondary_id, expected_value, actual_value,
@@ -115,10 +121,17 @@ def batch_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.batch_by_time(sensor_readings(spark, sf_dir), 3_600_000).groupBy("batch_no").agg(F.count("*").alias("n"))
 
 
-@query()
+ORDERED_SQL = "o AS (SELECT seq, sensor_type, ts_ms, row_number() OVER (PARTITION BY sensor_type ORDER BY ts_ms, seq) AS k FROM r)"
+
+
+@query(with_readings("SELECT sensor_type, number AS batch_no, count(*) AS n, min(seq) AS first_seq FROM f GROUP BY 1, 2", ORDERED_SQL,
+    """f AS (SELECT sensor_type, k, seq, CAST(0 AS BIGINT) AS number, 1 AS held, ts_ms AS start FROM o WHERE k = 1
+  UNION ALL SELECT o.sensor_type, o.k, o.seq, f.number + CASE WHEN f.held = 64 OR o.ts_ms - f.start >= 36000000 THEN 1 ELSE 0 END,
+    CASE WHEN f.held = 64 OR o.ts_ms - f.start >= 36000000 THEN 1 ELSE f.held + 1 END, CASE WHEN f.held = 64 OR o.ts_ms - f.start >= 36000000 THEN o.ts_ms ELSE f.start END
+  FROM f JOIN o ON o.sensor_type = f.sensor_type AND o.k = f.k + 1)""").replace("WITH r AS", "WITH RECURSIVE r AS"))
 def batch_by_count_or_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = sensor_readings(spark, sf_dir).select("seq", "sensor_type", "ts_ms")
-    return flow.batch_by_count_or_time(r, 64, 36_000_000).groupBy("sensor_type", "batch_no").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+    return flow.batch_by_count_or_time(r, 64, 36_000_000, ("sensor_type",)).groupBy("sensor_type", "batch_no").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 
 @query(with_readings("SELECT seq, sensor_type FROM (SELECT *, row_number() OVER (PARTITION BY sensor_type ORDER BY ts_ms DESC, seq DESC) AS k FROM r) WHERE k <= 127"))
@@ -136,7 +149,27 @@ def backpressure_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.backpressure(sensor_readings(spark, sf_dir), "quality", ("sensor_id", "sensor_type")).select("seq", "paused")
 
 
-@query()
+@query(with_readings("SELECT seq, sensor_type, admitted FROM f", ORDERED_SQL,
+    """f AS (SELECT sensor_type, k, seq, ts_ms, true AS admitted, 4e0 AS tokens FROM o WHERE k = 1
+  UNION ALL SELECT sensor_type, k, seq, ts_ms, have >= 1, CASE WHEN have >= 1 THEN have - 1 ELSE have END FROM (
+    SELECT o.sensor_type, o.k, o.seq, o.ts_ms, least(5e0, f.tokens + greatest(0, o.ts_ms - f.ts_ms) * 0.0005e0 / 1000e0) AS have FROM f JOIN o ON o.sensor_type = f.sensor_type AND o.k = f.k + 1))""").replace("WITH r AS", "WITH RECURSIVE r AS"))
 def rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = sensor_readings(spark, sf_dir).select("seq", "sensor_type", "ts_ms")
-    return flow.rate_limited(r, 0.0005, 5).select("seq", "sensor_type", "admitted")
+    return flow.rate_limited(r, 0.0005, 5, ("sensor_type",)).select("seq", "sensor_type", "admitted")
+
+
+@query(with_readings(f"""SELECT sensor_id, sensor_type, ts_ms AS silent_from_ms, gap_ms, closed FROM (
+  SELECT *, lead(ts_ms) OVER w IS NOT NULL AS closed, coalesce(lead(ts_ms) OVER w, max(ts_ms) OVER ()) - ts_ms AS gap_ms FROM r {W}) WHERE gap_ms > 259200000"""))
+def sensor_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sensor_readings(spark, sf_dir).transform(stages.silences(259_200_000, trailing=True))
+
+
+@query(with_readings(f"""SELECT event_kind, seq, sensor_id, sensor_type, v AS value, q AS quality, details AS system_details FROM (
+  SELECT 'sensor_reading' AS event_kind, seq, sensor_id, sensor_type, CASE WHEN rec THEN good ELSE value END AS v, CASE WHEN rec THEN 0.5 ELSE quality END AS q, CAST(NULL AS BIGINT) AS details FROM islands
+  UNION ALL SELECT 'system_event', seq, sensor_id, sensor_type, NULL, NULL, CAST(run AS BIGINT) FROM islands WHERE bad = 1 AND run >= 3)""",
+  f"""islands AS (SELECT *, bad = 1 AND good IS NOT NULL AND run >= 3 AS rec FROM (SELECT *, sum(bad) OVER (PARTITION BY sensor_id, sensor_type, island ORDER BY ts_ms, seq) AS run FROM (
+    SELECT *, CASE WHEN quality < 0.6 THEN 1 ELSE 0 END AS bad, sum(CASE WHEN quality < 0.6 THEN 0 ELSE 1 END) OVER w AS island,
+      last_value(CASE WHEN quality > 0.7 THEN value END IGNORE NULLS) OVER w AS good FROM r {W})))"""))
+def recovery_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = sensor_readings(spark, sf_dir).transform(stages.recovery_events(F.col("quality") < 0.6, 3))
+    return df.select("event_kind", "seq", "sensor_id", "sensor_type", "value", "quality", "system_details")

@@ -73,16 +73,36 @@ def count_window_lossy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.count_windows(sensor_readings(spark, sf_dir), 20, "sum", ("sensor_type",), lossy=True))
 
 
-@query()
+# Windows are numbered by a recursion over each sensor's readings in order; a window is full at ``most`` readings.
+def _anchored_sql(most: int | None, lossy: bool, name: str) -> str:
+    full = f"f.held = {most}" if most else "false"
+    ended = f"o.ts_ms - f.start >= {24 * HOUR}"
+    dropped = f"NOT ({full}) AND {ended}" if lossy else "false"
+    body = f"""SELECT sensor_id, sensor_type, start AS base_ts_ms, {batch_sql(name)} FROM (SELECT *, max(number) OVER (PARTITION BY sensor_id, sensor_type) AS last_number FROM f)
+WHERE kept {'AND number < last_number' if lossy else ''} GROUP BY sensor_id, sensor_type, number, start"""
+    recursion = f"""f AS (SELECT sensor_id, sensor_type, k, ts_ms, value, CAST(0 AS BIGINT) AS number, 1 AS held, ts_ms AS start, true AS kept FROM o WHERE k = 1
+  UNION ALL SELECT o.sensor_id, o.sensor_type, o.k, o.ts_ms, o.value, f.number + CASE WHEN {full} OR {ended} THEN 1 ELSE 0 END,
+    CASE WHEN {dropped} THEN 0 WHEN {full} OR {ended} THEN 1 ELSE f.held + 1 END, CASE WHEN {full} OR {ended} THEN o.ts_ms ELSE f.start END, NOT ({dropped})
+  FROM f JOIN o ON o.sensor_id = f.sensor_id AND o.sensor_type = f.sensor_type AND o.k = f.k + 1)"""
+    ordered = "o AS (SELECT *, row_number() OVER (PARTITION BY sensor_id, sensor_type ORDER BY ts_ms, seq) AS k FROM r WHERE value IS NOT NULL)"
+    return with_readings(body, ordered, recursion).replace("WITH r AS", "WITH RECURSIVE r AS")
+
+
+@query(_anchored_sql(None, False, "median"))
 def anchored_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.anchored(sensor_readings(spark, sf_dir), 24 * HOUR, "median"))
 
 
-@query()
+@query(_anchored_sql(100, True, "mean"))
 def anchored_window_lossy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.anchored(sensor_readings(spark, sf_dir), 24 * HOUR, "mean", most=100, lossy=True))
 
 
+@query(_anchored_sql(2, False, "sum"))
+def anchored_window_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.anchored(sensor_readings(spark, sf_dir), 24 * HOUR, "sum", most=2))
+
+
 @query(with_readings(f"""SELECT sensor_type, base_ts_ms, {batch_sql('mean')} FROM (
   SELECT *, unnest(range(CAST(floor(ts_ms / {6 * HOUR}) AS BIGINT) * {6 * HOUR} - {18 * HOUR}, CAST(floor(ts_ms / {6 * HOUR}) AS BIGINT) * {6 * HOUR} + 1, {6 * HOUR})) AS base_ts_ms FROM r) GROUP BY 1, 2"""))
 def extra_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
