@@ -1,5 +1,6 @@
 """Operators whose state runs on, against plain Python; models; parsers; sinks; streams against batches."""
 
+import json
 import math
 import random
 
@@ -268,6 +269,106 @@ def test_http_retries():
     assert connectors.HttpSink(transport, "u", auth={"type": "bearer", "token": "t"}).headers() == {"Authorization": "Bearer t"}
 
 
+def test_http_sends_its_credentials():
+    seen = []
+    sink = connectors.HttpSink(lambda url, body, headers: seen.append(headers) or 200, "u", auth={"type": "basic", "user": "a", "password": "b"})
+    assert sink.post(b"x", connectors.Stats()) and seen == [{"Authorization": "Basic YTpi"}]
+    key = connectors.HttpSink(lambda url, body, headers: seen.append(headers) or 200, "u", auth={"type": "api_key", "header": "X-Key", "key": "k"})
+    assert key.post(b"x", connectors.Stats()) and seen[1] == {"X-Key": "k"}
+
+
+def test_publisher_options_batches_and_reconnections():
+    seen, now, up = [], [0.0], [True]
+
+    def transport(topic, payload, options=None):
+        if not up[0]:
+            raise OSError("offline")
+        seen.append((topic, payload, options))
+        return 200
+
+    p = connectors.Publisher(transport, qos=1, batch=3, clock=lambda: now[0])
+    assert all(p.send("t", str(i).encode()) for i in range(2)) and not seen
+    p.send("t", b"2")
+    p.flush_batches(0)
+    assert [m["payload"] for m in json.loads(seen[0][1])] == ["0", "1", "2"] and seen[0][2] == {"qos": 1, "retain": False}
+    p.send("u", b"3")
+    p.flush_batches(99)
+    assert len(seen) == 1
+    p.flush_batches(100)
+    assert len(seen) == 2 and json.loads(seen[1][1])[0]["topic"] == "u"
+    kept = connectors.Publisher(transport, retain=True, batch=3)
+    up[0] = False
+    assert not kept.send("r", b"x") and not kept.is_connected()
+    up[0] = True
+    assert kept.send("r", b"y") and kept.is_connected() and kept.stats.reconnections == 1 and seen[-1] == ("r", b"y", {"qos": 0, "retain": True})
+    with pytest.raises(ValueError):
+        connectors.Publisher(transport, qos=3)
+
+
+def test_subscriptions(spark):
+    topics = ["a/b", "a/b/c", "a", "b", "$sys/a", None, "a/x/c", "a.b"]
+    df = spark.createDataFrame([(t,) for t in topics], "topic string")
+    subs = connectors.Subscriptions()
+    assert subs.delivered(df).count() == 0
+    for f, expected in (("a/#", {"a/b", "a/b/c", "a", "a/x/c"}), ("a/+/c", {"a/b/c", "a/x/c"}), ("+", {"a", "b", "a.b"}), ("#", set(topics) - {None, "$sys/a"}), ("$sys/+", {"$sys/a"}), ("a.b", {"a.b"})):
+        subs = connectors.Subscriptions()
+        subs.subscribe(f)
+        assert {r.topic for r in subs.delivered(df).collect()} == expected, f
+        subs.unsubscribe(f)
+        assert not subs.filters
+    for bad in ("", "a/#/b", "a+/b"):
+        with pytest.raises(ValueError):
+            subs.subscribe(bad)
+
+
+def test_coap_messages_come_back():
+    for options in ([], [(11, b"a"), (12, b""), (300, b"x" * 300), (2000, b"y" * 20)]):
+        for payload in (b"", b"p" * 70):
+            m = connectors.coap_decode(connectors.coap_encode(1, 69, 77, b"tok", options, payload))
+            assert (m.kind, m.code, m.message_id, m.token, m.options, m.payload) == (1, 69, 77, b"tok", options, payload)
+    for bad in (b"", b"\x00\x01\x00\x00", b"\x49\x01\x00\x00", b"\x40\x01\x00\x00\xff", b"\x40\x01\x00\x00\xf1", b"\x40\x01\x00\x00\x15a"):
+        with pytest.raises(ValueError):
+            connectors.coap_decode(bad)
+
+    def server(raw):
+        m = connectors.coap_decode(raw)
+        path = b"/".join(v for n, v in m.options if n == connectors.URI_PATH)
+        return connectors.coap_encode(2, 69 if path == b"sensors/1" else 132, m.message_id, m.token, payload=b"22.5" if m.code == connectors.COAP_GET else m.payload)
+
+    client = connectors.CoapClient(server)
+    assert client.get("/sensors/1") == b"22.5" and client.post("sensors/1", b"set") == b"set" and client.next_id == 3
+    with pytest.raises(OSError):
+        client.get("nothing")
+
+
+def test_lines_after_the_first(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text("id file\nunits\n" + "".join(f"{i},{name},temp,{i}.5\n" for i in range(5)))
+    got = files.accepted(files.read_csv(spark, str(tmp_path), skip_lines=2)).collect()
+    assert sorted((r.sensor_id, r.ts_ms, r.value) for r in got) == sorted((n, i, i + 0.5) for n in "ab" for i in range(5))
+    assert files.read_lines(spark, str(tmp_path), 6).count() == 2 and files.read_lines(spark, str(tmp_path), 9).count() == 0
+
+
+def test_replay_in_parts(spark):
+    replay = files.Replay(spark, [("a", "temperature", float(i), i, 1.0) for i in range(5)])
+    assert [r.seq for r in replay.next(3).collect()] == [0, 1, 2] and replay.remaining == 2
+    assert replay.next(3).count() == 2 and replay.exhausted
+    with pytest.raises(EOFError):
+        replay.next()
+    replay.reset()
+    assert replay.position == 0 and replay.next(1).first().value == 0.0
+
+
+def test_positions_do_not_depend_on_partitions(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, "a", "b"]), rng.randrange(40), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "sensor_type string, ts_ms long, seq long").repartition(13)
+    got = {r.seq: r.batch_no for r in flow.batch_by_count(df, 7).collect()}
+    for kind in (None, "a", "b"):
+        ordered = sorted((t, i) for k, t, i in rows if k == kind)
+        assert [got[i] for _, i in ordered] == [n // 7 for n in range(len(ordered))]
+
+
 def test_publisher_buffers_and_drops_the_oldest():
     up, got = [False], []
 

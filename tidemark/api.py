@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections import deque
+from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.sensors import ALIASES, ID_BYTES, SENSOR_TYPES, is_finite
+from tidemark.functions.sensors import ALIASES, ID_BYTES, SENSOR_TYPES, is_finite, sensor_dim
 from tidemark.operators.validators import DEFAULTS, Limits, summarize, validate_all
 
 
@@ -99,3 +101,64 @@ def convert(values: DataFrame, column: str) -> DataFrame:
     number: Column = F.col(column).cast("string").try_cast("double")
     why = F.when(F.col(column).isNull(), "missing").when(number.isNull(), "not a number").when(~is_finite(number), "not finite")
     return values.withColumns({"number": F.when(is_finite(number), number), "problem": why})
+
+
+def max_change_for_interval(sensor_type: str, interval_ms: float) -> float:
+    return limits_of(sensor_type).max_change(interval_ms)
+
+
+def get_range(sensor_type: str) -> tuple[float, float]:
+    limits = limits_of(sensor_type)
+    return limits.low, limits.high
+
+
+def get_config(sensor_type: str) -> dict:
+    return asdict(limits_of(sensor_type))
+
+
+def validate_reading(reading: tuple, sensor_type: str) -> dict:
+    """quick_validate of a reading as create_reading gives it, which must be of that kind."""
+    if kind_of(reading[1]) != kind_of(sensor_type):
+        raise ConfigurationError(f"a reading of {reading[1]} cannot be judged as {sensor_type}")
+    return quick_validate(reading[2], sensor_type, reading[4])
+
+
+class EventQueue:
+    """A bounded first-in, first-out queue for sinks and transports; ``push`` says whether there was room."""
+
+    def __init__(self, capacity: int):
+        if capacity < 1:
+            raise ConfigurationError("a queue has room for one event at least")
+        self.capacity, self._held = capacity, deque()
+
+    def push(self, event) -> bool:
+        if self.is_full:
+            return False
+        self._held.append(event)
+        return True
+
+    def pop(self):
+        return self._held.popleft() if self._held else None
+
+    def peek(self):
+        return self._held[0] if self._held else None
+
+    def drain(self) -> list:
+        out = list(self._held)
+        self._held.clear()
+        return out
+
+    @property
+    def is_full(self) -> bool:
+        return len(self._held) >= self.capacity
+
+    def __len__(self) -> int:
+        return len(self._held)
+
+
+def register_views(readings: DataFrame) -> list[str]:
+    """Views for SQL text: ``readings``, ``validated`` (with rate and status) and ``sensor_types``; their names."""
+    views = {"readings": readings, "validated": validate_all(readings), "sensor_types": sensor_dim(readings.sparkSession)}
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return list(views)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,57 @@ def dew_point_magnus(t: Column, rh: Column) -> Column:
     return F.when(rh <= 0, F.lit(-100.0)).otherwise(MAGNUS_B * g / (MAGNUS_A - g))
 
 
+# Steps of the presets in °C, % and m.
+PRESETS = {"standard": (5, 10, 100), "fine": (2, 5, 50), "small": (10, 20, 200)}
+
+
+def dew_point_grid(step_t: int = 5, step_rh: int = 10) -> list[list[float]]:
+    """Whole degrees of the Magnus formula at -40, ... 50 °C (rows) and 0, ... 100 % (columns)."""
+    def magnus(t: float, rh: float) -> float:
+        g = math.log(rh / 100) + MAGNUS_A * t / (MAGNUS_B + t)
+        return MAGNUS_B * g / (MAGNUS_A - g)
+
+    return [[float(round(magnus(t, rh))) if rh else -100.0 for rh in range(0, 101, step_rh)] for t in range(-40, 51, step_t)]
+
+
+def dew_point_preset(t: Column, rh: Column, preset: str = "standard") -> Column:
+    """Bilinear interpolation in a preset's grid; temperature and humidity are clamped to it."""
+    step_t, step_rh, _ = PRESETS[preset]
+    grid = dew_point_grid(step_t, step_rh)
+    wide = len(grid[0])
+    values = F.lit([x for row in grid for x in row])
+    at_t, at_rh = (clamp(t, -40, 50) + 40) / step_t, clamp(rh, 0, 100) / step_rh
+    i, j = F.least(F.floor(at_t), F.lit(len(grid) - 2)).cast("int"), F.least(F.floor(at_rh), F.lit(wide - 2)).cast("int")
+    a, b, c, d = (F.get(values, (i + x) * wide + j + y) for x in (0, 1) for y in (0, 1))
+    u, v = at_t - i, at_rh - j
+    return a * (1 - u) * (1 - v) + b * (1 - u) * v + c * u * (1 - v) + d * u * v
+
+
+def altitude_preset(h: Column, preset: str = "standard") -> Column:
+    """Linear interpolation between whole hPa of the standard atmosphere at a preset's steps, clamped to -500..5000 m."""
+    step = PRESETS[preset][2]
+    exponent = 9.80665 * 0.0289644 / (8.31447 * 0.0065)
+    table = tuple(float(round(SEA_LEVEL * (1 - 0.0065 * x / 288.15) ** exponent - SEA_LEVEL)) for x in range(-500, 5001, step))
+    return interpolate(table, (clamp(h, -500, 5000) + 500) / step)
+
+
+def sine_table(x: Column, entries: int = 64) -> Column:
+    """Sine by linear interpolation between so many values of a turn."""
+    turn = 2 * math.pi
+    table = tuple(math.sin(turn * i / entries) for i in range(entries + 1))
+    return interpolate(table, F.pmod(x, F.lit(turn)) / turn * entries)
+
+
+def cosine_table(x: Column, entries: int = 64) -> Column:
+    return sine_table(x + math.pi / 2, entries)
+
+
+def tangent_table(x: Column, entries: int = 64) -> Column:
+    """Null where the cosine is under 0.01."""
+    c = cosine_table(x, entries)
+    return F.when(F.abs(c) >= 0.01, sine_table(x, entries) / c)
+
+
 def altitude_adjustment(h: Column) -> Column:
     """Table, in hPa, clamped to -500..5000 m."""
     return interpolate(ALTITUDE_HPA, (clamp(h, -500, 5000) + 500) / 100)

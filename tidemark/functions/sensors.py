@@ -114,3 +114,13 @@ def format_duration(ms: Column) -> Column:
 def valid_time(ms: Column) -> Column:
     """From 2000-01-01 to 2100-01-01."""
     return ms.between(946_684_800_000, 4_102_444_800_000)
+
+
+def id_hash(sensor_id: Column) -> Column:
+    """The polynomial hash of an id's bytes by 31, modulo 2**64, as a decimal; 0 for an empty id."""
+    size = F.octet_length(sensor_id)
+    number = F.when(size > 0, F.sequence(F.lit(0), size - 1)).when(size == 0, F.array().cast("array<int>"))
+    hexed = F.hex(F.encode(sensor_id, "UTF-8"))
+    byte = lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("decimal(20,0)")
+    step = lambda h, i: ((h * 31 + byte(i)) % F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(20,0)")
+    return F.aggregate(number, F.lit(0).cast("decimal(20,0)"), step)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import api
 from tidemark.functions import confidence as C
 from tidemark.functions import physics, sensors
+from tidemark.functions import time as T
 from tidemark.functions.sensors import SENSOR_TYPES
 from tidemark.plans.readings import READINGS_SQL, sensor_readings, with_readings
 
@@ -198,3 +200,73 @@ def confidence_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
         "seq", C.of_environment(v, F.col("quality") * 100, 850 + s % 300, s % 6000).alias("environment"), C.of_cross_validation(v, F.lit(20.0), F.lit(15.0)).alias("cross_check"),
         r6(C.of_temperature(d, v), "temperature"), r6(C.of_pressure(d, s % 6000), "pressure"), r6(C.of_humidity(d, v), "humidity"),
     )
+
+
+def _grid_sql(preset: str, t: str, rh: str) -> str:
+    """Bilinear interpolation in a grid that the SQL holds as a list, row after row."""
+    step_t, step_rh, _ = physics.PRESETS[preset]
+    grid = physics.dew_point_grid(step_t, step_rh)
+    wide = len(grid[0])
+    at = f"{preset}_i * {wide} + {preset}_j"
+    u, v = f"({t} + 40e0) / {step_t}e0 - {preset}_i", f"{rh} / {step_rh}e0 - {preset}_j"
+    values = "[" + ", ".join(f"{x}e0" for row in grid for x in row) + "]"
+    corner = lambda x, y: f"{values}[CAST({at} + {x * wide + y + 1} AS BIGINT)]"
+    return f"round({corner(0, 0)} * (1 - ({u})) * (1 - ({v})) + {corner(0, 1)} * (1 - ({u})) * ({v}) + {corner(1, 0)} * ({u}) * (1 - ({v})) + {corner(1, 1)} * ({u}) * ({v}), 6)"
+
+
+def _cell_sql(preset: str) -> str:
+    step_t, step_rh, _ = physics.PRESETS[preset]
+    grid = physics.dew_point_grid(step_t, step_rh)
+    return f"least(floor((t + 40e0) / {step_t}e0), {len(grid) - 2}) AS {preset}_i, least(floor(rh / {step_rh}e0), {len(grid[0]) - 2}) AS {preset}_j"
+
+
+@query(with_readings(f"SELECT seq, {', '.join(f'{_grid_sql(p, chr(116), chr(114) + chr(104))} AS dew_{p}' for p in physics.PRESETS)} FROM (SELECT *, {', '.join(map(_cell_sql, physics.PRESETS))} FROM "
+    "(SELECT seq, greatest(-40e0, least(50e0, value)) AS t, quality * 100e0 AS rh FROM r WHERE sensor_type = 'temperature'))"))
+def dew_point_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = sensor_readings(spark, sf_dir).where("sensor_type = 'temperature'")
+    return r.select("seq", *[r6(physics.dew_point_preset(F.col("value"), F.col("quality") * 100, p), f"dew_{p}") for p in physics.PRESETS])
+
+
+@query(with_readings("""SELECT seq, abs(s - sin(x)) < 0.0013 AS sine_near, abs(c - cos(x)) < 0.0013 AS cosine_near, round(s, 6) AS sine, abs(c) < 0.01 AS tangent_missing FROM (SELECT seq, x,
+  (1 - (p - floor(p))) * sin(2 * pi() * floor(p) / 64) + (p - floor(p)) * sin(2 * pi() * (floor(p) + 1) / 64) AS s, (1 - (q - floor(q))) * sin(2 * pi() * floor(q) / 64) + (q - floor(q)) * sin(2 * pi() * (floor(q) + 1) / 64) AS c FROM (
+  SELECT seq, x, (x / (2 * pi()) - floor(x / (2 * pi()))) * 64 AS p, ((x + pi() / 2) / (2 * pi()) - floor((x + pi() / 2) / (2 * pi()))) * 64 AS q FROM (SELECT seq, value / 7.0 AS x FROM r)))"""))
+def sine_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("value") / 7.0
+    s, c = physics.sine_table(x), physics.cosine_table(x)
+    near = lambda a, b: F.abs(a - b) < 0.0013
+    return sensor_readings(spark, sf_dir).select("seq", near(s, F.sin(x)).alias("sine_near"), near(c, F.cos(x)).alias("cosine_near"), r6(s, "sine"), physics.tangent_table(x).isNull().alias("tangent_missing"))
+
+
+@query(with_readings("""SELECT seq, ts_ms AS from_iso, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, ts_ms + 90061001 AS later, seq % 5 = 0 AS broken, CAST(mono AS BIGINT) AS clock,
+  greatest(ts_ms - 1704100000000, 0) AS since FROM (SELECT *, max(ts_ms - seq % 9 * 100000) OVER (PARTITION BY sensor_id, sensor_type ORDER BY seq ROWS UNBOUNDED PRECEDING) AS mono FROM r)"""))
+def time_utilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = sensor_readings(spark, sf_dir)
+    iso = T.to_iso(F.col("ts_ms"))
+    broken = T.from_iso(F.when(F.col("seq") % 5 == 0, F.concat(F.lit("x"), iso)).otherwise(iso)).isNull()
+    back = r.withColumn("_t", F.col("ts_ms") - F.col("seq") % 9 * 100_000)
+    return back.select(
+        "seq", T.from_iso(F.when(F.col("seq") % 2 == 0, F.regexp_replace(iso, "Z$", "+00:00")).otherwise(F.regexp_replace(iso, "Z$", ""))).alias("from_iso"), iso.alias("iso"),
+        T.later(F.col("ts_ms"), days=1, hours=1, minutes=1, seconds=1, millis=1).alias("later"), broken.alias("broken"), T.monotonic("_t").alias("clock"),
+        T.since(F.col("ts_ms"), T.fixed(1_704_100_000_000)).alias("since"),
+    )
+
+
+@query(with_readings("""SELECT sensor_id, CAST(list_reduce(list_prepend(CAST(0 AS HUGEINT), [CAST(ord(c) AS HUGEINT) FOR c IN string_split(sensor_id, '')]), lambda h, b: (h * 31 + b) % 18446744073709551616) AS VARCHAR) AS id_hash
+FROM (SELECT DISTINCT sensor_id || '-long-enough-to-wrap' AS sensor_id FROM r)"""))
+def sensor_id_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = sensor_readings(spark, sf_dir).select(F.concat("sensor_id", F.lit("-long-enough-to-wrap")).alias("sensor_id")).distinct()
+    return ids.select("sensor_id", sensors.id_hash(F.col("sensor_id")).cast("string").alias("id_hash"))
+
+
+@query(with_readings("SELECT sensor_type, unit, count(*) AS n, round(avg(value), 6) AS mean_value FROM r JOIN (VALUES " + ", ".join(f"('{n}', '{u}')" for _, n, u, _, _ in SENSOR_TYPES) + ") AS t(sensor_type, unit) USING (sensor_type) GROUP BY 1, 2"))
+def sql_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    api.register_views(sensor_readings(spark, sf_dir))
+    return spark.sql("SELECT sensor_type, unit, count(*) AS n, round(avg(value), 6) AS mean_value FROM validated JOIN sensor_types USING (sensor_type) GROUP BY sensor_type, unit")
+
+
+@query(with_readings(f"""SELECT seq, least(a + b, 65535) AS added, {FIX.format('(a / 65535e0) * (b / 65535e0)')} AS multiplied,
+  round(e + 0.1e0 * (y - e), 6) AS reliability FROM (SELECT seq, {FIX.format('x')} AS a, {FIX.format('y')} AS b, y, 0.5e0 + 0.1e0 * (x - 0.5e0) AS e FROM (SELECT seq, quality AS x, (seq % 100) / 100e0 AS y FROM r))"""))
+def confidence_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = F.col("quality"), F.col("seq") % 100 / 100.0
+    a, b = C.from_float(x), C.from_float(y)
+    return sensor_readings(spark, sf_dir).select("seq", C.add(a, b).alias("added"), C.multiply(a, b).alias("multiplied"), r6(C.reliability(F.array(x, y), 0.1), "reliability"))

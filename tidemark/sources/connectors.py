@@ -7,17 +7,31 @@ their own.  Sinks run in ``foreachBatch`` or on a DataFrame, one connection for
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
+from functools import reduce
+from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-Transport = Callable[[str, bytes], int]
+#: Takes an address or topic and a body, and where a sink has any, headers or options as a third argument; gives a status.
+Transport = Callable[..., int]
+
+
+class Connector(Protocol):
+    """What ``foreachBatch`` and ``send`` need of a sink."""
+
+    stats: Stats
+
+    def send(self, topic: str, payload: bytes) -> bool: ...
+
+    def is_connected(self) -> bool: ...
 
 
 @dataclass
@@ -68,9 +82,10 @@ class HttpSink:
         return {self.auth["header"]: self.auth["key"]} if kind == "api_key" else {}
 
     def post(self, body: bytes, stats: Stats) -> bool:
+        headers = self.headers()
         for attempt in range(self.retries + 1):
             try:
-                code = self.transport(self.url, body)
+                code = self.transport(self.url, body, headers) if headers else self.transport(self.url, body)
             except OSError as e:
                 stats.last_error, code = str(e), 599
             if code < 400:
@@ -87,13 +102,47 @@ class HttpSink:
 
 @dataclass
 class Publisher:
-    """Publishes to topics; while the transport fails, messages wait in a buffer that drops the oldest when full."""
+    """Publishes to topics; while the transport fails, messages wait in a buffer that drops the oldest when full.
+
+    ``qos`` (0 to 2) and ``retain`` go to the transport as options where they are not 0 and false.  With ``batch`` messages
+    of a topic are gathered and sent as one JSON array of {topic, payload, timestamp} when there are so many or the first has
+    waited ``batch_ms``; retained messages and those of QoS 2 go one by one.
+    """
 
     transport: Transport
     qos: int = 0
     retain: bool = False
     buffer: int = 1000
+    batch: int = 0
+    batch_ms: int = 100
+    clock: Callable[[], float] = time.time
     waiting: deque = field(default_factory=deque)
+    stats: Stats = field(default_factory=Stats)
+    gathered: dict = field(default_factory=dict)
+    connected: bool = True
+
+    def __post_init__(self):
+        if self.qos not in (0, 1, 2):
+            raise ValueError("qos is 0, 1 or 2")
+
+    def is_connected(self) -> bool:
+        return self.connected
+
+    def send(self, topic: str, payload: bytes) -> bool:
+        if self.batch <= 1 or self.retain or self.qos == 2:
+            return self.publish(topic, payload, self.stats)
+        now = int(self.clock() * 1000)
+        self.gathered.setdefault(topic, []).append({"topic": topic, "payload": payload.decode("utf-8", "replace"), "timestamp": now})
+        return self.flush_batches(now)
+
+    def flush_batches(self, now: int | None = None) -> bool:
+        """Sends the batches that are full or old; all of them without a time."""
+        good = True
+        for topic, messages in list(self.gathered.items()):
+            if now is None or len(messages) >= self.batch or now - messages[0]["timestamp"] >= self.batch_ms:
+                del self.gathered[topic]
+                good &= self.publish(topic, json.dumps(messages).encode(), self.stats)
+        return good
 
     def publish(self, topic: str, payload: bytes, stats: Stats) -> bool:
         self.waiting.append((topic, payload))
@@ -103,19 +152,55 @@ class Publisher:
         return self.flush(stats)
 
     def flush(self, stats: Stats) -> bool:
+        options = {"qos": self.qos, "retain": self.retain} if self.qos or self.retain else None
         while self.waiting:
             topic, payload = self.waiting[0]
             try:
-                code = self.transport(topic, payload)
+                code = self.transport(topic, payload, options) if options else self.transport(topic, payload)
             except OSError as e:
                 stats.last_error, code = str(e), 599
             if code >= 400:
+                self.connected = False
                 return False
+            stats.reconnections += not self.connected
+            self.connected = True
             self.waiting.popleft()
             stats.sent, stats.bytes = stats.sent + 1, stats.bytes + len(payload)
         return True
 
 
+@dataclass
+class Subscriptions:
+    """Topic filters that a client has subscribed to; a filter may hold ``+`` for one level and end in ``#`` for all that follow."""
+
+    filters: set[str] = field(default_factory=set)
+
+    def subscribe(self, topic_filter: str) -> None:
+        levels = topic_filter.split("/")
+        if not topic_filter or "#" in levels[:-1] or any(len(x) > 1 and ("#" in x or "+" in x) for x in levels):
+            raise ValueError(f"no topic filter: {topic_filter!r}")
+        self.filters.add(topic_filter)
+
+    def unsubscribe(self, topic_filter: str) -> None:
+        self.filters.discard(topic_filter)
+
+    def delivered(self, messages: DataFrame, topic: str = "topic") -> DataFrame:
+        """The messages of a table or stream whose topic is subscribed to; null topics are not."""
+        fits = [topic_matches(F.col(topic), f) for f in sorted(self.filters)]
+        return messages.where(reduce(lambda a, b: a | b, fits, F.lit(False)))
+
+
+def topic_matches(topic: Column, topic_filter: str) -> Column:
+    """Whether a topic fits a filter, as MQTT has it: wildcards do not fit a first level that begins with ``$``."""
+    rest = topic_filter.endswith("/#")
+    levels = (topic_filter[:-2] if rest else topic_filter).split("/")
+    if topic_filter == "#":
+        return ~topic.startswith("$")
+    pattern = "/".join("[^/]*" if x == "+" else re.escape(x) for x in levels) + ("(/.*)?" if rest else "")
+    fits = topic.rlike(f"^{pattern}$")
+    return fits & ~topic.startswith("$") if levels[0] == "+" else fits
+
+
 def send(bodies: DataFrame, sink: HttpSink, body: str = "body") -> DataFrame:
     """Posts every body, each partition over its own sink; one row of statistics a partition."""
 
@@ -160,6 +245,73 @@ def coap_encode(kind: int, code: int, message_id: int, token: bytes = b"", optio
     return bytes(out + (b"\xff" + payload if payload else b""))
 
 
+@dataclass
+class CoapMessage:
+    kind: int
+    code: int
+    message_id: int
+    token: bytes
+    options: list[tuple[int, bytes]]
+    payload: bytes
+
+
+def coap_decode(raw: bytes) -> CoapMessage:
+    """The message in a datagram; ValueError for what is none."""
+    if len(raw) < 4 or raw[0] >> 6 != 1 or (size := raw[0] & 15) > 8 or len(raw) < 4 + size:
+        raise ValueError("no CoAP message of version 1")
+    at, number, options = 4 + size, 0, []
+
+    def extended(nibble: int) -> int:
+        nonlocal at
+        width = {13: 1, 14: 2}.get(nibble, 0)
+        if nibble == 15 or at + width > len(raw):
+            raise ValueError("broken option")
+        at += width
+        return nibble if not width else int.from_bytes(raw[at - width : at], "big") + (13 if width == 1 else 269)
+
+    while at < len(raw) and raw[at] != 0xFF:
+        head = raw[at]
+        at += 1
+        number += extended(head >> 4)
+        length = extended(head & 15)
+        if at + length > len(raw):
+            raise ValueError("broken option")
+        options.append((number, raw[at : at + length]))
+        at += length
+    if at == len(raw) - 1:
+        raise ValueError("a payload marker without a payload")
+    return CoapMessage(raw[0] >> 4 & 3, raw[1], int.from_bytes(raw[2:4], "big"), raw[4 : 4 + size], options, raw[at + 1 :])
+
+
+# Fixed values of RFC 7252: request codes, the option of a path segment, and the first success code after the last.
+COAP_GET, COAP_POST, URI_PATH, COAP_SUCCESS = 1, 2, 11, range(64, 96)
+
+
+@dataclass
+class CoapClient:
+    """Requests over a transport that takes a datagram and gives the answer's; confirmable unless told otherwise."""
+
+    exchange: Callable[[bytes], bytes]
+    confirmable: bool = True
+    next_id: int = 1
+
+    def request(self, code: int, path: str, payload: bytes = b"", token: bytes = b"") -> CoapMessage:
+        segments = [(URI_PATH, x.encode()) for x in path.strip("/").split("/") if x]
+        sent, self.next_id = self.next_id, (self.next_id + 1) % (1 << 16)
+        answer = coap_decode(self.exchange(coap_encode(0 if self.confirmable else 1, code, sent, token, segments, payload)))
+        if answer.token != token:
+            raise OSError("the answer is to another request")
+        if answer.code not in COAP_SUCCESS:
+            raise OSError(f"status {answer.code >> 5}.{answer.code & 31:02d}")
+        return answer
+
+    def get(self, path: str) -> bytes:
+        return self.request(COAP_GET, path).payload
+
+    def post(self, path: str, payload: bytes) -> bytes:
+        return self.request(COAP_POST, path, payload).payload
+
+
 class PolledSource(DataSource):
     """A source that asks a transport for JSON lines: ``fetch`` (option) names ``module:function`` giving them for ``url``."""
 

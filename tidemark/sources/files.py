@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A line may have so many bytes.
@@ -27,7 +27,7 @@ def _clamped(q: Column) -> Column:
 
 def _usable(lines: DataFrame, line: str) -> DataFrame:
     """Lines without closing carriage return; blank lines and comments are left out."""
-    text = F.rtrim(F.regexp_replace(F.col(line), "\r$", ""))
+    text = F.rtrim(F.when(F.col(line).endswith("\r"), F.rtrim(F.col(line), F.lit("\r"))).otherwise(F.col(line)))
     return lines.withColumn(line, text).where((F.trim(F.col(line)) != "") & ~F.ltrim(F.col(line)).startswith("#"))
 
 
@@ -50,15 +50,22 @@ def parse_csv(lines: DataFrame, line: str = "value", ts_unit_ms: int = 1) -> Dat
     1 where it is missing or no number.  Nothing is dropped but blank lines and comments: select on ``reject``.
     """
     df = _usable(lines.withColumnRenamed(line, "_line"), "_line")
-    f = F.split(F.regexp_replace("_line", r"\s#.*$", ""), ",")
-    part = [F.trim(F.regexp_replace(F.trim(F.get(f, F.lit(i))), '^"|"$', "")) for i in range(5)]
+    # Patterns run only where there is something for them to find; a line is cut once.
+    line = F.when(F.contains("_line", F.lit("#")), F.regexp_replace("_line", r"\s#.*$", "")).otherwise(F.col("_line"))
+    df = df.withColumn("_parts", F.split(line, ",", 6))
+
+    def field(i: int) -> Column:
+        x = F.trim(F.get("_parts", F.lit(i)))
+        return F.trim(F.btrim(x, F.lit('"')))
+
+    part = [field(i) for i in range(5)]
     df = df.withColumns(
         {
             "ts_ms": F.expr("1L") * part[0].try_cast("long") * ts_unit_ms, "sensor_id": part[1], "sensor_type": _kind(part[2]),
             "value": part[3].try_cast("double"), "quality": _clamped(part[4].try_cast("double")),
         }
     )
-    return _checked(df, "_line").drop("_line")
+    return _checked(df, "_line").drop("_line", "_parts")
 
 
 JSON = "timestamp string, ts string, sensor_id string, id string, type string, sensor_type string, value string, reading string, confidence string, quality string"
@@ -135,12 +142,26 @@ def parse_stats(parsed: DataFrame) -> DataFrame:
     return parsed.agg(F.count_if(F.col("reject").isNull()).alias("events_read"), F.count_if(F.col("reject").isNotNull()).alias("parse_errors"), F.count("*").alias("lines_processed"))
 
 
-def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    return parse_csv(spark.read.text(path), **options)
+def read_lines(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
+    """Lines of text files as ``value``, without the first ``skip`` of each file.
+
+    Only the first splits of the files, where these lines are, are laid side by side by file; the rest is read where it is.
+    """
+    lines = spark.read.text(path)
+    if not skip:
+        return lines
+    placed = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"))
+    begin = placed.where("_from = 0").withColumn("_at", F.monotonically_increasing_id())
+    number = F.row_number().over(Window.partitionBy("_file").orderBy("_at"))
+    return begin.withColumn("_n", number).where(F.col("_n") > skip).select("value").union(placed.where("_from > 0").select("value"))
+
 
+def read_csv(spark: SparkSession, path: str, skip_lines: int = 0, **options) -> DataFrame:
+    return parse_csv(read_lines(spark, path, skip_lines), **options)
 
-def read_jsonl(spark: SparkSession, path: str, **options) -> DataFrame:
-    return parse_jsonl(spark.read.text(path), **options)
+
+def read_jsonl(spark: SparkSession, path: str, skip_lines: int = 0, **options) -> DataFrame:
+    return parse_jsonl(read_lines(spark, path, skip_lines), **options)
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
@@ -153,7 +174,44 @@ def stream_csv(spark: SparkSession, path: str, max_files: int | None = None, **o
     return parse_csv((reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path), **options)
 
 
+def process_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
+    """Hands each micro-batch and its number to ``handle``; with ``once`` all that is there now, and then returns."""
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    query = (writer.trigger(availableNow=True) if once else writer).start()
+    if once:
+        query.awaitTermination()
+    return query
+
+
+READINGS = "sensor_id string, sensor_type string, value double, ts_ms long, quality double, seq long"
+
+
 def replay(spark: SparkSession, readings: list[tuple]) -> DataFrame:
     """Readings from memory: (sensor_id, sensor_type, value, ts_ms, quality), in order."""
-    rows = [(*r, i) for i, r in enumerate(readings)]
-    return spark.createDataFrame(rows, "sensor_id string, sensor_type string, value double, ts_ms long, quality double, seq long")
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(readings)], READINGS)
+
+
+class Replay:
+    """Readings from memory, some at a time."""
+
+    def __init__(self, spark: SparkSession, readings: list[tuple]):
+        self.spark, self.readings, self.position = spark, readings, 0
+
+    @property
+    def exhausted(self) -> bool:
+        return self.position >= len(self.readings)
+
+    @property
+    def remaining(self) -> int:
+        return len(self.readings) - self.position
+
+    def next(self, n: int = 128) -> DataFrame:
+        """The next n readings, or what is left; EOFError when there is nothing."""
+        if self.exhausted:
+            raise EOFError("all readings were given out")
+        some = [(*r, self.position + i) for i, r in enumerate(self.readings[self.position : self.position + n])]
+        self.position += len(some)
+        return self.spark.createDataFrame(some, READINGS)
+
+    def reset(self) -> None:
+        self.position = 0
