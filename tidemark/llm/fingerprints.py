@@ -89,9 +89,14 @@ def likeness(a: Column, b: Column, n: int = SAMPLES) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda same: same)) / F.lit(float(n))
 
 
+def shortened(samples: Column) -> Column:
+    """32 bits of each sample: what a fingerprint consists of, and what fingerprints are compared by."""
+    return F.transform(samples, lambda v: F.shiftright(v, 16).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def as_text(samples: Column) -> Column:
-    """16 bits of each sample as hexadecimal digits; empty for a document without words."""
-    digits = F.transform(samples, lambda v: F.lpad(F.lower(F.hex(F.shiftright(v, 16).bitwiseAND(F.lit(0xFFFF)))), 4, "0"))
+    """Eight hexadecimal digits for each of a fingerprint's samples; empty for a document without words."""
+    digits = F.transform(samples, lambda v: F.lpad(F.lower(F.hex(v)), 8, "0"))
     return F.array_join(digits, "")
 
 
@@ -101,7 +106,7 @@ def fingerprint(df: DataFrame, key: str, text: str = "text", samples: int = SAMP
     slim = weighted_shingles(df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text", "_bag")
     lanes = _samples(slim, ["_key"], "_bag", samples, [])
     whole = lanes.groupBy("_key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_j", "_m"))), lambda s: s["_m"])).alias("samples"))
-    return whole.select(F.col("_key").alias(key), "samples", as_text(F.col("samples")).alias("fingerprint"))
+    return whole.select(F.col("_key").alias(key), shortened(F.col("samples")).alias("samples")).withColumn("fingerprint", as_text(F.col("samples")))
 
 
 def edited_fingerprints(docs: DataFrame, *, samples: int = SAMPLES, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
@@ -154,7 +159,7 @@ def edited_fingerprints(docs: DataFrame, *, samples: int = SAMPLES, bucket_docs:
     def of(which: int) -> Column:
         return F.flatten(F.transform(F.filter("_all", lambda s: s["_which"] == which), lambda s: s["_m"]))
 
-    whole = whole.select("_b", "_rn", of(0).alias("own"), of(1).alias("other"), of(2).alias("_meta"))
+    whole = whole.select("_b", "_rn", shortened(of(0)).alias("own"), shortened(of(1)).alias("other"), of(2).alias("_meta"))
     whole = whole.withColumn("next", F.lag("own").over(Window.partitionBy("_b").orderBy("_rn")))
     sha_text = F.concat(*[F.lpad(F.lower(F.hex(F.get("_meta", F.lit(i)))), 16, "0") for i in range(4)])
     return whole.where(F.get("_meta", F.lit(6)) == 0).select(
