@@ -14,6 +14,8 @@ from tidemark.llm.shingles import give_back
 from tidemark.llm.tokens import encoder
 
 SEQUENCE_LENGTH, GROUP_DOCS = 2048, 2048
+#: Bytes of the documents' ends that a task holds before it packs them, though the group goes on.
+HELD_BYTES = 32 << 20
 
 
 class BinTree:
@@ -54,19 +56,31 @@ def first_fit_decreasing(lengths: Sequence[int], room: int) -> list[tuple[int, i
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def _packed(docs: list[tuple[int | None, bytes]], group: int, room: int) -> Iterator[tuple]:
-    """Pieces of one group: whole sequences first, then the documents' ends, packed."""
-    sequence = group << 32
-    ends = []
-    for doc_id, ids in docs:
-        n = len(ids) // 4
-        for start in range(0, n - n % room, room):
-            yield doc_id, start, room, ids[4 * start : 4 * (start + room)], n, sequence, 0
-            sequence += 1
+class _Packer:
+    """Takes the documents of one group in turn.  Full pieces leave at once as sequences of their own; the ends are held, under 4 *
+    ``room`` bytes each, and packed together when the group ends, or when they come to HELD_BYTES."""
+
+    def __init__(self, group: int, room: int):
+        self.sequence, self.room, self.ends, self.held = group << 32, room, [], 0
+
+    def add(self, doc_id: int | None, ids: bytes) -> Iterator[tuple]:
+        n, room = len(ids) // 4, self.room
+        whole = n - n % room
+        for start in range(0, whole, room):
+            yield doc_id, start, room, ids[4 * start : 4 * (start + room)], n, self.sequence, 0
+            self.sequence += 1
         if n % room:
-            ends.append((doc_id, n - n % room, n % room, ids[4 * (n - n % room) :], n))
-    for end, (found, offset) in zip(ends, first_fit_decreasing([e[2] for e in ends], room), strict=True):
-        yield *end, sequence + found, offset
+            self.ends.append((doc_id, whole, n % room, ids[4 * whole :], n))
+            self.held += 4 * (n % room)
+            if self.held >= HELD_BYTES:
+                yield from self.close()
+
+    def close(self) -> Iterator[tuple]:
+        used = 0
+        for end, (found, offset) in zip(self.ends, first_fit_decreasing([e[2] for e in self.ends], self.room), strict=True):
+            used = max(used, found + 1)
+            yield *end, self.sequence + found, offset
+        self.sequence, self.ends, self.held = self.sequence + used, [], 0
 
 
 def pack_documents(
@@ -75,8 +89,8 @@ def pack_documents(
     """Pieces of documents packed into sequences of at most ``sequence_length`` tokens.
 
     Each document (``doc_id``, ``text``) is encoded and gets ``end_id``.  Documents are dealt to randomised groups of about
-    ``group_docs``; a group is packed in one pass by a task, so memory is bounded by a group and a lost task is redone
-    alone.  Pieces of full length make sequences of their own; what is left of each document is packed first-fit
+    ``group_docs``; a group is packed in one pass by a task, which holds no more than the documents' ends, so a lost task
+    is redone alone.  Pieces of full length make sequences of their own; what is left of each document is packed first-fit
     decreasing.  Rows: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     A null text is empty (one piece with the end id); a null doc_id stays null; repeated rows are packed each on its own;
@@ -88,29 +102,29 @@ def pack_documents(
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        now, held = None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows, size = [], 0
-            for row in _packed(held, now, sequence_length):
-                rows.append(row)
-                size += len(row[3])
-                if size > 8 << 20:
-                    yield _batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield _batch(rows)
 
-        for batch in batches:
-            ids, group = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for doc_id, encoded, g in zip(ids, enc.encode_many(batch.column(1)), group, strict=True):
-                if g != now:
-                    if held:
-                        yield from flush()
-                    now, held = g, []
-                held.append((doc_id, encoded + end))
-        if held:
-            yield from flush()
+        def pieces() -> Iterator[tuple]:
+            now, packer = None, None
+            for batch in batches:
+                ids, group = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+                for doc_id, encoded, g in zip(ids, enc.encode_many(batch.column(1)), group, strict=True):
+                    if g != now:
+                        if packer:
+                            yield from packer.close()
+                        now, packer = g, _Packer(g, sequence_length)
+                    yield from packer.add(doc_id, encoded + end)
+            if packer:
+                yield from packer.close()
+
+        rows, size = [], 0
+        for row in pieces():
+            rows.append(row)
+            size += len(row[3])
+            if size > 8 << 20:
+                yield _batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows)
         give_back()
 
     return dealt.repartition("_group").sortWithinPartitions("_group", "doc_id").mapInArrow(pack, SCHEMA)
