@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs, ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -77,12 +78,50 @@ class SequenceWriter:
         self.index.close()
         for f in self.files:
             f.close()
-        self.store.move(f"{self.own}.index", f"{self.place}.index")
-        self.store.move(self.own, self.place)
+        for end in (".index", ""):  # the file of ids comes last: where it is, both are whole
+            self._take_place(f"{self.own}{end}", f"{self.place}{end}")
+
+    def _take_place(self, own: str, place: str) -> None:
+        """Some stores do not rename onto a file that is there, as one is after a lost task; the same rows make the same file."""
+        try:
+            self.store.move(own, place)
+        except OSError:
+            if self.store.get_file_info(place).type == fs.FileType.NotFound:
+                raise
+            self.store.delete_file(place)
+            self.store.move(own, place)
+
+
+def documents_of(path: str, rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """(doc_id, start and n_tokens of some documents, their ids), one after another from the beginning of a file.
+
+    Holds one batch of sequences and the ids of some documents at a time, whatever store the file is in.
+    """
+    store, place = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(place) as ids_file, store.open_input_stream(f"{place}.index") as index_file:
+        batches, left = iter(ipc.open_stream(ids_file)), []
+
+        def take(n: int) -> np.ndarray:
+            out = []
+            while n > 0:
+                if not left:
+                    left.append(next(batches).column(0).values.to_numpy(zero_copy_only=True))
+                flat = left.pop()
+                out.append(flat[:n])
+                if len(flat) > n:
+                    left.append(flat[n:])
+                n -= len(out[-1])
+            return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, np.uint16)
+
+        for index in ipc.open_stream(index_file):
+            for at in range(0, index.num_rows, rows):
+                part = index.slice(at, rows)
+                yield part, [take(n) for n in part.column(2).to_pylist()]
 
 
 class SequenceFile:
-    """Random access to a written file.  A local file is mapped, and ``sequence`` and ``mask`` copy nothing of the ids."""
+    """Random access to a written file.  A local file is mapped, and ``sequence`` and ``mask`` copy nothing of the ids; one in
+    another store is held in memory, so read it with ``documents_of`` where order is enough."""
 
     def __init__(self, path: str):
         store, place = fs.FileSystem.from_uri(path)
@@ -152,11 +191,9 @@ def read_documents(spark: SparkSession, manifest: list[tuple[str, int, int, int]
         names = ["doc_id", "start", "n_tokens", "ids"]
         for batch in batches:
             for path, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                file = SequenceFile(path)
-                for part in file.index.to_batches(max_chunksize=512):
-                    at, n = (part.column(i).to_pylist() for i in (1, 2))
-                    ids = [file.tokens(a, k).astype("<u4").tobytes() for a, k in zip(at, n, strict=True)]
-                    yield pa.record_batch([part.column(0), pa.array([first + a for a in at], pa.int64()), part.column(2), pa.array(ids, pa.binary())], names)
+                for part, found in documents_of(path):
+                    ids = pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())
+                    yield pa.record_batch([part.column(0), pc.add(part.column(1), first), part.column(2), ids], names)
 
     return files.repartition(max(1, len(rows))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
