@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import uniform
+from tidemark.llm.common import saved, uniform
 
 #: Bytes that one range should hold, and size-weighted samples drawn for each range.
 RANGE_BYTES, OVERSAMPLE = 64 << 20, 8
@@ -64,7 +64,7 @@ def shard_by_size(
     keyed = df.drop("shard", "slot").withColumns(
         {"_size": F.coalesce(size, F.lit(0)).cast("long"), "_k1": F.coalesce(group, F.lit(-(2**63))), "_k2": F.coalesce(tie, F.lit(-(2**63)))}
     )
-    slim = keyed.select("_size", "_k1", "_k2")
+    slim = saved(keyed.select("_size", "_k1", "_k2"), "keys")  # the texts are not read again until rows are given out
     total, rows = slim.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count("*")).first()
     n_ranges = int(min(MAX_RANGES, max(n_shards * 8, total // range_bytes + 1, rows // 1_000_000 + 1)))
     splitters = _quantiles(_sample(slim, n_ranges * OVERSAMPLE), n_ranges)
@@ -75,11 +75,9 @@ def shard_by_size(
 
     sums = totals(splitters)
     most = 2 * total / n_ranges
-    for _ in range(3):
-        over = {r: s for r, (s, _) in sums.items() if s > most}
-        if not over:
-            break
-        inside = slim.withColumn("_r", _range_of(splitters)("_k1", "_k2")).where(F.col("_r").isin(list(over)))
+    while over := {r: s for r, (s, _) in sums.items() if s > most}:
+        ids = F.broadcast(df.sparkSession.createDataFrame([(r,) for r in over], "_r int"))  # half the ranges at most
+        inside = slim.withColumn("_r", _range_of(splitters)("_k1", "_k2")).join(ids, "_r", "left_semi")
         more = _quantiles(_sample(inside, n_ranges * OVERSAMPLE), int(sum(over.values()) / most * 4) + 2)
         both = np.unique(np.concatenate([splitters, more]), axis=0)
         if len(both) == len(splitters):  # a single key, repeated in whole rows, cannot be divided
