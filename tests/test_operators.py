@@ -164,6 +164,45 @@ def test_scalar_filter_equals_the_matrix_form(spark, readings):
     assert all(np.allclose(got[k], (f.x[0], f.p[0, 0])) for k, f in filters.items())
 
 
+def test_filters_run_over_keys(spark):
+    rng = random.Random(61)
+    rows = [(rng.choice(["a", "b", None]), t, t, rng.choice([None, rng.gauss(20, 2)]), rng.choice([None, rng.gauss(50, 5)])) for t in range(0, 30_000, 100)]
+    df = spark.createDataFrame(rows, "sensor_id string, ts_ms long, seq long, t double, h double").repartition(5)
+    models = (lambda: fusion.KalmanFilter.of_size(2, 2), lambda: fusion.environmental_model())
+    for make, columns in zip(models, (("t", "h"), ("t", "h", "p")), strict=True):
+        data = df.withColumn("p", F.lit(1000.0)) if "p" in columns else df
+        got = {r.seq: r for r in fusion.filtered(data, make, columns, ("sensor_id",)).collect()}
+        assert len(got) == len(rows)
+        for key in ("a", "b", None):
+            model, last = make(), None
+            for _, ts, seq, *z in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+                seen = np.array([np.nan if v is None else v for v in z] + [1000.0] * ("p" in columns))
+                dt = 0.1 if last is None else (ts - last) / 1000
+                last = ts
+                if isinstance(model, fusion.KalmanFilter):
+                    model.predict(dt)
+                    model.update(seen)
+                else:
+                    model.step(seen, dt)
+                assert np.allclose(got[seq].state, model.x) and np.allclose(got[seq].variances, np.diag(model.p)) and got[seq].updates == model.n
+    assert fusion.filtered(df.limit(0), models[0], ("t", "h"), ("sensor_id",)).count() == 0
+    assert fusion.temperature_fusion().r[0, 0] == pytest.approx(0.01) and fusion.weighted_fusion("g", ("a",)).method == "weighted"
+
+
+def test_validators_of_ones_own(spark, readings):
+    class Even:
+        sensor_type = "humidity"
+
+        def status(self):
+            return F.when(F.floor("value") % 2 == 0, "Valid").otherwise("OutOfRange")
+
+    some = readings.where("not isnan(value)")
+    got = validators.validate_with(some, [Even(), validators.DEFAULTS["temperature"]]).collect()
+    same = {r.seq: r.status for r in validators.validate_all(some).collect()}
+    for r in got:
+        assert r.status == (same[r.seq] if r.sensor_type == "temperature" else "Valid" if math.floor(r.value) % 2 == 0 else "OutOfRange")
+
+
 # U8, U10, U11
 def test_array_fusion(spark):
     df = spark.createDataFrame([([25.0, 25.2, 24.8], 10), ([25.0, 25.2, None], 10), ([None, None, 1.0], 10), ([25.0, 25.1, 24.9], 1)], "v array<double>, n int")

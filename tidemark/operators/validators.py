@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +110,23 @@ def validate_all(readings: DataFrame, limits: tuple[Limits, ...] = tuple(DEFAULT
     return rated.withColumn("status", out)
 
 
+class Validator(Protocol):
+    """A validator of one's own: the status of a reading from columns value, quality, rate and any others of the readings."""
+
+    sensor_type: str
+
+    def status(self) -> Column: ...
+
+
+def validate_with(readings: DataFrame, validators: Sequence[Validator | Limits]) -> DataFrame:
+    """One pass over all kinds, each by its own validator, built in or not; other kinds have no status."""
+    rated, out = with_rate(readings), F.lit(None).cast("string")
+    for x in validators:
+        own = status(x, rate=F.col("rate")) if isinstance(x, Limits) else x.status()
+        out = F.when(F.col("sensor_type") == x.sensor_type, own).otherwise(out)
+    return rated.withColumn("status", out)
+
+
 def validate_humidity_ambient(readings: DataFrame, limits: Limits = HUMIDITY, tolerance_ms: int = 600_000) -> DataFrame:
     """Humidity checked against the latest temperature of any sensor within the tolerance."""
     kinds = readings.where(F.col("sensor_type").isin("humidity", "temperature"))
