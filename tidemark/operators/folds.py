@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -67,15 +67,23 @@ def ddl(df: DataFrame, columns: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names, so that numbers that depend on how
-    rows lie are drawn once.  A local session without that setting gets a folder of its own."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if place is None and not context.master.startswith("local["):
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.  A local session without that setting gets a
+    folder of its own."""
+    context = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if place is None:
+        if not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(place or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+        place = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(place)
+    return place.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a reliable checkpoint, so that numbers that depend on how rows lie are drawn once."""
+    scratch_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -12,7 +12,10 @@ KINDS = (("view", "temperature"), ("click", "humidity"), ("purchase", "pressure"
 
 def sensor_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as readings: a user is a sensor, an event type a kind of sensor, props.k a quality in hundredths."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return as_readings(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_readings(events: DataFrame) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for pair in KINDS for x in pair])[F.col("event_type")]
     value = F.when(F.col("event_type") == "view", F.col("value") - 20).when(F.col("event_type") == "purchase", F.col("value") * 0.6 + 850).otherwise(F.col("value"))
     return events.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +12,15 @@ from tidemark.functions.sensors import by_sensor
 from tidemark.operators import flow, forest, stages
 from tidemark.operators import schema as S
 from tidemark.operators import validators as V
-from tidemark.plans.readings import sensor_readings, with_readings
+from tidemark.operators.folds import scratch_dir
+from tidemark.plans.readings import as_readings, sensor_readings, with_readings
 from tidemark.plans.validator_queries import LIMITS, RATED_SQL, STATUS_SQL
 from tidemark.sources import connectors, files
+from tidemark.streaming import stateful
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+DAY = 24 * 3_600_000
 
 
 def query(sql: str | None = None):
@@ -162,3 +167,25 @@ def single_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = api.validate_reading(api.create_reading(r.sensor_id, r.sensor_type, r.value, r.ts_ms, r.quality), "temp")
         rows.append((r.seq, found["status"], found["is_valid"], found["confidence"]))
     return spark.createDataFrame(rows, "seq long, status string, is_valid boolean, confidence double")
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return as_readings(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"))
+
+
+@query(with_readings(f"""SELECT sensor_type, CAST(floor(ts_ms / {DAY}) AS BIGINT) * {DAY} AS base_ts_ms, count(*) AS count, round(avg(value), 6) AS result_value, min(value) AS min_value, max(value) AS max_value
+FROM r GROUP BY 1, 2"""))
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of the events' files, read to its end; the result has a row a window."""
+    name = f"windows_{uuid.uuid4().hex}"
+    found = stateful.run_once(stateful.tumbling_stream(_stream(spark, sf_dir), DAY), name, f"{scratch_dir(spark)}/{name}", "complete")
+    return found.withColumn("result_value", F.round("result_value", 6))
+
+
+@query(with_readings("SELECT seq, sensor_id, sensor_type, round(rate, 6) AS rate, status FROM checked", RATED_SQL, STATUS_SQL))
+def streamed_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of each reading from a state that outlives micro-batches, written to files."""
+    place = f"{scratch_dir(spark)}/validated_{uuid.uuid4().hex}"
+    found = stateful.run_to_files(stateful.validate_stream(_stream(spark, sf_dir), LIMITS), place, f"{place}_checkpoint")
+    return found.select("seq", "sensor_id", "sensor_type", F.round("rate", 6).alias("rate"), "status")

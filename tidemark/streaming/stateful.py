@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.fusion import Fuser, Group
-from tidemark.operators.validators import DEFAULTS, status
+from tidemark.operators.validators import DEFAULTS, Limits, status
 
 
 def tumbling_stream(readings: DataFrame, width_ms: int, late: str = "10 minutes") -> DataFrame:
@@ -64,9 +64,9 @@ def with_rate_stream(readings: DataFrame) -> DataFrame:
     return _per_key(readings, ["sensor_id", "sensor_type"], VALIDATED, step)
 
 
-def validate_stream(readings: DataFrame) -> DataFrame:
+def validate_stream(readings: DataFrame, limits: Sequence[Limits] = tuple(DEFAULTS.values())) -> DataFrame:
     out: Column = F.lit(None).cast("string")
-    for x in DEFAULTS.values():
+    for x in limits:
         out = F.when(F.col("sensor_type") == x.sensor_type, status(x, rate=F.col("rate"))).otherwise(out)
     return with_rate_stream(readings).withColumn("status", out)
 
@@ -101,3 +101,10 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_files(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """All that the stream's source has now, appended to Parquet files, and read back."""
+    writer = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(folder)
