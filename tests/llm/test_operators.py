@@ -143,8 +143,9 @@ def jaccard(a, b):
     return sum((a & b).values()) / whole if whole else 1.0
 
 
-@pytest.mark.parametrize("bucket_docs", [10, 1000])
-def test_edited_fingerprints(spark, corpus, bucket_docs):
+@pytest.mark.parametrize(("bucket_docs", "coarse"), [(10, 1024), (1000, 1024), (4, 3)])
+def test_edited_fingerprints(spark, corpus, bucket_docs, coarse, monkeypatch):
+    monkeypatch.setattr(fingerprints, "COARSE", coarse)
     docs = frame(spark, corpus).withColumn("own", F.lit(1))
     found = fingerprints.edited_fingerprints(docs, bucket_docs=bucket_docs)
     near = fingerprints.likeness
@@ -171,6 +172,18 @@ def test_edited_fingerprints(spark, corpus, bucket_docs):
     assert fingerprints.edited_fingerprints(docs.where("doc_id = 5")).count() == 1
 
 
+def test_stretches_follow_the_order(spark, monkeypatch):
+    """Also where one doc_id, or none, has a third of the rows."""
+    monkeypatch.setattr(fingerprints, "COARSE", 7)
+    rng = random.Random(51)
+    rows = [(rng.choice([None, 5, rng.randrange(10**12)]), f"text {i}") for i in range(6000)]
+    base = frame(spark, rows).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_k"), F.xxhash64("text").alias("_h"))
+    got = sorted(((r["_k"], r["_h"]), r["_b"]) for r in fingerprints._in_stretches(base, 20).collect())
+    numbers = [b for _, b in got]
+    sizes = Counter(numbers)
+    assert len(got) == 6000 and numbers == sorted(numbers) and 200 < len(sizes) < 400 and max(sizes.values()) < 120
+
+
 def test_weighted_samples_estimate_generalised_jaccard(spark):
     texts = [(1, " ".join(["a b c d e"] * 6)), (2, " ".join(["a b c d e"] * 3)), (3, " ".join(["a b c d e"] * 3 + ["v w x y z"] * 3)), (4, None)]
     rows = {r.doc_id: r.samples for r in fingerprints.fingerprint(frame(spark, texts), "doc_id", samples=256).collect()}
@@ -440,6 +453,7 @@ def brute_components(rows, k, percent):
 @pytest.mark.parametrize(("k", "percent", "block"), [(4, 85, 512), (3, 60, 3)])
 def test_near_duplicates(spark, corpus, k, percent, block, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "MOST_BLOCKS", 1 if block < 512 else 32)
     rng = random.Random(k)
     rows = [r for r in corpus if r[0] != 206]
     base = words(rng, 60).split()
@@ -476,6 +490,7 @@ def test_a_busy_word_is_split_by_second_words(spark, monkeypatch):
     dealt = []
     compared = ngram_join._compared
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "MOST_BLOCKS", 2)
     monkeypatch.setattr(ngram_join, "_compared", lambda rest, *more: dealt.append(ngram_join._in_blocks(rest, "key").count()) or compared(rest, *more))
     for n in (200, 800):
         passage = words(rng, 14, 10**6)

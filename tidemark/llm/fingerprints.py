@@ -15,9 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import saved, small, uniform
+
 SHINGLE_WORDS, SAMPLES = 5, 64
-#: Samples computed side by side for one row, documents in one stretch of ids, and stretches at most.
-_LANE, BUCKET_DOCS, MAX_BUCKETS = 16, 1024, 100_000
+#: Samples computed side by side for one row, and documents in one stretch of ids.
+_LANE, BUCKET_DOCS = 16, 1024
+#: Parts that the order of all documents is cut into by bounds in the plan, parts of each of those by bounds in a small table,
+#: and sampled documents for each bound.
+COARSE, FINE, OVERSAMPLE = 1024, 1024, 16
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
@@ -109,6 +114,49 @@ def fingerprint(df: DataFrame, key: str, text: str = "text", samples: int = SAMP
     return whole.select(F.col("_key").alias(key), shortened(F.col("samples")).alias("samples")).withColumn("fingerprint", as_text(F.col("samples")))
 
 
+def _quantiles(rows: Column, parts: Column) -> Column:
+    """The bounds between so many parts of sorted rows: none for one part."""
+    return F.when(parts > 1, F.transform(F.sequence(F.lit(1), parts - 1), lambda j: F.get(rows, F.floor(j * F.size(rows) / parts).cast("int"))))
+
+
+def _at_or_below(bounds: Column, size: int, key: Column) -> Column:
+    """How many of at most ``size`` sorted bounds are at or below the key, by binary search; 0 without bounds."""
+    steps = F.lit([1 << s for s in reversed(range(size.bit_length()))])
+    fits = lambda at: F.coalesce(F.get(bounds, at - 1) <= key, F.lit(False))
+    return F.coalesce(F.aggregate(steps, F.lit(0), lambda low, step: F.when(fits(low + step), low + step).otherwise(low)), F.lit(0))
+
+
+def _in_stretches(base: DataFrame, bucket_docs: int) -> DataFrame:
+    """Adds ``_b``, the number of the stretch of the order by (_k, _h) that a row lies in; numbers rise with the order.
+
+    Bounds come from samples that depend on keys alone: those of COARSE parts go into the plan, those of FINE parts of each
+    part into a table of so many rows that is broadcast.  So there are up to a million stretches, which no array, list of rows
+    or task holds all of; beyond that stretches grow, and are sorted with spilling.
+    """
+    n = base.count()
+    wanted = max(1, n // bucket_docs)
+    coarse, key = min(COARSE, wanted), F.struct("_k", "_h")
+    drawn = uniform("_k", "_h", seed=5)
+    part = F.lit(0)
+    if coarse > 1:
+        rows = base.where(drawn <= min(1.0, 4 * OVERSAMPLE * coarse / n)).agg(F.sort_array(F.collect_list(key)).alias("_s"))  # some 64 numbers a bound
+        bounds = rows.select(_quantiles(F.col("_s"), F.lit(coarse)).alias("_q")).first()[0]
+        # Compared as pairs: a literal array of each number.
+        ks, hs = F.lit([b["_k"] for b in bounds]), F.lit([b["_h"] for b in bounds])
+        steps = F.lit([1 << s for s in reversed(range(len(bounds).bit_length()))])
+        fits = lambda at: F.coalesce((F.get(ks, at - 1) < F.col("_k")) | ((F.get(ks, at - 1) == F.col("_k")) & (F.get(hs, at - 1) <= F.col("_h"))), F.lit(False))
+        part = F.aggregate(steps, F.lit(0), lambda low, step: F.when(fits(low + step), low + step).otherwise(low))
+    if wanted <= COARSE:
+        return base.withColumn("_b", part.cast("long"))
+    base = base.withColumn("_part", part)
+    parts = F.least(F.lit(FINE), F.greatest(F.lit(1), F.floor(F.col("_n") / bucket_docs))).cast("int")
+    sample = F.when(drawn <= min(1.0, OVERSAMPLE / bucket_docs, OVERSAMPLE * FINE * coarse / n), key)
+    table = base.groupBy("_part").agg(F.count("*").alias("_n"), F.sort_array(F.collect_list(sample)).alias("_s"))
+    table = saved(table.select("_part", _quantiles(F.col("_s"), parts).alias("_q")), "bounds")  # COARSE rows
+    fine = _at_or_below(F.col("_q"), FINE, key)
+    return base.join(F.broadcast(table), "_part").withColumn("_b", F.col("_part").cast("long") * (2 * FINE) + fine).drop("_part", "_q")
+
+
 def edited_fingerprints(docs: DataFrame, *, samples: int = SAMPLES, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """Fingerprints of every document and of its text with the second half taken from the next document.
 
@@ -116,29 +164,23 @@ def edited_fingerprints(docs: DataFrame, *, samples: int = SAMPLES, bucket_docs:
     equal doc_ids the order is that of the texts' hashes.  Returns doc_id, n_chars, edited (text's sha-256), own and other
     (samples), next (samples of the next document).
 
-    Stretches of ids of about ``bucket_docs`` documents are laid side by side by one shuffle of the texts, on which all
-    that follows rests; each gets a copy of the document that its last one is followed by.  A null text is empty; repeated
-    rows are documents of their own; an empty table gives an empty result; other columns are ignored.
+    Stretches of the order of about ``bucket_docs`` documents are laid side by side by one shuffle of the texts, on which all
+    that follows rests; each gets a copy of the document that its last one is followed by.  A null doc_id counts as the
+    smallest; a doc_id that very many rows share is cut by texts' hashes.  A null text is empty; repeated rows are documents
+    of their own; an empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    buckets = int(min(MAX_BUCKETS, max(1, base.count() // bucket_docs)))
-    bounds = sorted({int(b) for b in base.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.25 / buckets)}) if buckets > 1 else []
-    bucket = F.lit(0)
-    if bounds:  # binary search: the number of bounds at or below the id
-        table = F.lit(bounds)
-        steps = [1 << s for s in reversed(range(len(bounds).bit_length()))]
-        found = F.aggregate(F.lit(steps), F.lit(0), lambda low, step: F.when(F.coalesce(F.get(table, low + step - 1) <= F.col("doc_id"), F.lit(False)), low + step).otherwise(low))
-        bucket = F.coalesce(found, F.lit(0))
-    base = base.withColumn("_b", bucket)
-    # The last document of each stretch, which follows the next stretch's first; as many rows as there are stretches.
-    ends = sorted((tuple(r) for r in base.groupBy("_b").agg(F.max("doc_id")).collect()), key=lambda r: r[0])
-    links = [(doc_id, after[0]) for (_, doc_id), after in zip(ends, ends[1:] + ends[:1], strict=True)]
-    links = F.broadcast(spark.createDataFrame(links, "_id long, _to int"))
-    copies = base.join(links, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", F.col("_to").alias("_b"), F.lit(1).alias("_copy"))
-    rows = base.withColumn("_copy", F.lit(0)).union(copies.select("doc_id", "text", "_b", "_copy"))
-
-    order = Window.partitionBy("_b").orderBy(F.desc("_copy"), F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    base = base.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_h": F.xxhash64("text")})
+    base = _in_stretches(base, bucket_docs)
+    # The last document of each stretch, which follows the next stretch's first; one row a stretch.
+    ends = saved(base.groupBy("_b").agg(F.max(F.struct("_k", "_h")).alias("_end")), "ends")
+    every = Window.partitionBy(F.lit(0)).orderBy("_b")
+    after = F.coalesce(F.lead("_b").over(every), F.min("_b").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    links = small(saved(ends.select(F.col("_b").alias("_of"), "_end._k", "_end._h", after.alias("_to")), "links"))
+    copies = base.withColumnRenamed("_b", "_of").join(links, ["_of", "_k", "_h"]).select("doc_id", "text", "_k", "_h", F.col("_to").alias("_b")).dropDuplicates(["_b"])
+    rows = base.withColumn("_copy", F.lit(0)).unionByName(copies.withColumn("_copy", F.lit(1)))
+
+    order = Window.partitionBy("_b").orderBy(F.desc("_copy"), "_k", "_h")
     rows = rows.withColumns({"_rn": F.row_number().over(order), "_next": F.lag("text").over(order)})
     rows = rows.withColumn("_n", F.length("text").cast("long"))
     edited = F.concat(F.expr("substring(text, 1, cast(_n - floor(_n / 2) as int))"), F.expr("substring(_next, 1, cast(floor(_n / 2) as int))"))
