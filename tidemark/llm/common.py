@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -47,12 +47,15 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back, so that lost executors cost no recomputation of what lies before."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+def saved(df: DataFrame, name: str, mark: Column | None = None) -> DataFrame:
+    """Write a table into the shared folder and read it back, so that lost executors cost no recomputation of what lies before.
+
+    Rows are counted, and the aggregate ``mark`` is taken, on the way.
+    """
+    path, seen = new_folder(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *([] if mark is None else [mark.alias("mark")])).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._saved_at = path
+    out._saved_at, out._rows, out._mark = path, seen.get["rows"], seen.get.get("mark")
     tables_of(df.sparkSession).append(path)
     return out
 
@@ -85,18 +88,28 @@ def uniform(*cols: Column | str, seed: int = 0) -> Column:
 
 
 #: Rows, or entries of their arrays, of a side that is broadcast; beyond it the join shuffles.
-MOST_BROADCAST = 1_000_000
+MOST_BROADCAST = 500_000
 
 
-def small(df: DataFrame, entries: str | None = None) -> DataFrame:
+def small(df: DataFrame, entries: str | None = None, rows: int | None = None) -> DataFrame:
     """The same table, marked for broadcast if its rows (a few numbers each) are counted and few enough.
 
-    ``entries`` names an array column whose entries count instead.
+    ``entries`` names an array column whose entries count instead; ``rows`` is their number, or a bound, where that is known.
     """
-    size = df.agg(F.coalesce(F.sum(F.size(entries)), F.lit(0))).first()[0] if entries else df.count()
+    if rows is not None:
+        size = rows
+    elif entries:
+        size = df.agg(F.coalesce(F.sum(F.size(entries)), F.lit(0))).first()[0]
+    else:
+        size = rows_of(df)
     return F.broadcast(df) if size <= MOST_BROADCAST else df
 
 
+def rows_of(df: DataFrame) -> int:
+    """The rows of a table: counted as they were written, if ``saved`` did that."""
+    return df._rows if getattr(df, "_rows", None) is not None else df.count()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every node of an undirected graph: ``node`` and ``component``.
 
@@ -108,10 +121,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = edges.where("a is not null and b is not null").select("a", "b")
     loops = edges.where("a = b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    mark_of = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", mark_of)
     before = None
     for _ in range(max_rounds):
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        mark = (now._rows, now._mark)
         if mark == before or mark[0] == 0:
             break
         before = mark
@@ -122,7 +136,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Small star: a node and its smaller neighbours link to the smallest of them.
         lower = saved(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         step = large.join(small(lower), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, now = now, saved(step.union(lower.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last, now = now, saved(step.union(lower.select("u", F.col("m").alias("v"))).distinct(), "links", mark_of)
         for table in (last, low, large, lower):
             discard(table)
     else:

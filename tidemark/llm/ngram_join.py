@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, discard, modest_batches, saved, small, uniform
+from tidemark.llm.common import connected_components, discard, modest_batches, rows_of, saved, small, uniform
 from tidemark.llm.shingles import give_back, mix, shingle_sets
 
-#: Sets of one block when all documents under a filed word are compared with each other.
-BLOCK = 512
+#: Sets of one block when all documents under a filed word are compared with each other, and blocks beyond which fewer rows are dealt
+#: out if the word's sets are dealt on by second words (a set has some tens of these).
+BLOCK, MOST_BLOCKS = 512, 32
 #: Documents, about, in which common shingles are looked for; documents there that make a shingle common; bits of the table
 #: of common shingles (one in which others share a bit is taken for common too, by every document alike).
 COMMON_SAMPLE, COMMON_FROM, COMMON_BITS = 8_000, 3, 24
@@ -129,9 +130,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower
     the sets; component_id is the smallest doc_id that links reach.  Shingles and sets are told apart by 64-bit hashes.  Equal
     sets are one node, so copies are never compared.  A filed word's first set is compared with all others under it.  Where
     components of those links still meet under a word, all of its sets are compared by their sketches, and a spanning forest
-    of the possible links is verified; if one of its pairs fails, the cluster of possible links is compared on the sets.  A word
-    with more than BLOCK sets is first split by second words; what then still shares both words is compared in blocks of
-    BLOCK by BLOCK.  So no group is held whole and no component is lost.
+    of the possible links is verified; if one of its pairs fails, the cluster of possible links is compared on the sets.  Sets
+    of one word are compared in blocks of BLOCK by BLOCK; a word of more than MOST_BLOCKS blocks is first split by second
+    words.  So no group is held whole and no component is lost.
 
     A text without words, or null, has no shingles, no links and component_id doc_id.  A null doc_id stays null, links like
     any other, and counts for no component's smallest, which is null if there is no other; rows that repeat a doc_id are
@@ -171,13 +172,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower
     sketches = described.where("sketch is not null").select("c", F.col("n").cast("int").alias("n"), "sketch")
     sketches = saved(sketches.join(members, "c").groupBy("c").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")), "long")
     pairs = saved(_passing(stars, sketches, percent), "pairs")
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), docs, described, words, lower)
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), 2 * rows_of(pairs), docs, described, words, lower)
     links = saved(_verified(pairs, sets, percent), "links")
     found = connected_components(links)
 
     # Filed words under which more than one component is left, and more than the pair that was compared.
-    rest = saved(_open(filed.join(small(shared.select("key")), "key").join(members, "c").distinct(), found), "rest")
-    few, many = rest.where(F.col("sets") <= BLOCK), rest.where(F.col("sets") > BLOCK)
+    rest = saved(_open(filed.join(small(shared.select("key"), rows=rows_of(shared)), "key").join(members, "c").distinct(), found), "rest")
+    few, many = (rest.where(c) for c in (F.col("sets") <= BLOCK * MOST_BLOCKS, F.col("sets") > BLOCK * MOST_BLOCKS))
     if not many.isEmpty():
         # Two similar sets share a second word behind the first one that they share.
         bands = described.where("size(keys) > 0").join(small(many.select("c").distinct()), "c").select("c", F.explode("keys").alias("band"))
@@ -186,29 +187,29 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower
         second = second.select("c", F.xxhash64("key", "second").alias("key")).distinct()
         few = few.union(_open(second, found, pairs_too=True))
     more = saved(_compared(few.select("key", "c", "m"), sketches, percent).distinct(), "pairs")
-    more_sets = _sets(more.select(F.explode(F.array("a", "b")).alias("c")).distinct(), docs, described, words, lower)
+    more_sets = _sets(more.select(F.explode(F.array("a", "b")).alias("c")).distinct(), 2 * rows_of(more), docs, described, words, lower)
     more_links = saved(_verified(more, more_sets, percent), "links")
     before, found = found, connected_components(found.toDF("a", "b").union(more_links))
 
     # Where a pair of a spanning forest failed, its whole cluster of possible links is compared exactly.
     failed = saved(more.join(more_links, ["a", "b"], "left_anti"), "failed")
     spent = [described, shared, stars, sketches, pairs, links, rest, more, more_links, sets, more_sets, before, failed]
-    if not failed.isEmpty():
+    if rows_of(failed):
         clusters = connected_components(more.union(found.toDF("a", "b"))).toDF("c", "cluster")
         hard = failed.join(clusters.withColumnRenamed("c", "a"), "a").select("cluster").distinct()
         inside = clusters.join(small(hard), "cluster").join(found.withColumnRenamed("node", "c"), "c", "left").select("cluster", "c", F.coalesce("component", "c").alias("m"))
         inside = saved(inside, "inside")
-        hard_sets = _sets(inside.select("c").distinct(), docs, described, words, lower)
+        hard_sets = _sets(inside.select("c").distinct(), rows_of(inside), docs, described, words, lower)
         hard_links = saved(_exact(inside, hard_sets, percent), "links")
         spent += [found, inside, hard_sets, hard_links]
         found = connected_components(found.toDF("a", "b").union(hard_links))
 
     # The smallest doc_id of each set, then of each component, and back; what has very many rows is only ever joined with a table.
     lowest = saved(described.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("low")), "lowest")
-    linked = saved(lowest.join(small(found.withColumnRenamed("node", "c")), "c"), "linked")
+    linked = saved(lowest.join(small(found.withColumnRenamed("node", "c"), rows=rows_of(found)), "c"), "linked")
     roots = saved(linked.groupBy("component").agg(F.min("low").alias("component_id")), "roots")
     linked_ids = linked.join(small(roots), "component").select("c", "component_id")
-    single = lowest.join(small(linked.select("c")), "c", "left_anti").select("c", F.col("low").alias("component_id"))
+    single = lowest.join(small(linked.select("c"), rows=rows_of(linked)), "c", "left_anti").select("c", F.col("low").alias("component_id"))
     labels = saved(single.union(linked_ids), "labels")
     out = described.select("doc_id", "n", "c").join(labels, "c", "left")
     out = out.withColumn("component_id", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
@@ -221,7 +222,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower
 def _open(filed: DataFrame, found: DataFrame, pairs_too: bool = False) -> DataFrame:
     """key, c, m (the set's component so far) and sets (how many the key has), of keys of more than one component; without
     ``pairs_too``, of more than two sets, as the two were compared already."""
-    labelled = filed.join(small(found.withColumnRenamed("node", "c")), "c", "left").select("key", "c", F.coalesce("component", "c").alias("m"))
+    labelled = filed.join(small(found.withColumnRenamed("node", "c"), rows=rows_of(found)), "c", "left").select("key", "c", F.coalesce("component", "c").alias("m"))
     labelled = saved(labelled, "labelled")
     per_key = labelled.groupBy("key").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.count("*").alias("sets"))
     per_key = per_key.where("lo <> hi" if pairs_too else "lo <> hi and sets > 2").select("key", "sets")
@@ -269,9 +270,9 @@ def _passing(stars: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return stars.where(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def _sets(members: DataFrame, docs: DataFrame, described: DataFrame, words: int, lower: bool) -> DataFrame:
-    """c and hashes (binary) of each member set, from one document that has it, whether or not it has a doc_id."""
-    chosen = described.join(small(members), "c").groupBy("c").agg(F.min("own").alias("own"))
+def _sets(members: DataFrame, rows: int, docs: DataFrame, described: DataFrame, words: int, lower: bool) -> DataFrame:
+    """c and hashes (binary) of each member set (``rows`` at most), from one document that has it, whether or not it has a doc_id."""
+    chosen = described.join(small(members, rows=rows), "c").groupBy("c").agg(F.min("own").alias("own"))
     chosen = small(saved(chosen, "chosen"))
     texts = docs.select("own", "text").join(chosen, "own")
 
