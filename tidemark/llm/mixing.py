@@ -20,8 +20,8 @@ BLOCK_WORDS, SHARD_SLOTS = 128, 4096
 BUCKET_ROWS, RUN_ROWS = 5_000, 4_096
 #: A source with a target of less than so many blocks is cut into so many smaller ones.
 LEAST_BLOCKS = 16
-#: Rounds of an index permutation.
-ROUNDS = 24
+#: Rounds of an index permutation, and slots that one task numbers.
+ROUNDS, TASK_SLOTS = 24, 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -141,10 +141,9 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(right, cond).drop(*[f"_{k}_r" for k in keys])
 
 
-def shard_counts(src: DataFrame, shard_slots: int, seed: int) -> DataFrame:
-    """shard, rank and n: a multinomial draw of ``shard_slots`` slots (the last shard: what is left) for each shard, with chances
-    by ``_slots``."""
-    total = src.agg(F.coalesce(F.sum("_slots"), F.lit(0))).first()[0]
+def shard_counts(src: DataFrame, total: int, shard_slots: int, seed: int) -> DataFrame:
+    """shard, rank and n: a multinomial draw of ``shard_slots`` slots (the last shard: what is left of ``total``) for each shard, with
+    chances by ``_slots``."""
     spans = _spans(src, "_slots", "_from", total)
     x = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(max(1, total)))
     draws = src.sparkSession.range(total).select(F.floor(F.col("id") / shard_slots).alias("shard"), x.alias("_x"))
@@ -153,7 +152,8 @@ def shard_counts(src: DataFrame, shard_slots: int, seed: int) -> DataFrame:
 
 def _slots(src: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     """shard, slot, rank and block of every slot of the output."""
-    counts = saved(shard_counts(src, shard_slots, seed), "counts")
+    total = src.agg(F.coalesce(F.sum("_slots"), F.lit(0))).first()[0]
+    counts = saved(shard_counts(src, total, shard_slots, seed), "counts")
     ledger = src.select("rank", "_slots", "_blocks").join(counts.groupBy("rank").agg(F.sum("n").alias("_drawn")), "rank", "left")
     ledger = ledger.withColumn("_drawn", F.coalesce("_drawn", F.lit(0)))
     ledger = ledger.withColumns({"_over": F.greatest(F.col("_drawn") - F.col("_slots"), F.lit(0)), "_under": F.greatest(F.col("_slots") - F.col("_drawn"), F.lit(0))})
@@ -165,14 +165,16 @@ def _slots(src: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     counts = counts.withColumns(
         {"_place": F.sum("n").over(in_shard.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"), "_size": F.sum("n").over(in_shard)}
     )
-    each = counts.join(small(ledger), "rank").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    # A few rows become very many, so they are spread by hand.
+    tasks = max(1, min(-(-total // TASK_SLOTS), 32_768))
+    each = counts.join(small(ledger), "rank").repartition(tasks, "shard").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     place = _permuted(F.col("_place") + F.col("_i"), F.col("_size"), F.xxhash64("shard", F.lit(seed + 3)))
     each = each.select("shard", (F.col("shard") * shard_slots + place).alias("slot"), "rank", "_slots", "_blocks", "_over_from", (F.col("_base") + F.col("_i")).alias("_nth"))
     kept = each.where("_nth < _slots").select("shard", "slot", "rank", "_blocks", "_nth")
     # Draws above a source's slots, numbered through, fill up the sources that were drawn too rarely.
     over = each.where("_nth >= _slots").select("shard", "slot", (F.col("_over_from") + F.col("_nth") - F.col("_slots")).alias("_x"))
-    total = ledger.agg(F.coalesce(F.sum("_under"), F.lit(0))).first()[0]
-    moved = _falls(over, "_x", _spans(ledger, "_under", "_from", total, "_blocks", "_drawn"), total)
+    short = ledger.agg(F.coalesce(F.sum("_under"), F.lit(0))).first()[0]
+    moved = _falls(over, "_x", _spans(ledger, "_under", "_from", short, "_blocks", "_drawn"), short)
     moved = moved.select("shard", "slot", "rank", "_blocks", (F.col("_drawn") + F.col("_x") - F.col("_from")).alias("_nth"))
     out = kept.union(moved)
     turn = F.floor(F.col("_nth") / F.col("_blocks"))
