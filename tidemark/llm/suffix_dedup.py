@@ -302,10 +302,11 @@ def repeat_spans(docs: DataFrame, *, least: int = 400, alphabet: Alphabet = AS_B
 
     found = saved(texts.mapInArrow(find, "h long, c1 long, c2 long, t binary, place long, first long, last long"), "anchors")
     classes = found.groupBy("h", "c1", "c2").agg(F.count("*").alias("k"), F.min(F.struct("t", "place", "first", "last")).alias("one"))
-    classes = saved(classes, "classes")
-    spent = [found, classes]
-    per_anchor = classes.groupBy("h").agg(F.sum("k").alias("total"), F.count("*").alias("kinds")).where("total >= 2")
-    classes = classes.join(per_anchor, "h")
+    every = saved(classes, "classes")
+    # Anchors that occur twice; written, so that the join with one that has very many contexts can be split over tasks.
+    per_anchor = saved(every.groupBy("h").agg(F.sum("k").alias("total"), F.count("*").alias("kinds")).where("total >= 2"), "busy")
+    classes = saved(every.join(small(per_anchor), "h"), "repeated")
+    spent = [found, every, per_anchor, classes]
     whole = found.join(classes.where("k >= 2").select("h", "c1", "c2"), ["h", "c1", "c2"]).select("t", F.col("first").alias("a"), (F.col("last") + least).alias("b"))
     wanted = classes.where("kinds >= 2").select("h", "kinds", "one.*")
     per_text = wanted.groupBy("t").agg(F.collect_list(F.struct("h", "kinds", "place", "first", "last")).alias("wanted"))
