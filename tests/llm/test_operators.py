@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -506,6 +507,22 @@ def test_a_busy_word_is_split_by_second_words(spark, monkeypatch):
     assert dealt[1] <= 8 * dealt[0] + 1000
 
 
+def test_common_shingles_are_counted_over_all_documents(spark):
+    """Phrases in 3 of 8,000 rows or more are common; of 10,000 rows that is 4, wherever these lie."""
+    rng = random.Random(23)
+    phrases = [words(rng, 4, 10**9) for _ in range(60)]
+    rows = [(i, words(rng, 4, 10**9)) for i in range(10_000)]
+    spots = rng.sample(range(10_000), 30 * 4 + 30 * 3)
+    for number, phrase in enumerate(phrases):
+        for _ in range(4 if number < 30 else 3):
+            rows[spots.pop()] = (0, phrase)
+    rows = [(i, f"{text} own{i}") for i, (_, text) in enumerate(rows)]
+    docs = frame(spark, rows).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("own"))
+    table = np.unpackbits(ngram_join._common(docs, 4, True), bitorder="little")
+    hashes = np.concatenate(list(ngram_join.shingle_sets(pa.array(phrases[:30]), 4)))
+    assert set(np.flatnonzero(table).tolist()) == set((hashes >> np.uint64(64 - ngram_join.COMMON_BITS)).tolist())
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(1)
     for n in (3, 40, 900):

@@ -6,8 +6,8 @@ into more words than that, some are equal in both.  A word is kept as the exclus
 sketch is nearly empty.  Sketches of one band of sizes have the same number of words; a document is filed under as many of
 its words as its allowance plus two.  As every document takes words in the same order, two similar documents share two filed
 words (a prefix filter on the pigeonhole).  Where very many documents are filed under a word, they are dealt on by each
-second word that follows it, so only those meet that share both.  The order takes words of many shingles first that are not common in a sample of
-documents, so few unlike documents meet; it has no influence on the result.  Of documents that share one, those whose
+second word that follows it, so only those meet that share both.  The order takes words of many shingles first that are not
+common, as counted over all documents, so few unlike documents meet; it has no influence on the result.  Of documents that share one, those whose
 narrower sketches differ in more bits than allowed are told apart at once; the others are verified on the sets themselves.
 """
 
@@ -20,15 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, discard, modest_batches, rows_of, saved, small, uniform
+from tidemark.llm.common import connected_components, discard, modest_batches, rows_of, saved, small
 from tidemark.llm.shingles import give_back, mix, shingle_sets
 
 #: Sets of one block when all documents under a filed word are compared with each other, and blocks beyond which fewer rows are dealt
 #: out if the word's sets are dealt on by second words (a set has some tens of these).
 BLOCK, MOST_BLOCKS = 512, 32
-#: Documents, about, in which common shingles are looked for; documents there that make a shingle common; bits of the table
-#: of common shingles (one in which others share a bit is taken for common too, by every document alike).
-COMMON_SAMPLE, COMMON_FROM, COMMON_BITS = 8_000, 3, 24
+#: A shingle is common in so many of so many documents, so many at least; bits of a hash under which shingles are counted (one that
+#: shares them with others is counted with these, by every document alike), times the average that a count must reach, and
+#: counts of a slice of the table.
+COMMON_FROM, COMMON_OF, COMMON_BITS, COMMON_LOAD, COMMON_SLICE = 3, 8_000, 22, 3, 1 << 16
 #: Sets of which a task remembers that it has filed them already.
 REMEMBERED = 500_000
 
@@ -230,27 +231,50 @@ def _open(filed: DataFrame, found: DataFrame, pairs_too: bool = False) -> DataFr
 
 
 def _common(docs: DataFrame, words: int, lower: bool) -> np.ndarray:
-    """A table of 2**COMMON_BITS bits: the hash prefixes of shingles that are common in a sample of about COMMON_SAMPLE documents."""
-    share = min(1.0, COMMON_SAMPLE / max(1, docs.count()))
-    some = docs.where(uniform("own", seed=29) <= share).select("text")
+    """A table of 2**COMMON_BITS bits: the hash prefixes of shingles that are common among all documents.
+
+    Every shingle of every text is counted under its prefix; a text that a task meets again is not.  A prefix is common from
+    COMMON_FROM in COMMON_OF rows on, and from COMMON_LOAD times what a prefix has on average.  Each task counts into a table of
+    fixed size, and the tables are added slice by slice.
+    """
+    rows = docs.count()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        totals = np.zeros(1 << COMMON_BITS, np.int32)
         for batch in batches:
-            held = []
             for h in shingle_sets(batch.column(0), words, lower):
                 if len(h) and (own := set_id(h)) not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
                     seen.add(own)
-                    held.append(h >> np.uint64(64 - COMMON_BITS))
-            if held:
-                prefix, n = np.unique(np.concatenate(held), return_counts=True)
-                yield pa.record_batch([pa.array(prefix.astype(np.int32)), pa.array(n)], ["prefix", "n"])
+                    np.add.at(totals, (h >> np.uint64(64 - COMMON_BITS)).view(np.int64), 1)
+        for number, part in enumerate(totals.reshape(-1, COMMON_SLICE)):
+            if part.any():
+                kind = next(k for k in (np.uint8, np.uint16, np.int32) if part.max() <= np.iinfo(k).max)
+                counts = pa.array([part.astype(kind).tobytes()], pa.binary())
+                yield pa.record_batch([pa.array([number], pa.int32()), pa.array([int(part.sum(dtype=np.int64))]), counts], ["slice", "n", "counts"])
+        del totals
         give_back()
 
-    found = some.mapInArrow(count, "prefix int, n long").groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_FROM)
-    bits = np.zeros(1 << COMMON_BITS, np.uint8)
-    bits[found.select("prefix").toArrow()["prefix"].to_numpy()] = 1
-    return np.packbits(bits, bitorder="little")
+    counted = saved(docs.select("text").mapInArrow(count, "slice int, n long, counts binary"), "counts", F.sum("n"))
+    least = max(COMMON_FROM, -(-rows * COMMON_FROM // COMMON_OF), COMMON_LOAD * (counted._mark or 0) // (1 << COMMON_BITS))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for number, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                kind = {1: np.uint8, 2: np.uint16, 4: np.int32}[len(part) // COMMON_SLICE]
+                totals.setdefault(number, np.zeros(COMMON_SLICE, np.int64))[:] += np.frombuffer(part, kind)
+        for number, total in totals.items():
+            bits = np.packbits(total >= least, bitorder="little").tobytes()
+            yield pa.record_batch([pa.array([number], pa.int32()), pa.array([bits], pa.binary())], ["slice", "bits"])
+
+    table = np.zeros(((1 << COMMON_BITS) // COMMON_SLICE, COMMON_SLICE // 8), np.uint8)
+    for number, bits in counted.select("slice", "counts").repartition("slice").mapInArrow(add, "slice int, bits binary").collect():
+        table[number] = np.frombuffer(bits, np.uint8)
+    discard(counted)
+    return table.reshape(-1)
 
 
 def _passing(stars: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
