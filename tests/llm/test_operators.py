@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import ann, fingerprints, mixing, ngram_join, packing, sharding, suffix_dedup, token_io, tokens, toxicity, url_filter
+from tidemark.llm import ann, common, fingerprints, mixing, ngram_join, packing, sharding, suffix_dedup, token_io, tokens, toxicity, url_filter
 from tidemark.llm.common import connected_components, new_folder
 from tests.llm.conftest import frame, words
 
@@ -523,6 +523,27 @@ def test_common_shingles_are_counted_over_all_documents(spark):
     assert set(np.flatnonzero(table).tolist()) == set((hashes >> np.uint64(64 - ngram_join.COMMON_BITS)).tolist())
 
 
+def test_filed_words_are_shuffled_once(spark, monkeypatch):
+    """However many words are shared: with nothing broadcast, one stage alone writes as many rows as there are filed words."""
+    monkeypatch.setattr(common, "MOST_BROADCAST", 0)
+    rng = random.Random(24)
+    rows = [(2 * i, words(rng, 120, 10**6)) for i in range(200)]
+    rows += [(i + 1, text.replace(text.split()[5], "other")) for i, text in rows[:40]]
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    last = max((stages().apply(i).stageId() for i in range(stages().size())), default=-1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ngram_join.near_duplicates(frame(spark, rows), words=4, percent=85).select("doc_id", "component_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
+    none = np.zeros((1 << ngram_join.COMMON_BITS) // 8, np.uint8)
+    filed = sum(len(k) for h in ngram_join.shingle_sets(pa.array([text for _, text in rows]), 4) for k in ngram_join.filed_words(h, 85, none))
+    now = stages()
+    written = [s.shuffleWriteRecords() for s in map(now.apply, range(now.size())) if s.stageId() > last]
+    assert sum(n >= filed * 9 // 10 for n in written) == 1, (filed, sorted(written)[-8:])
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(1)
     for n in (3, 40, 900):

@@ -166,8 +166,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower
 
     described = saved(docs.mapInArrow(describe, "doc_id long, own long, n long, c long, keys array<array<long>>, sketch binary"), "sketches")
     filed = described.where("size(keys) > 0").select(F.explode(F.flatten("keys")).alias("key"), "c")
-    shared = saved(filed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z").select("key", "a"), "words")
-    stars = saved(filed.join(small(shared), "key").where("a <> c").select("a", F.col("c").alias("b")).distinct(), "stars")
+    # Filed rows are shuffled once: what shares a word with another set is told apart where the word's rows lie together.
+    word = Window.partitionBy("key")
+    shared = filed.withColumns({"a": F.min("c").over(word), "z": F.max("c").over(word)}).where("a <> z")
+    shared = saved(shared.select("key", "c", "a").distinct(), "words")
+    stars = saved(shared.where("a <> c").select("a", F.col("c").alias("b")).distinct(), "stars")
     members = small(saved(stars.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "members"))
     # One row a set: copies of a text that tasks met apart have the same sketch.
     sketches = described.where("sketch is not null").select("c", F.col("n").cast("int").alias("n"), "sketch")
@@ -178,7 +181,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower
     found = connected_components(links)
 
     # Filed words under which more than one component is left, and more than the pair that was compared.
-    rest = saved(_open(filed.join(small(shared.select("key"), rows=rows_of(shared)), "key").join(members, "c").distinct(), found), "rest")
+    rest = saved(_open(shared.select("key", "c"), found), "rest")
     few, many = (rest.where(c) for c in (F.col("sets") <= BLOCK * MOST_BLOCKS, F.col("sets") > BLOCK * MOST_BLOCKS))
     if not many.isEmpty():
         # Two similar sets share a second word behind the first one that they share.
