@@ -133,6 +133,19 @@ def test_exception_phrases_are_learned(spark):
     assert lexicon.weight("the dirty laundry")[0] == 0 < lexicon.weight("the dirty dog")[0]
 
 
+def test_a_lexicon_is_fitted_without_rows_from_the_driver(spark, monkeypatch):
+    """Rows that the driver hands over are read by Python workers of their own, which stay beside those of the functions."""
+    rng = random.Random(25)
+    rows = [(i, words(rng, 30, 300) + (" vileword" * 3 if i % 2 else "")) for i in range(80)]
+    docs, labels = frame(spark, rows), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    given = []
+    plain = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, *a, **b: given.append(a) or plain(self, *a, **b))
+    lexicon = toxicity.fit_lexicon(docs, labels)
+    assert not given
+    assert lexicon.score("w1 w2 vileword w3") > lexicon.score("w1 w2 w3")
+
+
 # ---------------------------------------------------------------- fingerprints
 def bag(text):
     w = split(text)

@@ -36,7 +36,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 #: Bytes of rows handed to a Python worker at a time, where the session allows more.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def modest_batches(spark: SparkSession) -> None:

@@ -16,6 +16,8 @@ from tidemark.llm.tokens import encoder
 SEQUENCE_LENGTH, GROUP_DOCS = 2048, 2048
 #: Bytes of the documents' ends that a task holds before it packs them, though the group goes on.
 HELD_BYTES = 32 << 20
+#: Bytes of texts that are encoded together, and of ids that leave together.
+AT_ONCE = 1 << 20
 
 
 class BinTree:
@@ -107,7 +109,7 @@ def pack_documents(
             now, packer = None, None
             for batch in batches:
                 ids, group = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-                for doc_id, encoded, g in zip(ids, enc.encode_many(batch.column(1)), group, strict=True):
+                for doc_id, encoded, g in zip(ids, enc.encode_many(batch.column(1), AT_ONCE), group, strict=True):
                     if g != now:
                         if packer:
                             yield from packer.close()
@@ -120,7 +122,7 @@ def pack_documents(
         for row in pieces():
             rows.append(row)
             size += len(row[3])
-            if size > 8 << 20:
+            if size > AT_ONCE:
                 yield _batch(rows)
                 rows, size = [], 0
         if rows:

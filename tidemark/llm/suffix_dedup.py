@@ -33,7 +33,7 @@ from tidemark.llm.shingles import give_back, mix, word_hashes
 #: Contexts that one task sorts together: whole anchors, or chunks of one.
 MOST_CONTEXTS = 4096
 #: Bytes of contexts worked on together, bytes of texts, and symbols of a pass.
-_GROUP_BYTES, _TEXT_BYTES, _PASS_BYTES = 1 << 20, 1 << 20, 2 << 20
+_GROUP_BYTES, _TEXT_BYTES, _PASS_BYTES = 1 << 19, 1 << 19, 2 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))

@@ -250,8 +250,8 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DOCS)
     labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     bounded = [labels.where(F.col("toxic") == y).orderBy(*by_hash).limit(fit_docs) for y in (1, 0)]
-    rows = bounded[0].union(bounded[1]).collect()
-    sample = docs.sparkSession.createDataFrame(rows, labels.schema)
+    # A table and not rows from the driver, for which Spark keeps a second set of Python workers beside that of the functions.
+    sample = saved(bounded[0].union(bounded[1]), "sample")
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
     texts = saved(texts.select("text", "toxic").distinct().repartition(max(1, 2 * docs.sparkSession.sparkContext.defaultParallelism)), "labelled")
@@ -280,7 +280,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DOCS)
 
     seen = [(r[0], r[1]) for r in texts.select("toxic", density("text")).collect()]
     calibrate(lexicon, np.array([d for y, d in seen if y == 1]), np.array([d for y, d in seen if y == 0]))
-    for table in (texts, summed, phrases):
+    for table in (sample, texts, summed, phrases):
         discard(table)
     return lexicon
 
