@@ -148,6 +148,17 @@ def test_sql(spark, folder, name, table):
     assert sorted(tuple(str(r[c]) for c in found.columns) for r in rows) == sorted(tuple(map(str, r)) for r in found.fetchall())
 
 
+def test_op8_rules_of_the_contract(spark, tmp_path):
+    """The contract's own words: block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/."""
+    urls = {
+        "http://a.com/en/x": ("com/en/", "block"), "http://example.com/en/71": ("example.com/en/7", "allow"), "http://example.net/de/7": ("net/de/", "allow"),
+        "http://a.net/de/8": ("net/de/", "allow"), "http://b.example.net/de/81": ("example.net/de/8", "block"), "http://x.org/es/": ("org/es/", "block"), "http://x.org/en/": (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    found = run(spark, (f"file://{tmp_path}",), "op8_url_filters")
+    assert [(r.rule, r.verdict) for r in sorted(found, key=lambda r: r.page_id)] == list(urls.values())
+
+
 def test_op9(spark, folder):
     rows, at = {r.doc_id: r for r in run(spark, folder, "op9_token_ids")}, 0
     for i in sorted(folder[1]):
