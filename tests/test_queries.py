@@ -50,3 +50,25 @@ def test_filter_and_columns_reach_the_scan(spark, db):
 
     plan = sensor_readings(spark, SF).where("sensor_type = 'temperature'").select("value")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_type:string,value:double>" in plan and "PushedFilters: [" in plan
+
+
+def same_as_sql(spark, folder, name, rows):
+    """A query on events of our own, (seconds, event_type, value), against its SQL."""
+    from datetime import datetime, timedelta
+
+    at = datetime(2024, 1, 1)
+    events = [(i, at + timedelta(seconds=s), i % 3, kind, v, '{"k":90}') for i, (s, kind, v) in enumerate(rows)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"file://{folder}/events.parquet")
+    df, c = registry.QUERIES[name](spark, f"file://{folder}"), duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    found = c.sql(registry.ORACLE_SQL[name])
+    at = [found.columns.index(x) for x in df.columns]
+    got = sorted(tuple(map(plain, r)) for r in df.collect())
+    assert got == sorted(tuple(plain(r[i]) for i in at) for r in found.fetchall())
+    return got
+
+
+def test_cross_validation_at_one_time_and_at_full_humidity(spark, tmp_path):
+    # At 100 % the dew point's sum is rounded as in the SQL (4.74 is -15.26 degrees); what has the same time is no pair.
+    rows = [(0, "view", 4.74), (1, "click", 194.01), (300, "view", 60.0), (300, "click", 50.0), (400, "click", 20.0), (400, "view", 70.0), (1200, "view", 30.0)]
+    assert len(same_as_sql(spark, tmp_path, "cross_validation_asof", rows)) == 5

@@ -22,18 +22,21 @@ def clamp(v: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), v))
 
 
-def interpolate(table: tuple[float, ...], position: Column) -> Column:
-    """Linear interpolation in an array literal; positions beyond the ends take the end's value."""
+def interpolate(table: tuple[float, ...], position: Column, base: Column | None = None) -> Column:
+    """Linear interpolation in an array literal; positions beyond the ends take the end's value.
+
+    A ``base`` is added to the lower entry before the step to the next one, which decides how the sum is rounded.
+    """
     values = F.array(*[F.lit(float(x)) for x in table])
     at = clamp(position, 0, len(table) - 1)
     low = F.least(F.floor(at), F.lit(len(table) - 2)).cast("int")
     a, b = F.get(values, low), F.get(values, low + 1)
-    return a + (b - a) * (at - low)
+    return (a if base is None else base + a) + (b - a) * (at - low)
 
 
 def dew_point_table(t: Column, rh: Column) -> Column:
     """From the coarse table: temperature and humidity are clamped to -40..50 °C and 0..100 %."""
-    return clamp(t, -40, 50) + interpolate(DEW_OFFSETS, clamp(rh, 0, 100) / 10)
+    return interpolate(DEW_OFFSETS, clamp(rh, 0, 100) / 10, clamp(t, -40, 50))
 
 
 def dew_point_magnus(t: Column, rh: Column) -> Column:

@@ -86,10 +86,11 @@ def validation_events(*limits: Limits) -> Stage:
     return run
 
 
-def cross_validate(primary: str, secondary: str, tolerance_ms: int = 5000, keys: Sequence[str] = ()) -> Stage:
+def cross_validate(primary: str, secondary: str, tolerance_ms: int = 5000, keys: Sequence[str] = (), *, at_earlier_time: bool = False) -> Stage:
     """A result whenever a reading of either kind has a latest reading of the other within the tolerance.
 
     The pair temperature and humidity fails where the dew point lies above the temperature; any other pair is valid.
+    With ``at_earlier_time`` readings of the same time are no pair.
     """
 
     def run(df: DataFrame) -> DataFrame:
@@ -97,8 +98,8 @@ def cross_validate(primary: str, secondary: str, tolerance_ms: int = 5000, keys:
         other = {c: f"other_{c}" for c in columns}
         one, two = (df.where(F.col("sensor_type") == kind) for kind in (primary, secondary))
         slim = [x.select(*keys, "ts_ms", "seq", "sensor_id", "value") for x in (one, two)]
-        first = latest_before(slim[0], slim[1].withColumnsRenamed(other), list(other.values()), tolerance_ms, keys)
-        second = latest_before(slim[1], slim[0].withColumnsRenamed(other), list(other.values()), tolerance_ms, keys)
+        first = latest_before(slim[0], slim[1].withColumnsRenamed(other), list(other.values()), tolerance_ms, keys, at_earlier_time=at_earlier_time)
+        second = latest_before(slim[1], slim[0].withColumnsRenamed(other), list(other.values()), tolerance_ms, keys, at_earlier_time=at_earlier_time)
         names = ["seq", "ts_ms", "primary_id", "secondary_id", "expected_value", "actual_value"]
         a = first.select("seq", "ts_ms", "sensor_id", "other_sensor_id", "value", "other_value").toDF(*names)
         b = second.select("seq", "ts_ms", "other_sensor_id", "sensor_id", "other_value", "value").toDF(*names)

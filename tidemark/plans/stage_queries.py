@@ -55,7 +55,7 @@ FROM (SELECT t.seq, t.ts_ms, t.sensor_id AS primary_id, h.sensor_id AS secondary
   UNION ALL SELECT h.seq, h.ts_ms, t.sensor_id, h.sensor_id, t.value, h.value FROM h ASOF JOIN t ON h.ts_ms > t.ts_ms WHERE h.ts_ms - t.ts_ms <= 600000)""",
     "t AS (SELECT * FROM r WHERE sensor_type = 'temperature')", "h AS (SELECT * FROM r WHERE sensor_type = 'humidity')"))
 def cross_validation_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sensor_readings(spark, sf_dir).transform(stages.cross_validate("temperature", "humidity", 600_000))
+    return sensor_readings(spark, sf_dir).transform(stages.cross_validate("temperature", "humidity", 600_000, at_earlier_time=True))
 
 
 @query(with_readings("""SELECT seq, sensor_id, sensor_type, round(z, 6) AS zscore FROM (
