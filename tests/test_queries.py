@@ -72,3 +72,10 @@ def test_cross_validation_at_one_time_and_at_full_humidity(spark, tmp_path):
     # At 100 % the dew point's sum is rounded as in the SQL (4.74 is -15.26 degrees); what has the same time is no pair.
     rows = [(0, "view", 4.74), (1, "click", 194.01), (300, "view", 60.0), (300, "click", 50.0), (400, "click", 20.0), (400, "view", 70.0), (1200, "view", 30.0)]
     assert len(same_as_sql(spark, tmp_path, "cross_validation_asof", rows)) == 5
+
+
+def test_ambient_temperature_of_the_same_time(spark, tmp_path):
+    # At 300 s the temperature of 70 degrees has the smaller seq, but not an earlier time.
+    rows = [(0, "view", 30.0), (300, "view", 90.0), (300, "click", 90.0), (400, "click", 20.0), (1000, "view", 25.0), (1000, "click", 40.0)]
+    got = same_as_sql(spark, tmp_path, "validate_humidity_ambient", rows)
+    assert len(got) == 3

@@ -127,12 +127,13 @@ def validate_with(readings: DataFrame, validators: Sequence[Validator | Limits])
     return rated.withColumn("status", out)
 
 
-def validate_humidity_ambient(readings: DataFrame, limits: Limits = HUMIDITY, tolerance_ms: int = 600_000) -> DataFrame:
-    """Humidity checked against the latest temperature of any sensor within the tolerance."""
+def validate_humidity_ambient(readings: DataFrame, limits: Limits = HUMIDITY, tolerance_ms: int = 600_000, *, at_earlier_time: bool = False) -> DataFrame:
+    """Humidity checked against the latest temperature of any sensor within the tolerance; with ``at_earlier_time`` one of the
+    same time does not count."""
     kinds = readings.where(F.col("sensor_type").isin("humidity", "temperature"))
     rated = with_rate(kinds.where("sensor_type = 'humidity'"))
     air = kinds.where("sensor_type = 'temperature'").select("ts_ms", "seq", F.col("value").alias("ambient"))
-    paired = latest_before(rated, air, ["ambient"], tolerance_ms)
+    paired = latest_before(rated, air, ["ambient"], tolerance_ms, at_earlier_time=at_earlier_time)
     return paired.withColumn("status", status(limits, rate=F.col("rate"), consistent=humidity_consistent(F.col("value"), F.col("ambient"))))
 
 
