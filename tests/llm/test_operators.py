@@ -573,6 +573,33 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_write_no_more_tables_and_files_than_they_need(spark, monkeypatch):
+    rng, written, plain = random.Random(9), [], common.saved
+
+    def counted(df, *args):
+        out = plain(df, *args)
+        written.append(len(out.inputFiles()))
+        return out
+
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        monkeypatch.setattr(common, "saved", counted)
+        stars = [(10 * (i % 5), 10 * (i % 5) + 1 + i // 5) for i in range(40)]
+        assert dict(map(tuple, connected_components(spark.createDataFrame(stars, "a long, b long")).collect())) == {x: x // 10 * 10 for e in stars for x in e}
+        assert len(written) == 2 and written[1] <= 8  # the links, and the smallest neighbours, which show that the stars are settled
+        edges, label = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(7, 7), (900, 900)], {}
+        for a, b in edges:
+            a, b = label.setdefault(a, a), label.setdefault(b, b)
+            label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
+        assert dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect())) == label
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # ---------------------------------------------------------------- token files
 def test_token_files(spark, corpus):
     docs = frame(spark, corpus).withColumn("start", F.lit("clash"))

@@ -110,40 +110,51 @@ def rows_of(df: DataFrame) -> int:
     return df._rows if getattr(df, "_rows", None) is not None else df.count()
 
 
+#: Rows of a table of links for each task that writes it, and the fewest tasks.
+LINKS_IN_TASK, LEAST_TASKS = 1 << 13, 8
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every node of an undirected graph: ``node`` and ``component``.
 
     ``edges`` has long columns ``a`` and ``b``; every node of an edge has a row.  Alternates the large-star and small-star
-    steps until a round changes nothing.  All state is distributed and each step is a table in the shared folder; smallest
-    neighbours are written before they are joined, so that a node with very many neighbours is split over tasks.  Null ends
-    are ignored; self loops keep their node; no edges give an empty result.  Result and edges together with further edges can
+    steps until every node is the smallest of its component or has one link, to that.  All state is distributed and each step
+    is a table in the shared folder; smallest neighbours are written before they are joined, so that a node with very many
+    neighbours is split over tasks.  As links are counted, their tables are written by no more tasks than these need, however
+    many partitions the session shuffles to.  Null ends are ignored; self loops keep their node; no edges give an empty result.  Result and edges together with further edges can
     be edges again.  The result rests on a table in the shared folder.
     """
     edges = edges.where("a is not null and b is not null").select("a", "b")
-    loops = edges.where("a = b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-    mark_of = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", mark_of)
-    before = None
+    first = now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", F.count_if(F.col("u") == F.col("v")))
+
+    def written(df: DataFrame, name: str, mark: Column | None = None) -> DataFrame:
+        return saved(df.coalesce(max(LEAST_TASKS, now._rows // LINKS_IN_TASK)), name, mark)
+
     for _ in range(max_rounds):
-        mark = (now._rows, now._mark)
-        if mark == before or mark[0] == 0:
-            break
-        before = mark
         # Large star: every larger neighbour of a node links to the smallest node among it and its neighbours.
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
-        low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "low")
-        large = saved(both.where("v > u").join(small(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        near = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") < F.col("u")).alias("below"), F.max("v").alias("top"))
+        unsettled = (F.col("below") > 1) | ((F.col("below") > 0) & (F.col("top") > F.col("u")))
+        low = written(near.select("u", F.least("m", "u").alias("m"), unsettled.alias("unsettled")), "low", F.count_if("unsettled"))
+        if not low._mark:
+            break
+        large = written(both.where("v > u").join(small(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # Small star: a node and its smaller neighbours link to the smallest of them.
-        lower = saved(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        lower = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         step = large.join(small(lower), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, now = now, saved(step.union(lower.select("u", F.col("m").alias("v"))).distinct(), "links", mark_of)
-        for table in (last, low, large, lower):
+        last, now = now, written(step.union(lower.select("u", F.col("m").alias("v"))).distinct(), "links")
+        for table in (low, large, lower, *([] if last is first else [last])):
             discard(table)
     else:
         raise RuntimeError("connected components did not settle")
-    # Every link now leads straight to the smallest node, which has none itself.
-    roots = now.select(F.col("v").alias("u"), "v").distinct()
-    everything = now.union(roots).union(loops)
-    out = saved(everything.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "components")
-    discard(now)
+    # Every link now leads straight to the smallest node, which has none itself; of nodes with a self loop alone only the first table tells.
+    out = low.select(F.col("u").alias("node"), F.col("m").alias("component"))
+    if first._mark and now is not first:
+        loops = first.where("u = v").select("u", "v")
+        out = saved(out.union(loops).groupBy("node").agg(F.min("component").alias("component")), "components")
+        discard(low)
+    else:
+        out._saved_at, out._rows = low._saved_at, low._rows
+    for table in (first, *([] if now is first else [now])):
+        discard(table)
     return out

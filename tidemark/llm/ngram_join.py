@@ -193,20 +193,20 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower
     more = saved(_compared(few.select("key", "c", "m"), sketches, percent).distinct(), "pairs")
     more_sets = _sets(more.select(F.explode(F.array("a", "b")).alias("c")).distinct(), 2 * rows_of(more), docs, described, words, lower)
     more_links = saved(_verified(more, more_sets, percent), "links")
-    before, found = found, connected_components(found.toDF("a", "b").union(more_links))
+    before, found = found, _joined(found, more_links)
 
     # Where a pair of a spanning forest failed, its whole cluster of possible links is compared exactly.
     failed = saved(more.join(more_links, ["a", "b"], "left_anti"), "failed")
     spent = [described, shared, stars, sketches, pairs, links, rest, more, more_links, sets, more_sets, before, failed]
     if rows_of(failed):
-        clusters = connected_components(more.union(found.toDF("a", "b"))).toDF("c", "cluster")
+        clusters = _joined(found, more).toDF("c", "cluster")
         hard = failed.join(clusters.withColumnRenamed("c", "a"), "a").select("cluster").distinct()
         inside = clusters.join(small(hard), "cluster").join(found.withColumnRenamed("node", "c"), "c", "left").select("cluster", "c", F.coalesce("component", "c").alias("m"))
         inside = saved(inside, "inside")
         hard_sets = _sets(inside.select("c").distinct(), rows_of(inside), docs, described, words, lower)
         hard_links = saved(_exact(inside, hard_sets, percent), "links")
         spent += [found, inside, hard_sets, hard_links]
-        found = connected_components(found.toDF("a", "b").union(hard_links))
+        found = _joined(found, hard_links)
 
     # The smallest doc_id of each set, then of each component, and back; what has very many rows is only ever joined with a table.
     lowest = saved(described.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("low")), "lowest")
@@ -223,6 +223,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, lower
     return out
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with further links; each has two nodes at least, so links to its smallest tell it."""
+    return connected_components(found.where("node <> component").toDF("a", "b").union(links)) if rows_of(links) else found
+
+
 def _open(filed: DataFrame, found: DataFrame, pairs_too: bool = False) -> DataFrame:
     """key, c, m (the set's component so far) and sets (how many the key has), of keys of more than one component; without
     ``pairs_too``, of more than two sets, as the two were compared already."""
