@@ -25,3 +25,18 @@ def test_small_store_gives_the_same_ids(monkeypatch):
     texts = ["one two, three four five", "two six. seven", "ONE two"]
     whole = Tokenizer.from_file(tokens.default_path())
     assert [np.frombuffer(i, "<u4").tolist() for i in enc.encode_many(texts, at_once=1)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_frequent_words_are_learned_once_though_the_store_is_full(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_PARTS", 40)
+    encoder, learned, learn = tokens.WordEncoder(tokens.default_path()), [], tokens.WordEncoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda new: (learned.extend(new), learn(encoder, new)))
+    texts = [f"frequent, (words) <|x. {' '.join(f'rare{chr(97 + i)}{chr(97 + k)}.' for k in range(12))} end!" for i in range(20)]
+    for text in texts:
+        assert list(encoder.encode_many([text, None])) == [np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), b""]
+    assert learned.count(b"frequent") == learned.count(b"end") == 1 and len(encoder.known) + len(encoder.older) <= 80
+
+
+def test_a_letter_that_ends_in_a_mark_keeps_its_signs():
+    encoder, texts = tokens.WordEncoder(tokens.default_path()), ["İ#", "aİ.", "İstanbul, İİ!?"]
+    assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode_many(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
